@@ -28,7 +28,7 @@ def score_curve(df: DataFrame, by: list[str], y_true: str = "y_true", y_pred: st
         F.sum(F.when(F.col(y_true) == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n")
     )
     cum = running_totals(counts, by, [F.col("score")], {"cp": "p", "cn": "n"})
-    totals = counts.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
     return join_bounded(cum, totals, by, "inner") if by else _attach_one(cum, totals)
 
 
@@ -45,7 +45,7 @@ def curve_metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     Null where a group has one class only.
     """
     p, n, cp, cn = (F.col(c).cast("double") for c in ("p", "n", "cp", "cn"))
-    pos, all_ = F.col("P").cast("double"), F.col("N").cast("double")
+    pos, all_ = F.col("p_all").cast("double"), F.col("n_all").cast("double")
     neg = n - p
     neg_below = (cn - cp) - neg
     pairs = F.sum(p * (neg_below + neg / 2))
@@ -54,14 +54,14 @@ def curve_metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     tp_before, above_before = pos - cp, all_ - cn
     precision = tp / above
     before = F.when(above_before > 0, tp_before / above_before).otherwise(F.lit(1.0))
-    first_p, first_n = F.first("P").cast("double"), F.first("N").cast("double")
+    first_p, first_n = F.first("p_all").cast("double"), F.first("n_all").cast("double")
     out = curve.groupBy(*by).agg(
         (pairs / F.nullif(first_p * (first_n - first_p), F.lit(0.0))).alias("roc_auc"),
         (F.sum(precision * p) / F.nullif(first_p, F.lit(0.0))).alias("avg_precision"),
         (F.sum(p * (precision + before) / 2) / F.nullif(first_p, F.lit(0.0))).alias("pr_auc"),
-        first_p.alias("_P"), first_n.alias("_N"),
+        first_p.alias("_pos"), first_n.alias("_rows"),
     )
-    one_class = (F.col("_P") == 0) | (F.col("_P") == F.col("_N"))
+    one_class = (F.col("_pos") == 0) | (F.col("_pos") == F.col("_rows"))
     guard = lambda c: F.when(~one_class, F.col(c)).alias(c)
     return out.select(*by, guard("roc_auc"), F.coalesce("avg_precision", F.lit(0.0)).alias("avg_precision"), guard("pr_auc"))
 
