@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 
 from riftsplit.functions.stats import kolmogorov_two_sided
 from riftsplit.operators.similarity import nearest
-from riftsplit.plans.durable import join_bounded
+from riftsplit.plans.durable import durable, join_bounded
 from riftsplit.plans.order import percentiles, running_totals
 
 SPLIT = ["splitter", "split_index"]
@@ -140,7 +140,8 @@ def property_metrics(parts: DataFrame, properties: DataFrame, names: list[str] |
     v = F.col("value")
 
     def moments(c: str) -> list[Column]:
-        return [F.sum(c).alias(f"n_{c}"), F.sum(F.col(c) * v).alias(f"s_{c}"), F.sum(F.col(c) * v * v).alias(f"q_{c}")]
+        n = F.sum(c)
+        return [n.alias(f"n_{c}"), (F.sum(F.col(c) * v) / F.nullif(n, F.lit(0))).alias(f"m_{c}")]
 
     totals = counts.groupBy(*by).agg(*moments("tr"), *moments("te")).filter("n_tr >= 2 and n_te >= 2")
     joined = join_bounded(cum, totals, by, "inner")
@@ -151,19 +152,23 @@ def property_metrics(parts: DataFrame, properties: DataFrame, names: list[str] |
         hi = F.min(F.when(run > F.ceil((n - 1) / 2), v))
         return (lo + hi) / 2
 
+    def spread(c: str) -> Column:
+        off = v - F.col(f"m_{c}")
+        return F.sqrt(F.sum(F.col(c) * off * off) / F.first(f"n_{c}"))
+
     gap = F.abs(F.col("ctr") / F.col("n_tr") - F.col("cte") / F.col("n_te"))
     carried = [F.first(c).alias(c) for c in totals.columns if c not in by]
     out = joined.groupBy(*by).agg(
-        F.max(gap).alias("ks_statistic"), middle("tr").alias("train_median"), middle("te").alias("test_median"), *carried
-    )
-    mean = lambda c: F.col(f"s_{c}") / F.col(f"n_{c}")
-    std = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{c}") / F.col(f"n_{c}") - mean(c) * mean(c)))
+        F.max(gap).alias("ks_statistic"),
+        middle("tr").alias("train_median"), spread("tr").alias("train_std"),
+        middle("te").alias("test_median"), spread("te").alias("test_std"), *carried,
+    )
     return out.select(
         *by,
-        mean("tr").alias("train_mean"), std("tr").alias("train_std"), "train_median",
-        mean("te").alias("test_mean"), std("te").alias("test_std"), "test_median",
+        F.col("m_tr").alias("train_mean"), "train_std", "train_median",
+        F.col("m_te").alias("test_mean"), "test_std", "test_median",
         "ks_statistic", kolmogorov_two_sided(F.col("ks_statistic"), F.col("n_tr"), F.col("n_te")).alias("ks_pvalue"),
-        F.abs(mean("tr") - mean("te")).alias("mean_diff"),
+        F.abs(F.col("m_tr") - F.col("m_te")).alias("mean_diff"),
         F.abs(F.col("train_median") - F.col("test_median")).alias("median_diff"),
     )
 
@@ -177,6 +182,7 @@ def report(
     properties: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row per split: size, and whichever other parts were asked for."""
+    parts = durable(parts)  # every part reads the assignments; the splitters run once
     pack = lambda df, name: df.select(*SPLIT, F.struct(*[c for c in df.columns if c not in SPLIT]).alias(name))
     out = pack(size_metrics(parts, labels), "size_metrics")
     if bits is not None:
@@ -245,7 +251,7 @@ def violations(parts: DataFrame, groups: DataFrame | None = None, value: DataFra
     def shared(keys: DataFrame, key: str, name: str) -> DataFrame:
         sides = parts.filter(on_train() | on_test()).join(keys.select("id", F.col(key).alias("_k")), "id")
         both = sides.groupBy(*SPLIT, "_k").agg(F.count_if(on_train()).alias("tr"), F.count_if(on_test()).alias("te"))
-        return both.groupBy(*SPLIT).agg(F.count_if("tr > 0 and te > 0").alias("n")).withColumn("check", F.lit(name))
+        return both.groupBy(*SPLIT).agg(F.count_if(F.expr("tr > 0 and te > 0")).alias("n")).withColumn("check", F.lit(name))
 
     if groups is not None:
         found.append(shared(groups, "group_key", "shared_group"))

@@ -180,8 +180,10 @@ def cross_blocks(
     """
     kernel = METRICS[metric]
     rows_per_block = block_rows(rows_per_block, n_bits)
-    left = left.select(*by, F.col("id").alias("lid"), "vec")
-    right = right.select(*by, F.col("id").alias("rid"), "vec")
+    # fresh column identities, so that both sides may come from one table
+    fresh = [F.col(c).alias(c) for c in [*by, "vec"]]
+    left = left.select(*fresh, F.col("id").alias("lid"))
+    right = right.select(*fresh, F.col("id").alias("rid"))
     left, right = cross_grid(left, right, by, "lid", "rid", rows_per_block)
     types = dict(left.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["lid bigint", "rid bigint", "distance double"])

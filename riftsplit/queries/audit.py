@@ -139,7 +139,7 @@ _PROP_NAMES = ["train_mean", "train_std", "train_median", "test_mean", "test_std
 
 def _prop_col(c: str) -> str:
     inner = {"mean_diff": "abs(train_mean - test_mean)", "median_diff": "abs(train_median - test_median)"}.get(c, c)
-    return f"round(CAST({inner} AS DOUBLE), 5) AS {c}"
+    return f"round(CAST({inner} AS DOUBLE), 8) AS {c}"
 
 
 def _properties(spark, sf_dir):
@@ -153,7 +153,7 @@ def _properties(spark, sf_dir):
 )
 def properties(spark, sf_dir):
     out = audit.property_metrics(part_splits(spark, sf_dir), _properties(spark, sf_dir), PROPERTIES)
-    return out.withColumns({c: F.round(F.col(c), 5) for c in _PROP_NAMES})
+    return out.withColumns({c: F.round(F.col(c), 8) for c in _PROP_NAMES})
 
 
 def _report(spark, sf_dir):
@@ -186,7 +186,7 @@ _NO_LABELS = ["size_train_positive_ratio", "size_test_positive_ratio", "size_lab
 
 @query(
     "f5_full_report",
-    f"{_FLAT} SELECT splitter_name AS splitter, split_index, size_train_size AS train_size, scaffold_shared_scaffolds AS shared_scaffolds, CAST(2 AS INTEGER) AS n_properties, round(prop_p_size_ks_stat, 5) AS last_ks FROM flat",
+    f"{_FLAT} SELECT splitter_name AS splitter, split_index, size_train_size AS train_size, scaffold_shared_scaffolds AS shared_scaffolds, CAST(2 AS INTEGER) AS n_properties, round(prop_p_size_ks_stat, 8) AS last_ks FROM flat",
 )
 def full_report(spark, sf_dir):
     rep = _report(spark, sf_dir)
@@ -194,17 +194,17 @@ def full_report(spark, sf_dir):
         "splitter", "split_index", F.col("size_metrics.train_size").alias("train_size"),
         F.col("scaffold_metrics.shared_scaffolds").alias("shared_scaffolds"),
         F.size("property_distributions").alias("n_properties"),
-        F.round(F.element_at("property_distributions", -1)["ks_statistic"], 5).alias("last_ks"),
+        F.round(F.element_at("property_distributions", -1)["ks_statistic"], 8).alias("last_ks"),
     )
 
 
 @query(
     "f6_flat_report",
-    f"{_FLAT} SELECT splitter_name, split_index, {', '.join(_FLAT_INTS)}, {', '.join(f'round({c}, 5) AS {c}' for c in _FLAT_DOUBLES)} FROM flat",
+    f"{_FLAT} SELECT splitter_name, split_index, {', '.join(_FLAT_INTS)}, {', '.join(f'round({c}, 8) AS {c}' for c in _FLAT_DOUBLES)} FROM flat",
 )
 def flat_report(spark, sf_dir):
     flat = _flat(spark, sf_dir).drop(*_NO_LABELS)
-    return flat.withColumns({c: F.round(F.col(c), 5) for c in _FLAT_DOUBLES})
+    return flat.withColumns({c: F.round(F.col(c), 8) for c in _FLAT_DOUBLES})
 
 
 @query(
@@ -223,12 +223,12 @@ _ALL = _FLAT_INTS + _FLAT_DOUBLES
 @query(
     "f8_compare_splitters",
     f"{_FLAT} SELECT splitter_name, "
-    + ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(stddev_samp({c}), 5) AS {c}_std" for c in _ALL)
+    + ", ".join(f"round(avg({c}), 8) AS {c}_mean, round(stddev_samp({c}), 8) AS {c}_std" for c in _ALL)
     + " FROM flat GROUP BY splitter_name",
 )
 def compare(spark, sf_dir):
     out = audit.compare(_flat(spark, sf_dir).drop(*_NO_LABELS))
-    return out.withColumns({c: F.round(F.col(c), 5) for c in out.columns if c != "splitter_name"})
+    return out.withColumns({c: F.round(F.col(c), 8) for c in out.columns if c != "splitter_name"})
 
 
 @query(
@@ -287,11 +287,11 @@ _RADAR = ["scaffold_scaffold_overlap_percentage_mean", "size_test_ratio_mean", "
 @query(
     "f12_min_max_scaled",
     f"""{_FLAT}, c AS (SELECT splitter_name, {', '.join(f'avg({m[:-5]}) AS {m}' for m in _RADAR)} FROM flat GROUP BY splitter_name)
-        SELECT splitter_name, {', '.join(f'round(coalesce(({m} - min({m}) OVER ()) / nullif(max({m}) OVER () - min({m}) OVER (), 0), 0.5), 5) AS {m}' for m in _RADAR)} FROM c""",
+        SELECT splitter_name, {', '.join(f'round(coalesce(({m} - min({m}) OVER ()) / nullif(max({m}) OVER () - min({m}) OVER (), 0), 0.5), 8) AS {m}' for m in _RADAR)} FROM c""",
 )
 def radar(spark, sf_dir):
     out = audit.min_max_scaled(audit.compare(_flat(spark, sf_dir)), _RADAR)
-    return out.withColumns({c: F.round(F.col(c), 5) for c in _RADAR})
+    return out.withColumns({c: F.round(F.col(c), 8) for c in _RADAR})
 
 
 _NAMES = ["random", "scaffold", "molecular_weight"]
