@@ -63,6 +63,7 @@ SIM_PERCENTILES = {"percentile_5": 0.05, "percentile_25": 0.25, "median_sim": 0.
 
 def similarity_summary(best: DataFrame) -> DataFrame:
     """Distribution of the per-test highest similarity; ``best`` has the split keys and ``similarity``."""
+    best = durable(best)  # the costly part, read twice below
     moments = best.groupBy(*SPLIT).agg(
         F.min("similarity").alias("min_sim"),
         F.max("similarity").alias("max_sim"),
@@ -130,21 +131,18 @@ def property_metrics(parts: DataFrame, properties: DataFrame, names: list[str] |
     if names is not None:
         rows = rows.filter(F.col("property").isin(names))
     by = [*SPLIT, "property"]
+    v = F.col("value")
     counts = (
         parts.filter(on_train() | on_test())
         .join(rows, "id")
         .groupBy(*by, "value")
         .agg(F.count_if(on_train()).alias("tr"), F.count_if(on_test()).alias("te"))
+        .withColumns({"trv": F.col("tr") * v, "tev": F.col("te") * v})
     )
-    cum = running_totals(counts, by, [F.col("value")], {"ctr": "tr", "cte": "te"})
-    v = F.col("value")
-
-    def moments(c: str) -> list[Column]:
-        n = F.sum(c)
-        return [n.alias(f"n_{c}"), (F.sum(F.col(c) * v) / F.nullif(n, F.lit(0))).alias(f"m_{c}")]
-
-    totals = counts.groupBy(*by).agg(*moments("tr"), *moments("te")).filter("n_tr >= 2 and n_te >= 2")
-    joined = join_bounded(cum, totals, by, "inner")
+    running = {"ctr": "tr", "cte": "te"}
+    whole = {"n_tr": "tr", "n_te": "te", "s_tr": "trv", "s_te": "tev"}
+    cum = running_totals(counts, by, [v], running, whole).filter("n_tr >= 2 and n_te >= 2")
+    joined = cum.withColumns({"m_tr": F.col("s_tr") / F.col("n_tr"), "m_te": F.col("s_te") / F.col("n_te")})
 
     def middle(c: str) -> Column:
         n, run = F.col(f"n_{c}"), F.col(f"c{c}")
@@ -157,7 +155,7 @@ def property_metrics(parts: DataFrame, properties: DataFrame, names: list[str] |
         return F.sqrt(F.sum(F.col(c) * off * off) / F.first(f"n_{c}"))
 
     gap = F.abs(F.col("ctr") / F.col("n_tr") - F.col("cte") / F.col("n_te"))
-    carried = [F.first(c).alias(c) for c in totals.columns if c not in by]
+    carried = [F.first(c).alias(c) for c in ("n_tr", "n_te", "m_tr", "m_te")]
     out = joined.groupBy(*by).agg(
         F.max(gap).alias("ks_statistic"),
         middle("tr").alias("train_median"), spread("tr").alias("train_std"),

@@ -7,14 +7,17 @@ and a lost executor costs one round at most.  ``edges`` are (src, dst) with src
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftsplit.plans.durable import durable
 from riftsplit.plans.order import hash_cuts, running_totals, seeded_key
 
-MAX_ROUNDS = 200
+# Links among undecided vertices that one task may finish (16 bytes each).
+TAIL_LINKS = 500_000
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
@@ -37,7 +40,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = durable(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
     mark = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # large star: neighbours above a node are linked to the node's minimum
         sym = links.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(
             links.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
@@ -58,45 +61,72 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     named = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return vertices.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def leader_clusters(vertices: DataFrame, edges: DataFrame, priority: list[str]) -> DataFrame:
+def _greedy_tail(links: DataFrame, pending: DataFrame, priority: list[str]) -> DataFrame:
+    """(id, p) of the leaders among the last undecided vertices, decided one after the other.
+
+    Only called when their links were counted and are few; a chain of vertices in
+    priority order would otherwise take one round per vertex.
+    """
+    rows = links.select(F.col("node").alias("id"), "other").join(pending.select("id", "p"), "id")
+    rows = rows.select("id", "other", *[F.col("p")[c].alias(c) for c in priority])
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        around = pdf.groupby("id")["other"].apply(list).to_dict()
+        taken, leaders = set(), []
+        for v in pdf.drop_duplicates("id").sort_values([*priority, "id"])["id"]:
+            if v not in taken:
+                leaders.append(v)
+                taken.add(v)
+                taken.update(around[v])
+        return pd.DataFrame({"id": leaders})
+
+    found = rows.groupBy(F.lit(0).alias("_one")).applyInPandas(decide, "id bigint")
+    return pending.join(found, "id", "left_semi").select("id", "p")
+
+
+def leader_clusters(
+    vertices: DataFrame, edges: DataFrame, priority: list[str], tail_links: int = TAIL_LINKS
+) -> DataFrame:
     """(id, leader): greedy leaders in a stated order, in parallel rounds.
 
     ``vertices`` has ``id`` and the ``priority`` columns (lower struct goes first, ``id``
     breaks ties).  A vertex leads when no undecided neighbour goes before it; its
     neighbours follow.  Each follower joins its first leader neighbour.  The result
-    equals the one-at-a-time loop.
+    equals the one-at-a-time loop.  Every round decides at least one vertex, and once the
+    remaining links are few a single task ends the work.
     """
     order = F.struct(*priority, "id")
+    edges = edges.filter("src <> dst")
     pending = durable(vertices.select("id", order.alias("p")))
-    links = durable(both_ways(edges.filter("src <> dst")))
-    leaders: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    links = durable(both_ways(edges))
+    found: list[DataFrame] = []
+    while True:
+        if links.count() <= tail_links:
+            linked = links.select(F.col("node").alias("id")).distinct()
+            found.append(pending.join(linked, "id", "left_anti"))
+            found.append(durable(_greedy_tail(links, pending, priority)))
+            break
         # only links between undecided vertices matter in this round
         rival = links.join(pending.select(F.col("id").alias("other"), F.col("p").alias("op")), "other")
-        first = rival.groupBy("node").agg(F.min("op").alias("op"))
-        new = pending.join(first.withColumnRenamed("node", "id"), "id", "left")
+        first = rival.groupBy(F.col("node").alias("id")).agg(F.min("op").alias("op"))
+        new = pending.join(first, "id", "left")
         new = durable(new.filter(F.col("op").isNull() | (F.col("p") < F.col("op"))).select("id", "p"))
-        leaders = new if leaders is None else leaders.union(new)
+        found.append(new)
         covered = links.join(new.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("node").alias("id"))
-        gone = covered.union(new.select("id")).distinct()
-        pending = durable(pending.join(gone, "id", "left_anti"))
+        pending = durable(pending.join(covered.union(new.select("id")).distinct(), "id", "left_anti"))
         if pending.isEmpty():
             break
         alive = pending.select(F.col("id").alias("node"))
-        links_left = links.join(alive, "node", "left_semi")
-        links = durable(links_left.join(alive.withColumnRenamed("node", "other"), "other", "left_semi"))
-    else:
-        raise RuntimeError("leader clustering did not settle")
-    leaders = durable(leaders)
-    all_links = both_ways(edges.filter("src <> dst"))
+        links = links.join(alive, "node", "left_semi").join(alive.withColumnRenamed("node", "other"), "other", "left_semi")
+        links = durable(links)
+    leaders = durable(reduce(DataFrame.union, found))
     choice = (
-        all_links.join(leaders.select(F.col("id").alias("other"), "p"), "other")
+        both_ways(edges)
+        .join(leaders.select(F.col("id").alias("other"), "p"), "other")
         .groupBy(F.col("node").alias("id"))
         .agg(F.min("p").alias("best"))
     )

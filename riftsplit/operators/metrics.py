@@ -27,9 +27,7 @@ def score_curve(df: DataFrame, by: list[str], y_true: str = "y_true", y_pred: st
     counts = df.groupBy(*by, F.col(y_pred).alias("score")).agg(
         F.sum(F.when(F.col(y_true) == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n")
     )
-    cum = running_totals(counts, by, [F.col("score")], {"cp": "p", "cn": "n"})
-    totals = counts.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
-    return join_bounded(cum, totals, by, "inner") if by else _attach_one(cum, totals)
+    return running_totals(counts, by, [F.col("score")], {"cp": "p", "cn": "n"}, {"p_all": "p", "n_all": "n"})
 
 
 def _attach_one(df: DataFrame, one_row: DataFrame) -> DataFrame:

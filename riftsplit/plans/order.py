@@ -85,7 +85,11 @@ def hash_cuts(keyed: DataFrame, by: list[str], quotas: dict[str, Column] | DataF
         .filter("_q.k between 1 and _c")
         .select(*by, "_p", F.col("_q.cut").alias("_cut"), F.col("_q.k").alias("_k"))
     )
-    inside = keyed.select(*by, "_key", prefix.alias("_p")).join(F.broadcast(edge) if bounded else edge, [*by, "_p"])
+    slim = keyed.select(*by, "_key", prefix.alias("_p"))
+    if bounded:
+        inside = slim.join(F.broadcast(edge), [*by, "_p"])
+    else:
+        inside = join_bounded(slim, edge, [*by, "_p"], "inner")
     order = Window.partitionBy(*by, "_cut").orderBy("_key")
     at = inside.withColumn("_r", F.row_number().over(order)).filter("_r = _k")
     return at.groupBy(*by).agg(*[F.max(F.when(F.col("_cut") == m, F.col("_key"))).alias(m) for m in names])
@@ -174,22 +178,30 @@ def at_or_before(value: Column, row_id: Column, key) -> Column:
     return (v < F.lit(key[0])) | ((v == F.lit(key[0])) & (row_id <= F.lit(key[1])))
 
 
-def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Inclusive prefix sums ``{new: column}`` per group in a total order.
+def running_totals(
+    df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], totals: dict[str, str] | None = None
+) -> DataFrame:
+    """Inclusive prefix sums ``{new: column}`` per group in a total order, and group totals.
 
     Rows are range-partitioned on group and order together, so a hot group spans
     many partitions; each piece is summed alone and the totals of the group's
-    earlier pieces (one row per piece and group) are added.
+    earlier pieces (one row per piece and group) are added.  The input is read once.
     """
+    totals = totals or {}
     by = by or ["_all"]
     if by == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
     keys = [F.col(c) for c in by] + order
     placed = durable(df.repartitionByRange(_partitions(df), *keys).withColumn("_piece", F.spark_partition_id()))
-    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = placed.groupBy(*by, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    needed = {**{f"_t_{n}": c for n, c in sums.items()}, **{f"_g_{n}": c for n, c in totals.items()}}
+    pieces = placed.groupBy(*by, "_piece").agg(*[F.sum(c).alias(n) for n, c in needed.items()])
     pieces = pieces.select(
-        *by, "_piece", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *by,
+        "_piece",
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_g_{n}").over(group).alias(n) for n in totals],
     )
     inside = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
@@ -205,12 +217,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float])
     held in one aggregation buffer.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_totals(counts, by, [F.col(value)], {"_cum": "_c"})
-    total = cum.groupBy(*by).agg(F.max("_cum").alias("_n"))
-    if by:
-        cum = cum.join(total, by)
-    else:
-        cum = cum.withColumn("_n", total.scalar())
+    cum = running_totals(counts, by, [F.col(value)], {"_cum": "_c"}, {"_n": "_c"})
     picks = []
     for name, p in ps.items():
         h = F.lit(float(p)) * (F.col("_n") - 1)
