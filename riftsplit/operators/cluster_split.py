@@ -119,8 +119,8 @@ def dbscan_clusters(df, row_id, bits, n_bits, eps=0.5, min_points=5) -> DataFram
         F.min_by("component", F.struct(-F.col("sim"), F.col("other"))).alias("border")
     )
     labelled = reps.select("id").join(grown, "id", "left").join(border, "id", "left")
-    cluster = F.coalesce("component", "border", "id").alias("cluster")
-    return _expand(members, labelled.select("id", cluster), "cluster")
+    found = _expand(members, labelled.select("id", F.coalesce("component", "border").alias("cluster")), "cluster")
+    return found.select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def dbscan_split(df, row_id, bits, n_bits, eps=0.5, min_points=5, n_splits=5, test_size=None, train_size=None, seed=0):
