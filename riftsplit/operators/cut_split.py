@@ -48,12 +48,17 @@ def _profile(layered: DataFrame) -> list[tuple[int, int]]:
     return [(int(r["w"]), int(r["f"])) for r in rows.orderBy("layer").collect()]
 
 
-def _roots(vertices: DataFrame, edges: DataFrame) -> list[int]:
-    """Ends of a long path by a double sweep, then the lowest id."""
+def _roots(vertices: DataFrame, edges: DataFrame):
+    """Ends of a long path by a double sweep, then the lowest id; each found only when asked for."""
     start = vertices.agg(F.min("id")).first()[0]
     far = lambda r: hop_layers(vertices, edges, r).agg(F.min_by("id", F.struct(-F.col("layer"), F.col("id")))).first()[0]
     end = far(start)
-    return list(dict.fromkeys([end, far(end), start]))
+    yield end
+    other = far(end)
+    if other != end:
+        yield other
+    if start not in (end, other):
+        yield start
 
 
 def _cut_label(cuts: list[tuple[int, bool]], names: list[str]):

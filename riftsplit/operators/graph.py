@@ -31,14 +31,40 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select(ends.alias("_e"), *extra).select("_e.node", "_e.other", *extra)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def _join_in_one_task(links: DataFrame) -> DataFrame:
+    """(hi, lo) star links of the components of a graph whose links were counted and are few."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        top: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            path = []
+            while top.setdefault(v, v) != v:
+                path.append(v)
+                v = top[v]
+            top.update(dict.fromkeys(path, v))
+            return v
+
+        for a, b in zip(pdf.hi.tolist(), pdf.lo.tolist()):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        nodes = [v for v in list(top) if find(v) != v]
+        return pd.DataFrame({"hi": nodes, "lo": [find(v) for v in nodes]}, dtype="int64")
+
+    return links.groupBy(F.lit(0).alias("_one")).applyInPandas(merge, "hi bigint, lo bigint")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, tail_links: int = TAIL_LINKS) -> DataFrame:
     """(id, component) with the lowest id of the component as its name.
 
     Alternates the published large-star and small-star steps: each node points its
     larger (then smaller) neighbours at the smallest node it knows.  Minima are
-    partial aggregations, so a hub is reduced before it is shuffled.
+    partial aggregations, so a hub is reduced before it is shuffled.  Few links (counted)
+    are merged in one task instead.
     """
     links = durable(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
+    if links.count() <= tail_links:
+        return _name_components(vertices, durable(_join_in_one_task(links)))
     mark = None
     while True:
         # large star: neighbours above a node are linked to the node's minimum
@@ -47,7 +73,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         )
         low = sym.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
         large = sym.join(low, "node").filter("other > node").select(F.col("other").alias("hi"), F.col("m").alias("lo"))
-        large = large.filter("hi <> lo").distinct()
+        large = large.filter("hi <> lo")
         # small star: a node and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
@@ -61,7 +87,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    named = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+    return _name_components(vertices, links)
+
+
+def _name_components(vertices: DataFrame, stars: DataFrame) -> DataFrame:
+    named = stars.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return vertices.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -164,19 +194,53 @@ def coarsen(vertices: DataFrame, edges: DataFrame, threshold: float):
     return members, sizes, condensed
 
 
-def hop_layers(vertices: DataFrame, edges: DataFrame, root: int) -> DataFrame:
-    """(id, layer): breadth-first hops from ``root`` inside its component."""
+def _hops_in_one_task(links: DataFrame, root: int) -> DataFrame:
+    """Breadth-first layers of a graph whose links were counted and are few."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        around = pdf.groupby("node")["other"].apply(list).to_dict()
+        layer, front = {root: 0}, [root]
+        while front:
+            reached = dict.fromkeys(w for v in front for w in around.get(v, ()) if w not in layer)
+            depth = layer[front[0]] + 1
+            layer.update(dict.fromkeys(reached, depth))
+            front = list(reached)
+        return pd.DataFrame({"id": list(layer), "layer": list(layer.values())})
+
+    return links.groupBy(F.lit(0).alias("_one")).applyInPandas(walk, "id bigint, layer int")
+
+
+# Layers after which the fronts found so far are written as one table.
+FRONTS_PER_TABLE = 32
+
+
+def hop_layers(vertices: DataFrame, edges: DataFrame, root: int, tail_links: int = TAIL_LINKS) -> DataFrame:
+    """(id, layer): breadth-first hops from ``root`` inside its component.
+
+    One round per hop.  Neighbours of a front lie in it, in the front before or in the
+    next one, so a round looks at two fronts only and not at everything seen.  A
+    graph with few links, which may still be a long chain, is walked in one task.
+    """
     links = both_ways(edges)
-    seen = durable(vertices.filter(F.col("id") == root).select("id", F.lit(0).alias("layer")))
-    front = seen
-    depth = 0
+    front = durable(vertices.filter(F.col("id") == root).select("id", F.lit(0).alias("layer")))
+    if links.limit(tail_links + 1).count() <= tail_links:
+        walked = _hops_in_one_task(links, root)
+        return durable(walked.join(vertices.select("id"), "id", "left_semi").unionByName(front).distinct())
+    links = durable(links)
+    done, fronts, before, depth = [], [front], None, 0
     while True:
         depth += 1
         step = links.join(front.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("other").alias("id"))
-        front = durable(step.distinct().join(seen, "id", "left_anti").withColumn("layer", F.lit(depth)))
+        new = step.distinct().join(front, "id", "left_anti")
+        if before is not None:
+            new = new.join(before, "id", "left_anti")
+        before, front = front, durable(new.withColumn("layer", F.lit(depth)))
         if front.isEmpty():
-            return seen
-        seen = durable(seen.union(front))
+            return durable(reduce(DataFrame.union, done + fronts))
+        fronts.append(front)
+        if len(fronts) == FRONTS_PER_TABLE:
+            done.append(durable(reduce(DataFrame.union, fronts)))
+            fronts = []
 
 
 def component_sizes(components: DataFrame, weights: DataFrame) -> DataFrame:

@@ -310,14 +310,14 @@ _EDGES = f"edges AS (SELECT i AS a, j AS b FROM pairs WHERE sim > CAST({HI_THRES
 _REACH = f"WITH RECURSIVE {SIGN_PAIRS}, {_EDGES}, reach AS (SELECT id, id AS c FROM bits UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id), comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id)"
 
 
-def _components(spark, sf_dir):
+def _components(spark, sf_dir, tail_links=graph.TAIL_LINKS):
     items = sign_items(spark, sf_dir)
-    return graph.connected_components(items, similarity_edges(items, "id", "bits", HI_THRESHOLD, BITS))
+    return graph.connected_components(items, similarity_edges(items, "id", "bits", HI_THRESHOLD, BITS), tail_links)
 
 
 @query("e32_connected_components", f"{_REACH} SELECT id, component FROM comp")
 def components(spark, sf_dir):
-    return _components(spark, sf_dir)
+    return _components(spark, sf_dir, tail_links=0)  # always the distributed rounds
 
 
 @query(

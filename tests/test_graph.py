@@ -51,12 +51,13 @@ def random_graph(n, m, seed):
     return sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
 
 
+@pytest.mark.parametrize("tail", [0, 10**6])
 @pytest.mark.parametrize("n,m,seed", [(80, 60, 0), (200, 150, 1), (50, 0, 2)])
-def test_components(spark, n, m, seed):
+def test_components(spark, n, m, seed, tail):
     edges = random_graph(n, m, seed)
     v = spark.range(n)
     e = spark.createDataFrame(edges, "src bigint, dst bigint")
-    got = {r["id"]: r["component"] for r in graph.connected_components(v, e).collect()}
+    got = {r["id"]: r["component"] for r in graph.connected_components(v, e, tail).collect()}
     assert got == components(range(n), edges)
 
 
@@ -64,7 +65,7 @@ def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100)]
     hub = [(200, 201 + i) for i in range(100)]
     e = spark.createDataFrame(chain + hub, "src bigint, dst bigint")
-    got = {r["id"]: r["component"] for r in graph.connected_components(spark.range(302), e).collect()}
+    got = {r["id"]: r["component"] for r in graph.connected_components(spark.range(302), e, 0).collect()}
     assert set(got[i] for i in range(101)) == {0} and set(got[i] for i in range(200, 301)) == {200}
     assert got[301] == 301
 
@@ -159,7 +160,8 @@ def test_pack_evenly_equals_the_loop(spark):
     assert [per.get(f"part_{i}", 0) for i in range(3)] == [parts[0] - 4, parts[1], parts[2]]
 
 
-def test_hop_layers(spark):
+@pytest.mark.parametrize("tail", [0, 10**6])
+def test_hop_layers(spark, tail):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 4)], "src bigint, dst bigint")
-    got = {r["id"]: r["layer"] for r in graph.hop_layers(spark.range(6), e, 0).collect()}
+    got = {r["id"]: r["layer"] for r in graph.hop_layers(spark.range(6), e, 0, tail).collect()}
     assert got == {0: 0, 1: 1, 4: 1, 2: 2, 3: 3}
