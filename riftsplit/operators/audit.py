@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from riftsplit.functions.stats import kolmogorov_two_sided
-from riftsplit.operators.similarity import nearest
+from riftsplit.operators.similarity import best_in_other_set
 from riftsplit.plans.durable import durable, join_bounded
 from riftsplit.plans.order import percentiles, running_totals
 
@@ -76,10 +76,9 @@ def similarity_summary(best: DataFrame) -> DataFrame:
 
 def best_similarities(parts: DataFrame, bits: DataFrame, n_bits: int) -> DataFrame:
     """Highest similarity of each test item to the train side of its own split; ``bits`` is (id, bits)."""
-    vec = bits.select("id", F.col("bits").alias("vec"))
-    side = lambda s: parts.filter(F.col("set") == s).select(*SPLIT, "id").join(vec, "id")
-    near = nearest(side("test"), side("train"), SPLIT, 1, "jaccard", n_bits)
-    return near.select(*SPLIT, F.col("lid").alias("id"), (F.lit(1.0) - F.col("distance")).alias("similarity"))
+    sets = bits.select("id", "bits")
+    side = lambda s: parts.filter(F.col("set") == s).select(*SPLIT, "id").join(sets, "id")
+    return best_in_other_set(side("test"), side("train"), SPLIT, n_bits).select(*SPLIT, "id", "similarity")
 
 
 def best_similarities_stored(parts: DataFrame, both_ways_pairs: DataFrame) -> DataFrame:

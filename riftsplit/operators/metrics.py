@@ -264,7 +264,7 @@ def ranking_agreement(ranked: DataFrame, by: list[str], category: str) -> DataFr
     placed = self_grid(ranked.select(*by, category, "rank_1", "rank_2"), category, ROWS_PER_BLOCK, by)
     types = dict(placed.dtypes)
 
-    def signs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def signs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf._b == key[-2]], pdf[pdf._b == key[-1]]
         sx = np.sign(left.rank_1.to_numpy()[:, None] - right.rank_1.to_numpy()[None, :])
         sy = np.sign(left.rank_2.to_numpy()[:, None] - right.rank_2.to_numpy()[None, :])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftsplit.plans.blocks import ROWS_PER_BLOCK, all_pairs, bit_rows, block_rows, cross_blocks, self_grid
-from riftsplit.plans.durable import durable
+from riftsplit.plans.durable import durable, join_bounded
 
 # A bit histogram is read on the driver, so the width of a fingerprint is bounded.
 MAX_BITS = 1 << 16
@@ -69,18 +71,6 @@ def nearest(
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def best_match(left, right, lid, rid, bits, n_bits, rows_per_block=ROWS_PER_BLOCK) -> DataFrame:
-    """For each left row the highest similarity to the right set and the first row that has it."""
-    near = nearest(
-        left.select(F.col(lid).alias("id"), F.col(bits).alias("vec")),
-        right.select(F.col(rid).alias("id"), F.col(bits).alias("vec")),
-        [], 1, "jaccard", n_bits, rows_per_block,
-    )
-    return near.select(
-        F.col("lid").alias("id"), F.col("rid").alias("match"), (F.lit(1.0) - F.col("distance")).alias("similarity")
-    )
-
-
 # -- stored distances ---------------------------------------------------------
 
 
@@ -129,8 +119,8 @@ def collapse_copies(df: DataFrame, row_id: str, bits: str, sums: dict[str, Colum
     return members, reps.withColumnRenamed("rep", "id")
 
 
-def _rank_bits(df: DataFrame, n_bits: int) -> tuple[DataFrame, int]:
-    """Bit positions replaced by their rank in rising frequency; also the row count."""
+def bit_ranks(df: DataFrame, n_bits: int) -> Column:
+    """Array literal: rank of each bit position in rising frequency."""
     if n_bits > MAX_BITS:
         raise ValueError(f"fingerprints wider than {MAX_BITS} bits are not supported")
     freq = df.select(F.explode("bits").alias("bit")).groupBy("bit").count().collect()  # at most n_bits rows
@@ -139,9 +129,14 @@ def _rank_bits(df: DataFrame, n_bits: int) -> tuple[DataFrame, int]:
         counts[row["bit"]] = row["count"]
     ranks = np.empty(n_bits, dtype=np.int64)
     ranks[np.lexsort((np.arange(n_bits), counts))] = np.arange(n_bits)
-    table = F.lit([int(r) for r in ranks])
-    ranked = F.array_sort(F.transform("bits", lambda b: F.get(table, b)))
-    return df.select("id", ranked.alias("bits")), df.count()
+    return F.lit([int(r) for r in ranks])
+
+
+def tanimoto_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Set similarity of all rows of two 0/1 matrices."""
+    inter = (a @ b.T).astype(np.float64)
+    union = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - inter
+    return np.divide(inter, union, out=np.zeros(union.shape), where=union > 0)
 
 
 def similarity_edges(
@@ -166,7 +161,9 @@ def similarity_edges(
     are never materialised.
     """
     rows = df.select(F.col(row_id).alias("id"), F.col(bits).alias("bits"))
-    ranked, n = _rank_bits(rows, n_bits)
+    table = bit_ranks(rows, n_bits)
+    ranked = rows.select("id", F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits"))
+    n = rows.count()
     rows_per_block = block_rows(rows_per_block, n_bits)
     loose = threshold - 1e-9
 
@@ -200,9 +197,7 @@ def similarity_edges(
         left, right = pdf[pdf._b == bi], pdf[pdf._b == bj]
         a, b = left.id.to_numpy(), right.id.to_numpy()
         ma, mb = bit_rows(left.bits, n_bits), bit_rows(right.bits, n_bits)
-        inter = (ma @ mb.T).astype(np.float64)
-        union = ma.sum(1, dtype=np.float64)[:, None] + mb.sum(1, dtype=np.float64)[None, :] - inter
-        sim = np.divide(inter, union, out=np.zeros(union.shape), where=union > 0)
+        sim = tanimoto_matrix(ma, mb)
         hit = keep(sim)
         if bi == bj:
             hit &= a[:, None] < b[None, :]
@@ -229,3 +224,125 @@ def approx_similarity_edges(df, row_id, bits, threshold, n_bits, tables: int = 1
     pairs = model.approxSimilarityJoin(vectors, vectors, 1.0 - threshold, "distance")
     ids = pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "distance")
     return ids.filter("src < dst").select("src", "dst", (F.lit(1.0) - F.col("distance")).alias("sim"))
+
+
+# -- highest similarity to another set ------------------------------------------
+
+# Thresholds tried from the top; a row whose best partner is above one is settled there.
+DESCENT = (0.8, 0.6, 0.4, 0.2, 0.0)
+
+
+def _prefix_entries(df: DataFrame, loose: float) -> DataFrame:
+    """One row per prefix bit of each set; at threshold 0 the prefix is the whole set."""
+    size = F.size("bits")
+    length = F.greatest(F.lit(0), F.least(size, size - F.ceil(F.lit(max(loose, 0.0)) * size) + 1)).cast("int")
+    return df.withColumn("bit", F.explode(F.slice("bits", 1, length)))
+
+
+def _descend(left, right, by, threshold, n_bits, rows_per_block, budget):
+    """Best partner at or above the threshold of each left row, by posting lists of both sides.
+
+    Returns None when the lists would compare more pairs than ``budget``.
+    """
+    left, right = _prefix_entries(left, threshold - 1e-9), _prefix_entries(right, threshold - 1e-9)
+    keys = [*by, "bit"]
+    count = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    lists = durable(count(left, "_cl").join(count(right, "_cr"), keys))
+    cost = lists.agg(F.sum(F.col("_cl").cast("double") * F.col("_cr"))).first()[0] or 0.0
+    if cost > budget:
+        return None
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(rows_per_block)).cast("int")
+    sizes = lists.select(*keys, blocks("_cl").alias("_nl"), blocks("_cr").alias("_nr"))
+
+    def placed(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        out = join_bounded(df, sizes, keys, "inner")
+        return out.withColumns(
+            {
+                mine: F.pmod(F.xxhash64("id"), F.col(own)).cast("int"),
+                theirs: F.explode(F.sequence(F.lit(0), F.col(other) - 1)),
+            }
+        ).drop("_nl", "_nr")
+
+    spread_l = placed(left, "_nl", "_nr", "bl", "br").withColumn("is_left", F.lit(True))
+    spread_r = placed(right, "_nr", "_nl", "br", "bl").withColumn("is_left", F.lit(False))
+    types = dict(left.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["id bigint, match bigint, similarity double"])
+    columns = [*by, "id", "match", "similarity"]
+
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.is_left], pdf[~pdf.is_left].sort_values("id", kind="stable")
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=columns)
+        sim = tanimoto_matrix(bit_rows(a.bits, n_bits), bit_rows(b.bits, n_bits))
+        best = sim.argmax(1)  # the first, that is the lowest id, among equals
+        value = sim[np.arange(len(a)), best]
+        hit = value >= max(threshold, 1e-12)
+        out = pd.DataFrame({"id": a.id.to_numpy()[hit], "match": b.id.to_numpy()[best[hit]], "similarity": value[hit]})
+        for pos, c in enumerate(by):
+            out.insert(pos, c, [key[pos]] * len(out))
+        return out
+
+    both = spread_l.unionByName(spread_r)
+    found = both.groupBy(*keys, "bl", "br").applyInPandas(settle, schema)
+    top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("match").alias("m"))).alias("_b")
+    return found.groupBy(*by, "id").agg(top).select(*by, "id", F.col("_b.m").alias("match"), (-F.col("_b.s")).alias("similarity"))
+
+
+def best_in_other_set(
+    left: DataFrame, right: DataFrame, by: list[str], n_bits: int, rows_per_block: int = ROWS_PER_BLOCK, plan: str | None = None
+) -> DataFrame:
+    """(by..., id, match, similarity): exact best partner of each left row among the right rows.
+
+    Both inputs are (by..., id, bits).  Sets that reach a threshold share a bit of their
+    short prefixes, so high thresholds are cheap: they are tried from the top, and only rows
+    without a partner yet go on.  As soon as the posting lists of a step would compare more
+    pairs than are left to compare at all, the block grid finishes the rest.  Rows that share no bit
+    with anything get similarity 0 and the lowest right id of their group.
+    """
+    fresh = [F.col(c).alias(c) for c in [*by, "id", "bits"]]
+    ranked_l = _ranked_by(left.select(*fresh), right.select(*fresh), n_bits)
+    left, right = (durable(d) for d in ranked_l)
+    rows_per_block = block_rows(rows_per_block, n_bits)
+    sizes = right.groupBy(*by).agg(F.count(F.lit(1)).alias("_r"), F.min("id").alias("_first"))
+    settled: list[DataFrame] = []
+    for threshold in () if plan == "grid" else DESCENT:
+        groups = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_l"))
+        pairs = groups.join(sizes, by) if by else groups.withColumn("_r", sizes.select("_r").scalar())
+        budget = pairs.agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0.0
+        if budget == 0.0:
+            break
+        step = _descend(left, right, by, threshold, n_bits, rows_per_block, budget if plan is None else float("inf"))
+        if step is None:
+            break
+        step = durable(step)
+        settled.append(step)
+        left = durable(left.join(step.select(*by, "id"), [*by, "id"], "left_anti"))
+    else:
+        if plan != "grid":
+            # nothing shares a bit with these
+            if by:
+                rest = join_bounded(left.select(*by, "id"), sizes, by, "inner")
+            else:
+                rest = left.select("id").withColumn("_first", sizes.select("_first").scalar()).filter("_first is not null")
+            settled.append(rest.select(*by, "id", F.col("_first").alias("match"), F.lit(0.0).alias("similarity")))
+            return reduce(DataFrame.unionByName, settled)
+    as_vec = lambda d: d.withColumnRenamed("bits", "vec")
+    near = nearest(as_vec(left), as_vec(right), by, 1, "jaccard", n_bits, rows_per_block)
+    settled.append(
+        near.select(*by, F.col("lid").alias("id"), F.col("rid").alias("match"), (F.lit(1.0) - F.col("distance")).alias("similarity"))
+    )
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _ranked_by(left: DataFrame, right: DataFrame, n_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their bits replaced by common ranks in rising frequency."""
+    table = bit_ranks(left.select("bits").unionByName(right.select("bits")), n_bits)
+    ranked = F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits")
+    return tuple(d.select(*[c for c in d.columns if c != "bits"], ranked) for d in (left, right))
+
+
+def best_match(left, right, lid, rid, bits, n_bits, rows_per_block=ROWS_PER_BLOCK, plan=None) -> DataFrame:
+    """For each left row the highest similarity to the right set and the first row that has it."""
+    a = left.select(F.col(lid).alias("id"), F.col(bits).alias("bits"))
+    b = right.select(F.col(rid).alias("id"), F.col(bits).alias("bits"))
+    return best_in_other_set(a, b, [], n_bits, rows_per_block, plan)

@@ -188,7 +188,7 @@ def cross_blocks(
     types = dict(left.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["lid bigint", "rid bigint", "distance double"])
 
-    def pairs(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         rpdf = rpdf.sort_values("rid", kind="stable")
         a, b = lpdf.lid.to_numpy(), rpdf.rid.to_numpy()
         if len(a) == 0 or len(b) == 0:

@@ -96,6 +96,13 @@ def best(spark, sf_dir):
     return rounded(out, "similarity")
 
 
+@query("d5_best_match_postings", f"{_BEST} SELECT id, {r6('max(sim)')} AS similarity, arg_min(m, struct_pack(a := -sim, b := m)) AS match FROM s GROUP BY id")
+def best_by_postings(spark, sf_dir):
+    items = sign_items(spark, sf_dir)
+    left, right = items.filter("label % 2 = 0"), items.filter("label % 2 = 1")
+    return rounded(sim.best_match(left, right, "id", "id", "bits", BITS, plan="postings"), "similarity")
+
+
 EDGE_THRESHOLD = 0.45
 
 

@@ -4,12 +4,12 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import brute_edges, components, leaders, random_sets
+from helpers import brute_edges, components, leaders, random_sets, tanimoto
 from pyspark.sql import functions as F
 
 from riftsplit.operators import graph
 from riftsplit.operators.cluster_split import butina_clusters, dbscan_clusters, sphere_exclusion_clusters
-from riftsplit.operators.similarity import collapse_copies, similarity_edges
+from riftsplit.operators.similarity import best_in_other_set, collapse_copies, similarity_edges
 
 
 def frame(spark, items):
@@ -39,6 +39,20 @@ def test_each_edge_once(spark):
     assert got.count() == got.distinct().count() == len(brute_edges(items, 0.3))
 
 
+@pytest.mark.parametrize("plan", ["postings", "grid", None])
+def test_best_in_other_set(spark, plan):
+    items = random_sets(90, 40, 11, copies=20) + [(500, []), (501, [39])]
+    left = [(i % 2, i, b) for i, b in items if i % 3 == 0 or i >= 500]
+    right = [(g, i, b) for i, b in items if i % 3 and i < 500 for g in (0, 1)]
+    schema = "g int, id bigint, bits array<int>"
+    out = best_in_other_set(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["g"], 40, 16, plan)
+    got = {(r["g"], r["id"]): (r["match"], r["similarity"]) for r in out.collect()}
+    assert len(got) == len(left)
+    for g, i, b in left:
+        match, s = min(((j, tanimoto(b, c)) for h, j, c in right if h == g), key=lambda p: (-p[1], p[0]))
+        assert got[(g, i)] == (match, pytest.approx(s))
+
+
 def test_collapse_copies(spark):
     members, reps = collapse_copies(frame(spark, random_sets(60, 30, 3, copies=20)), "id", "bits")
     weights = {r["id"]: r["weight"] for r in reps.collect()}
