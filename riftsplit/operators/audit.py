@@ -273,10 +273,10 @@ def density_histogram(parts: DataFrame, values: DataFrame, bins: int = HISTOGRAM
     counted = placed.groupBy(*SPLIT, "set", "lo", "hi", F.coalesce(slot, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # one row per bin and side from here on
     total = counted.groupBy(*SPLIT, "set").agg(F.sum("n").alias("_t"))
-    width = (F.col("hi") - F.col("lo")) / bins
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) / bins  # no density for a single value
     out = counted.join(total, [*SPLIT, "set"])
     return out.select(
-        *SPLIT, "set", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), "n",
+        *SPLIT, "set", "bin", (F.col("lo") + F.col("bin") * F.coalesce(width, F.lit(0.0))).alias("bin_start"), "n",
         (F.col("n") / (F.col("_t") * width)).alias("density"),
     )
 
@@ -319,7 +319,7 @@ def group_diversity(items: DataFrame, dataset: str, group: str, approximate: boo
 
 def test_size_shares(sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Tidy shares in %: the OOD test set, and the ID test set as a fifth of train."""
-    total = F.col("train_size") + F.col("test_size")
+    total = F.nullif(F.col("train_size") + F.col("test_size"), F.lit(0))
     wide = sizes.select(
         *keys,
         (F.col("test_size") / total * 100).alias("ood_test_size"),

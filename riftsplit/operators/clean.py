@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftsplit.functions.text import canonical_text
-from riftsplit.plans.order import seeded_key, take_by_hash
+from riftsplit.plans.order import seeded_key, take_by_hash, with_splits
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,9 +82,7 @@ def downsample_majority(df: DataFrame, row_id: str, label: str, ratio: float = 1
     if majority <= minority:
         raise ValueError("class 0 must be the majority")
     keep = min(majority, int(ratio * minority))
-    keyed = df.filter(F.col(label) == 0).withColumns(
-        {"split_index": F.lit(0), "_key": seeded_key(seed, F.lit(0), F.col(row_id))}
-    )
+    keyed = with_splits(df.filter(F.col(label) == 0), 1).withColumn("_key", seeded_key(seed, F.lit(0), F.col(row_id)))
     taken = take_by_hash(keyed, ["split_index"], {"keep": F.lit(keep)}, "rest").filter("set = 'keep'")
     return taken.select(*df.columns).unionByName(df.filter(F.col(label) == 1))
 

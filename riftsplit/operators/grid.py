@@ -112,7 +112,7 @@ def score_matrix(
     """Heatmap matrix: mean difference, ID or OOD score per row and column; percent of the ID mean on request."""
     a, b = id_ood(metric)
     if report == "diff":
-        cell = (F.avg(a) - F.avg(b)) / F.avg(a) * 100 if percent else F.avg(a) - F.avg(b)
+        cell = (F.avg(a) - F.avg(b)) / F.nullif(F.avg(a), F.lit(0.0)) * 100 if percent else F.avg(a) - F.avg(b)
     elif report in ("id", "ood"):
         cell = F.avg(a if report == "id" else b)
     else:
@@ -282,8 +282,8 @@ def anova(results: DataFrame, by: str = "split", group: str = "family", metric:
         F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"),
     )
     k, nn = F.col("k").cast("double"), F.col("nn").cast("double")
-    between = F.col("q") - F.col("s") * F.col("s") / nn
-    f = (between / (k - 1)) / F.nullif(F.col("within") / (nn - k), F.lit(0.0))
+    between = F.col("q") - F.col("s") * F.col("s") / F.nullif(nn, F.lit(0.0))
+    f = (between / F.nullif(k - 1, F.lit(0.0))) / F.nullif(F.col("within") / F.nullif(nn - k, F.lit(0.0)), F.lit(0.0))
     out = tot.select(by, f.alias("f_stat"), (k - 1).alias("d1"), (nn - k).alias("d2"))
     out = out.withColumn("p_value", fisher_upper("f_stat", "d1", "d2"))
     return out.select(by, "f_stat", "p_value", (F.col("p_value") < alpha).alias("is_significant"))
@@ -293,7 +293,7 @@ def correlation_significance(corrs: DataFrame) -> DataFrame:
     """Fisher z of (.., r, n): z score, p, 95 % interval, effect class; null where abs(r) >= 1."""
     r, n = F.col("r"), F.col("n").cast("double")
     ok = (F.abs(r) < 1) & (n > 3)
-    z, se = F.atanh(r), F.lit(1.0) / F.sqrt(n - 3)
+    z, se = F.atanh(r), F.lit(1.0) / F.nullif(F.sqrt(n - 3), F.lit(0.0))
     out = corrs.withColumns(
         {
             "z_score": F.when(ok, z / se),
@@ -324,8 +324,9 @@ def compare_correlations(corrs: DataFrame, by: str = "split", group: str = "fami
     a = corrs.select(by, F.col(group).alias("g1"), F.col("r").alias("r1"), F.col("n").alias("n1"))
     b = corrs.select(by, F.col(group).alias("g2"), F.col("r").alias("r2"), F.col("n").alias("n2"))
     pairs = a.join(b, by).filter("g1 < g2")
-    ok = (F.abs("r1") < 1) & (F.abs("r2") < 1)
-    se = F.sqrt(F.lit(1.0) / (F.col("n1") - 3) + F.lit(1.0) / (F.col("n2") - 3))
+    ok = (F.abs("r1") < 1) & (F.abs("r2") < 1) & (F.col("n1") > 3) & (F.col("n2") > 3)
+    room = lambda c: F.nullif(F.col(c).cast("double") - 3, F.lit(0.0))
+    se = F.sqrt(F.lit(1.0) / room("n1") + F.lit(1.0) / room("n2"))
     out = pairs.withColumn("z_diff", F.when(ok, (F.atanh("r1") - F.atanh("r2")) / se))
     return out.withColumn("p_value", normal_two_sided("z_diff"))
 
@@ -388,5 +389,5 @@ def drops(results: DataFrame, key: str = "dataset", metric: str = "roc_auc") ->
     a, b = id_ood(metric)
     return results.groupBy(key).agg(
         F.avg(a).alias("id_mean"), F.avg(b).alias("ood_mean"), (F.avg(a) - F.avg(b)).alias("drop"),
-        ((F.avg(a) - F.avg(b)) / F.avg(a) * 100).alias("drop_percent"),
+        ((F.avg(a) - F.avg(b)) / F.nullif(F.avg(a), F.lit(0.0)) * 100).alias("drop_percent"),
     )

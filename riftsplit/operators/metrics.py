@@ -279,7 +279,7 @@ def ranking_agreement(ranked: DataFrame, by: list[str], category: str) -> DataFr
     both = base.join(tau, by) if by else _attach_one(base, tau)
     n, r = F.col("n").cast("double"), F.col("spearman")
     t = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
-    z = F.col("s") / F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+    z = F.col("s") / F.nullif(F.sqrt(n * (n - 1) * (2 * n + 5) / 18), F.lit(0.0))
     return both.select(
         *by, "spearman", student_two_sided(t, n - 2).alias("spearman_p_value"),
         "kendall_tau", normal_two_sided(z).alias("kendall_p_value"), "footrule", "n",

@@ -49,7 +49,7 @@ def random_split(df, row_id="id", n_splits=5, test_size=None, train_size=None, s
 def random_three_way(df, row_id="id", ratio=(0.8, 0.1, 0.1), seed=1234) -> DataFrame:
     """Train/val/test by two cuts; the second fraction is taken of the remainder as it stands."""
     _check_fractions(*ratio)
-    keyed = df.select(F.lit(0).alias("split_index"), F.col(row_id).alias("id"))
+    keyed = with_splits(df.select(F.col(row_id).alias("id")), 1)
     keyed = keyed.withColumn("_key", seeded_key(seed, F.lit(0), F.col("id")))
     n = F.col("_n")
     test = size_column(float(ratio[2]), n, up=True)

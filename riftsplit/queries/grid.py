@@ -362,15 +362,16 @@ def drop_against_baseline(spark, sf_dir):
     f"""WITH l AS (SELECT p_brand AS dataset, property, value FROM (SELECT p_brand, p_retailprice AS Molecular_Weight, CAST(p_size AS DOUBLE) AS p_size FROM part) UNPIVOT (value FOR property IN (Molecular_Weight, p_size))),
         m AS (SELECT dataset, property, median(value) AS md FROM l GROUP BY ALL),
         s AS (SELECT *, CASE WHEN property = 'Molecular_Weight' THEN (md - 160) / 320.0 ELSE (md - min(md) OVER (PARTITION BY property)) / (max(md) OVER (PARTITION BY property) - min(md) OVER (PARTITION BY property)) END AS sc FROM m)
-        SELECT dataset, property, {r6("md")} AS median, {r6("sc")} AS scaled, {r6("median(sc) OVER (PARTITION BY property)")} AS property_median,
-        {r6("quantile_cont(sc, 0.75) OVER (PARTITION BY property) - quantile_cont(sc, 0.25) OVER (PARTITION BY property)")} AS property_iqr FROM s""",
+        SELECT dataset, property, round(CAST(md AS DOUBLE), 9) AS median, round(CAST(sc AS DOUBLE), 9) AS scaled, round(CAST(median(sc) OVER (PARTITION BY property) AS DOUBLE), 9) AS property_median,
+        round(CAST(quantile_cont(sc, 0.75) OVER (PARTITION BY property) - quantile_cont(sc, 0.25) OVER (PARTITION BY property) AS DOUBLE), 9) AS property_iqr FROM s""",
 )
 def scaled_medians(spark, sf_dir):
     wide = table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("dataset"), F.col("p_retailprice").alias("Molecular_Weight"), F.col("p_size").cast("double").alias("p_size")
     )
     long = wide.unpivot("dataset", ["Molecular_Weight", "p_size"], "property", "value")
-    return rounded(grid.scaled_medians(long), "median", "scaled", "property_median", "property_iqr")
+    out = grid.scaled_medians(long)
+    return out.withColumns({c: F.round(c, 9) for c in ("median", "scaled", "property_median", "property_iqr")})
 
 
 @query(
