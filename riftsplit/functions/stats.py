@@ -18,6 +18,16 @@ from pyspark.sql.types import DoubleType
 Z_95 = 1.959963984540054
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation; null where a side is constant (the builtin raises there in ANSI mode).
+
+    Rows with a null on either side are left out, as in the builtin.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     # Lentz evaluation of the continued fraction of the incomplete beta function.
     tiny = 1e-300

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riftsplit.functions.stats import Z_95, fisher_upper, normal_two_sided, student_two_sided
+from riftsplit.functions.stats import Z_95, fisher_upper, normal_two_sided, pearson, student_two_sided
 from riftsplit.operators.metrics import accuracy, average_ranks, curve_metrics, ranking_agreement, score_curve
 from riftsplit.plans.durable import join_bounded
 from riftsplit.plans.order import percentiles, seeded_key, take_by_hash
@@ -153,7 +153,7 @@ def side_by_side(results: DataFrame, dataset: str, split_a: str, split_b: str, c
 def correlations(results: DataFrame, keys: list[str], metric: str = "roc_auc") -> DataFrame:
     """Pearson r of ID and OOD per key, with the number of runs."""
     a, b = id_ood(metric)
-    return results.groupBy(*keys).agg(F.corr(a, b).alias("r"), F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"))
+    return results.groupBy(*keys).agg(pearson(f"ID_test_{metric}", f"OOD_test_{metric}").alias("r"), F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"))
 
 
 def correlation_matrix(results: DataFrame, families: list, metric: str = "roc_auc") -> DataFrame:
@@ -334,7 +334,7 @@ def compare_correlations(corrs: DataFrame, by: str = "split", group: str = "fami
 def score_hit_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Pearson and Spearman of two scores per splitter."""
     ranked = average_ranks(average_ranks(df.select(key, x, y), [key], x, "rx"), [key], y, "ry")
-    return ranked.groupBy(key).agg(F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(key).agg(pearson(x, y).alias("pearson"), pearson("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def drop_against_baseline(scores: DataFrame, key: str, value: str, baseline: str, by: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riftsplit.functions.stats import normal_quantile, normal_two_sided, student_two_sided
+from riftsplit.functions.stats import normal_quantile, normal_two_sided, pearson, student_two_sided
 from riftsplit.plans.blocks import ROWS_PER_BLOCK, self_grid
 from riftsplit.plans.durable import join_bounded
 from riftsplit.plans.order import global_rank, percentiles, running_totals
@@ -130,7 +130,7 @@ def task_metric(df: DataFrame, name: str, reduction: str = "none", threshold: fl
     diff = F.col("y_true") - F.col("y_pred")
     if name in ("r2", "mae", "rmse"):
         score = {
-            "r2": F.pow(F.corr("y_true", "y_pred"), 2.0),
+            "r2": F.pow(pearson("y_true", "y_pred"), 2.0),
             "mae": F.avg(F.abs(diff)),
             "rmse": F.sqrt(F.avg(diff * diff)),
         }[name]
@@ -259,7 +259,7 @@ def ranking_agreement(ranked: DataFrame, by: list[str], category: str) -> DataFr
     a large group is spread over many tasks.
     """
     base = ranked.groupBy(*by).agg(
-        F.corr("rank_1", "rank_2").alias("spearman"), F.sum("rank_diff").alias("footrule"), F.count(F.lit(1)).alias("n")
+        pearson("rank_1", "rank_2").alias("spearman"), F.sum("rank_diff").alias("footrule"), F.count(F.lit(1)).alias("n")
     )
     placed = self_grid(ranked.select(*by, category, "rank_1", "rank_2"), category, ROWS_PER_BLOCK, by)
     types = dict(placed.dtypes)

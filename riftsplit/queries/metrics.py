@@ -230,9 +230,9 @@ def ranking_table(spark, sf_dir):
 
 @query(
     "g13_ranking_agreement",
-    f"""WITH {_NATIONS}, k AS (SELECT a.half, sum(sign(a.rank_1 - b.rank_1) * sign(a.rank_2 - b.rank_2)) / sqrt(CAST(sum(abs(sign(a.rank_1 - b.rank_1))) * sum(abs(sign(a.rank_2 - b.rank_2))) AS DOUBLE)) AS tau
+    f"""WITH {_NATIONS}, k AS (SELECT a.half, sum(sign(a.rank_1 - b.rank_1) * sign(a.rank_2 - b.rank_2)) / nullif(sqrt(CAST(sum(abs(sign(a.rank_1 - b.rank_1))) * sum(abs(sign(a.rank_2 - b.rank_2))) AS DOUBLE)), 0) AS tau
         FROM rnk a JOIN rnk b ON a.half = b.half AND a.n_name < b.n_name GROUP BY a.half)
-        SELECT half, {r6("corr(rank_1, rank_2)")} AS spearman, {r6("max(tau)")} AS kendall_tau, {r6("sum(abs(rank_1 - rank_2))")} AS footrule, count(*) AS n FROM rnk JOIN k USING (half) GROUP BY half""",
+        SELECT half, {r6("CASE WHEN stddev_pop(rank_1) * stddev_pop(rank_2) > 0 THEN corr(rank_1, rank_2) END")} AS spearman, {r6("max(tau)")} AS kendall_tau, {r6("sum(abs(rank_1 - rank_2))")} AS footrule, count(*) AS n FROM rnk JOIN k USING (half) GROUP BY half""",
 )
 def ranking_agreement(spark, sf_dir):
     ranked = mt.ranking_comparison(_nations(spark, sf_dir), ["half"], "n_name", "v1", "v2")

@@ -184,3 +184,23 @@ def test_order_primitives_with_hot_values(spark, parts):
         h = p * 299
         lo, frac = int(h), h - int(h)
         assert row[name] == pytest.approx(values[lo] + frac * (values[min(lo + 1, 299)] - values[lo]))
+
+
+def test_constant_columns_give_null_not_an_error(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0)], "k string, x double, y double")
+    fit = metrics.linear_fit(df, ["k"], "x", "y").first()
+    assert fit["slope"] is None
+    assert df.select(stats.pearson("x", "y").alias("r")).first()["r"] is None
+    grid_rows = df.selectExpr("k as split", "k as family", "0.0D as ID_test_roc_auc", "0.0D as OOD_test_roc_auc", "k as dataset")
+    for out in (
+        grid.correlation_significance(grid.correlations(grid_rows, ["split", "family"])),
+        grid.compare_correlations(grid.correlations(grid_rows, ["split", "family"])),
+        grid.anova(grid_rows),
+        grid.t_tests(grid_rows),
+        grid.drops(grid_rows),
+        grid.score_matrix(grid_rows, "dataset", "split", ["a"], percent=True),
+    ):
+        out.collect()
+    parts = parts_of(spark, [(0, "train"), (1, "test")])
+    values = spark.createDataFrame([(0, 1.0), (1, 1.0)], "id bigint, value double")
+    assert all(r["density"] is None for r in audit.density_histogram(parts, values).collect())
