@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riftsplit.functions.stats import normal_quantile, normal_two_sided, pearson, student_two_sided
 from riftsplit.plans.blocks import ROWS_PER_BLOCK, self_grid
-from riftsplit.plans.durable import join_bounded
+from riftsplit.plans.durable import durable, join_bounded
 from riftsplit.plans.order import global_rank, percentiles, running_totals
 
 
@@ -205,7 +205,7 @@ def hit_rate(predictions: DataFrame, labels: DataFrame, item: str, score: str, l
     counts = lambda d: [F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.count(F.lit(1))]
     named = lambda d, s: d.agg(*[c.alias(f"{n}_{s}") for c, n in zip(counts(d), ("pos", "neg", "all"))])
     top = joined.orderBy(F.desc(score), F.col(item)).limit(top_k)
-    out = _attach_one(named(top, "top"), named(joined, "total"))
+    out = durable(_attach_one(named(top, "top"), named(joined, "total")))
     if out.first()["all_total"] == 0:
         raise ValueError("no item of the predictions has a label")
     tp, fp = F.col("pos_top"), F.col("neg_top")

@@ -162,8 +162,9 @@ def similarity_edges(
     """
     rows = df.select(F.col(row_id).alias("id"), F.col(bits).alias("bits"))
     table = bit_ranks(rows, n_bits)
-    ranked = rows.select("id", F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits"))
-    n = rows.count()
+    # read by the cost count, the list sizes and the join itself
+    ranked = durable(rows.select("id", F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits")))
+    n = ranked.count()
     rows_per_block = block_rows(rows_per_block, n_bits)
     loose = threshold - 1e-9
 

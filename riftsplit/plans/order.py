@@ -23,11 +23,6 @@ def seeded_key(seed: int, split: Column, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), split.cast("string"), *[c.cast("string") for c in cols]))
 
 
-def hash01(key: Column) -> Column:
-    """Map an md5 hex key to [0, 1)."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def with_splits(df: DataFrame, n_splits: int) -> DataFrame:
     """One copy of each row per split index."""
     if n_splits < 1:

@@ -330,7 +330,16 @@ def giant(spark, sf_dir):
     return graph.giant_first(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
 
 
-@query("e33_coarsened_graph")
+_STRONG = _LEADERS.replace(">= CAST(0.5 AS", "> CAST(0.5 AS").format(order="n DESC, id")
+
+
+@query(
+    "e33_coarsened_graph",
+    f"""WITH RECURSIVE {SIGN_PAIRS}{_STRONG.replace("SELECT unnest(won) AS id, leader AS cluster", ", of AS (SELECT unnest(won) AS id, leader AS cluster")}),
+        links AS (SELECT DISTINCT a.cluster AS a, b.cluster AS b FROM pairs JOIN of a ON a.id = pairs.i JOIN of b ON b.id = pairs.j WHERE sim > CAST(0.45 AS DOUBLE) AND a.cluster <> b.cluster),
+        ends AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM links)
+        SELECT cluster AS id, count(*) AS weight, (SELECT count(*) FROM ends WHERE ends.a = of.cluster OR ends.b = of.cluster) AS n_edges FROM of GROUP BY cluster""",
+)
 def coarsened(spark, sf_dir):
     items = sign_items(spark, sf_dir)
     edges = similarity_edges(items, "id", "bits", 0.45, BITS)
