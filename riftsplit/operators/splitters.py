@@ -30,8 +30,12 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select("split_index", "id", "set")
 
 
-def _label_test_train(test: Column, upto: Column) -> dict[str, Column]:
-    return {"test": test, "train": upto}
+def _test_train_cuts(test_size, train_size) -> tuple[dict[str, Column], str]:
+    """Cuts of the seeded order, and what lies beyond them: train, unless train has a size of its own."""
+    test, upto = test_train_quota(F.col("_n"), test_size, train_size)
+    if train_size is None or test_size is None:
+        return {"test": test}, "train"
+    return {"test": test, "train": upto}, "discard"
 
 
 def _check_fractions(*fractions: float) -> None:
@@ -43,7 +47,7 @@ def random_split(df, row_id="id", n_splits=5, test_size=None, train_size=None, s
     """Shuffle splits: the smallest seeded keys form the test set."""
     keyed = with_splits(df.select(F.col(row_id).alias("id")), n_splits)
     keyed = keyed.withColumn("_key", seeded_key(seed, F.col("split_index"), F.col("id")))
-    return _out(take_by_hash(keyed, BY_SPLIT, _label_test_train(*test_train_quota(F.col("_n"), test_size, train_size)), "discard"))
+    return _out(take_by_hash(keyed, BY_SPLIT, *_test_train_cuts(test_size, train_size)))
 
 
 def random_three_way(df, row_id="id", ratio=(0.8, 0.1, 0.1), seed=1234) -> DataFrame:
@@ -127,8 +131,8 @@ def group_shuffle(df, row_id, group: str | Column, n_splits=5, test_size=None, t
     key = F.col(group) if isinstance(group, str) else group
     rows = df.select(F.col(row_id).alias("id"), F.coalesce(key.cast("string"), F.lit("")).alias("_g"))
     hashed = lambda d: with_splits(d, n_splits).withColumn("_key", seeded_key(seed, F.col("split_index"), F.col("_g")))
-    quota = _label_test_train(*test_train_quota(F.col("_n"), test_size, train_size))
-    return _out(take_by_hash(hashed(rows), BY_SPLIT, quota, "discard", cut_keys=hashed(rows.select("_g").distinct())))
+    quota, rest = _test_train_cuts(test_size, train_size)
+    return _out(take_by_hash(hashed(rows), BY_SPLIT, quota, rest, cut_keys=hashed(rows.select("_g").distinct())))
 
 
 def scaffold_split(df, row_id, scaffold: str | Column, n_splits=5, test_size=None, train_size=None, seed=0) -> DataFrame:
