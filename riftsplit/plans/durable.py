@@ -1,20 +1,23 @@
 """Materialisation that survives the loss of an executor.
 
 Iterative operators and two-pass ranks need a result that will not be computed
-twice with different partition borders.  They use reliable checkpoints in the
+twice with different partition borders.  They use reliable checkpoints, or tables in the
 shared folder named by ``spark.checkpoint.dir``; nothing is kept only on the
 executors' disks.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row bound under which a side is broadcast; above it the join is left to the planner.
-BROADCAST_ROWS = 200_000
+# Bytes under which a side is broadcast; above them the join is left to the planner.
+BROADCAST_BYTES = 32 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -29,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -38,9 +41,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a columnar table in the checkpoint folder and read it from there; later reads prune columns.
+
+    The table is deleted when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(small: DataFrame, row_bytes: int) -> DataFrame:
+    """``small`` (a stored table), with a broadcast hint if its counted rows of ``row_bytes`` fit the bound."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
+def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_bytes: int = 160) -> DataFrame:
     """Join a table that is usually small: broadcast it only after counting its rows."""
-    small = durable(small)
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(broadcast_if_small(durable(small), row_bytes), on, how)
