@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, licenses, quality, secrets, sharding
+from riftsplit.llm import chat, licenses, near_duplicates, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies: 85 of 100 three-word shingles shared."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_duplicates.near_duplicate_classes(documents, width=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
