@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, licenses, near_duplicates, quality, secrets, sharding
+from riftsplit.llm import chat, decontamination, licenses, near_duplicates, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +177,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates.near_duplicate_classes(documents, width=3, percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain four fifths of the five-word shingles of a benchmark item."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))

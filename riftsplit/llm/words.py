@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 17  # bytes hashed at a time; longer only if one word is longer
 BATCH_BYTES = 8 << 20  # text handled at a time; longer only if one text is longer
@@ -58,7 +59,7 @@ class _Powers:
 def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of about BATCH_BYTES of text."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         upto = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
