@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, decontamination, licenses, near_duplicates, quality, secrets, sharding
+from riftsplit.llm import chat, decontamination, licenses, near_duplicates, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,3 +185,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contaminated(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
