@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, decontamination, licenses, near_duplicates, packing, quality, secrets, sharding
+from riftsplit.llm import chat, decontamination, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,3 +194,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from: two thirds of the ids."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from two thirds of the labels."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.learn_grammar(documents, training_labels(table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    scored = toxicity.score_toxicity(documents, grammar)
+    return scored.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
