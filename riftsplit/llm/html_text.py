@@ -232,11 +232,14 @@ def _without(x: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def _variants(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The page, and copies of it that lack a mark or carry the article's mark everywhere."""
+    """The page, its main text alone, and copies of it that lack a mark or carry the article's mark everywhere."""
     around = x.copy()
     around[:, INDEX["in_article"]] = 1.0
     marks = ["in_article", "in_main", "content"]
-    return [(x, y), (around, y), (_without(x, marks), y), (_without(x, [*marks, "in_nav", "in_footer", "in_header", "in_section"]), y)]
+    alone = _without(x[y == 1], ["first", "last"])
+    if len(alone):
+        alone[0, INDEX["first"]] = alone[-1, INDEX["last"]] = 1.0
+    return [(alone, np.ones(len(alone), dtype=int)), (x, y), (around, y), (_without(x, marks), y), (_without(x, [*marks, "in_nav", "in_footer", "in_header", "in_section"]), y)]
 
 
 class Field:
