@@ -6,7 +6,7 @@ digest of the result is looked up by a hash join in the table of known licence t
 notices.  The whole text is looked up, and each of its lines that speaks of a licence.
 
 Defined results: a null or empty text has no digest and no licence; rows with one id are one
-document (a null id included) whose licences are united; catalogue entries with one canonical
+document (a null id included) whose licences are united and whose lines add up; catalogue entries with one canonical
 form are one licence (the first name).  Only ids, digests and hits are shuffled.
 """
 
