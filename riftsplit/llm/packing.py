@@ -6,7 +6,8 @@ group is packed alone: longest piece first, each into the first sequence that ha
 holds the room of every sequence, the larger of two at each inner node, so the first fit is found by
 walking down.  The pieces are written before they are dealt, so a repeated task deals alike.
 
-Texts are tokenized word by word between white space (no token spans it), each different word once.
+Texts are tokenized word by word between white space and before closing marks (no token spans these),
+each different word once.
 
 Defined results: a null or empty text is the end id alone; every row is packed, repeated rows
 and null ids included; an empty table gives no rows; other columns are ignored.
@@ -29,7 +30,9 @@ from riftsplit.plans.durable import stored
 LENGTH = 2048
 END_ID = 1
 GROUP_SIZE = 4096
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
+# the tokenizer cuts between a letter or digit and the marks that end a word, so they can be words of their own
+WORD_END = r"([\pL\pN])([.,!?;|%&$*#]+)([ \n]|$)"
 
 
 class WordTokens:
@@ -62,7 +65,10 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, nulls as empty."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are written in lower case
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, WORD_END, r"\1 \2 "))
         bounds = np.asarray(split.offsets).astype(np.int64)
         coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         words = coded.dictionary.to_pylist()

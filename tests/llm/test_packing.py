@@ -13,8 +13,9 @@ TEXTS = [
     (3, "Hello, WORLD! it's 42 degrees now"),
     (4, "  spaces\tand\n\nlines  "),
     (5, "a" * 9000),
-    (6, "many words of every kind " * 3000),
+    (6, "many words of every kind, 'tis! " * 3000),
     (7, "<|endoftext|> inside é é ΟΔΟΣ İ"),
+    (8, 'it\'s, "quoted", 1.5. x... é, e\u0301, a|b| c%%% <|ENDOFTEXT|>  end!'),
     (3, "Hello, WORLD! it's 42 degrees now"),
     (None, "no id"),
 ]
