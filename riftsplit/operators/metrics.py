@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftsplit.functions.stats import normal_quantile, normal_two_sided, pearson, student_two_sided
@@ -159,15 +159,31 @@ def brier_score(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.pow(F.col("y_pred") - F.col("y_true"), 2.0)).alias("brier"))
 
 
+def _below(edges: list[float], closed: bool) -> Column:
+    """Number of edges that the score has passed; ``closed``: an edge belongs to the bin on its right."""
+    passed = (lambda e: e <= F.col("y_pred")) if closed else (lambda e: e < F.col("y_pred"))
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), passed))
+
+
+def _edges(n_bins: int) -> list[float]:
+    return [i * (1.0 / n_bins) for i in range(n_bins)]
+
+
 def _bin(n_bins: int, include_one: bool) -> Column:
-    slot = F.floor(F.col("y_pred") * n_bins)
-    slot = F.when((F.col("y_pred") >= 0) & (F.col("y_pred") < 1), slot)
+    """Bin ``[lo, hi)`` by the edges themselves, so a score on an edge is where the comparison says."""
+    slot = F.when((F.col("y_pred") >= 0) & (F.col("y_pred") < 1), _below(_edges(n_bins), True) - 1)
     return F.when(F.col("y_pred") == 1, n_bins - 1).otherwise(slot) if include_one else slot
 
 
-def calibration_bins(df: DataFrame, by: list[str], n_bins: int = 10, include_one: bool = False) -> DataFrame:
-    """Mean score and positive share of each non-empty score bin ``[lo, hi)``."""
-    binned = df.withColumn("bin", _bin(n_bins, include_one).cast("int"))
+def _curve_bin(n_bins: int) -> Column:
+    """Bin ``(lo, hi]``; 0 is in the first and 1 in the last."""
+    inside = (F.col("y_pred") >= 0) & (F.col("y_pred") <= 1)
+    return F.when(inside, _below(_edges(n_bins)[1:], False))
+
+
+def calibration_bins(df: DataFrame, by: list[str], n_bins: int = 10) -> DataFrame:
+    """Mean score and positive share of each non-empty score bin ``(lo, hi]``."""
+    binned = df.withColumn("bin", _curve_bin(n_bins).cast("int"))
     return binned.filter(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(
         F.avg("y_pred").alias("prob_pred"), F.avg("y_true").alias("prob_true"), F.count(F.lit(1)).alias("n")
     )
@@ -191,27 +207,36 @@ def ranked_predictions(predictions: DataFrame, labels: DataFrame, item: str, sco
     return global_rank(predictions.join(labels, item), [F.desc(score), F.col(item)])
 
 
-def hit_rate(predictions: DataFrame, labels: DataFrame, item: str, score: str, label: str, top_k: int = 100) -> DataFrame:
-    """Top-k as predicted positives: confusion counts, hit rate (over k), TPR, FPR, precision.
+def hit_rate(
+    predictions: DataFrame, labels: DataFrame, item: str, score: str, label: str, top_k: int = 100, by: list[str] | None = None
+) -> DataFrame:
+    """Top-k as predicted positives: confusion counts, hit rate (over k), TPR, FPR, precision; one row per group of ``by``.
 
-    The k best rows come from a top-k plan; the rest is known from the totals, so nothing
-    is ranked as a whole.
+    Only the k best rows of each group are ranked (a group limit before the shuffle); the rest is known
+    from the totals.
     """
-    for df, cols in ((predictions, (item, score)), (labels, (item, label))):
+    by = list(by or [])
+    for df, cols in ((predictions, (*by, item, score)), (labels, (item, label))):
         missing = [c for c in cols if c not in df.columns]
         if missing:
             raise ValueError(f"columns {missing} not found")
-    joined = predictions.select(item, score).join(labels.select(item, label), item)
-    counts = lambda d: [F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.count(F.lit(1))]
-    named = lambda d, s: d.agg(*[c.alias(f"{n}_{s}") for c, n in zip(counts(d), ("pos", "neg", "all"))])
-    top = joined.orderBy(F.desc(score), F.col(item)).limit(top_k)
-    out = durable(_attach_one(named(top, "top"), named(joined, "total")))
-    if out.first()["all_total"] == 0:
+    joined = predictions.select(*by, item, score).join(labels.select(item, label), item)
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc(score), F.col(item))
+        top = joined.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top_k)
+    else:
+        top = joined.orderBy(F.desc(score), F.col(item)).limit(top_k)
+    counts = {"pos": F.count_if(F.col(label) == 1), "neg": F.count_if(F.col(label) == 0), "all": F.count(F.lit(1))}
+    parts = [d.groupBy(*by).agg(*[c.alias(f"{n}_{s}") for n, c in counts.items()]) for d, s in ((top, "top"), (joined, "total"))]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    out = durable(both.groupBy(*by).agg(*[F.coalesce(F.sum(f"{n}_{s}"), F.lit(0)).alias(f"{n}_{s}") for n in counts for s in ("top", "total")]))
+    if not out.agg(F.coalesce(F.sum("all_total"), F.lit(0))).first()[0]:
         raise ValueError("no item of the predictions has a label")
     tp, fp = F.col("pos_top"), F.col("neg_top")
     fn, tn = F.col("pos_total") - tp, F.col("neg_total") - fp
     rate = lambda a, b: _zero_is(0.0, a, b)
     return out.select(
+        *by,
         (tp / F.lit(float(top_k)) if top_k > 0 else F.lit(0.0)).alias("hit_rate"),
         tp.alias("tp_count"), fp.alias("fp_count"), tn.alias("tn_count"), fn.alias("fn_count"),
         rate(tp, tp + fn).alias("tpr"), rate(fp, fp + tn).alias("fpr"), rate(tp, tp + fp).alias("precision"),

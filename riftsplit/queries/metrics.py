@@ -152,15 +152,22 @@ def brier(spark, sf_dir):
     return rounded(mt.brier_score(predictions(spark, sf_dir), ["g"]), "brier")
 
 
-_BINS = f"""WITH {PREDICTIONS}, b AS (SELECT g, CASE WHEN y_pred >= 0 AND y_pred < 1 THEN CAST(floor(y_pred * 10) AS INTEGER) END AS bin, avg(y_pred) AS p, avg(y_true) AS t, count(*) AS n FROM pred GROUP BY 1, 2)"""
+def _bins(slot: str) -> str:
+    return f"""WITH {PREDICTIONS}, b AS (SELECT g, CAST({slot} AS INTEGER) AS bin, avg(y_pred) AS p, avg(y_true) AS t, count(*) AS n FROM pred GROUP BY 1, 2)"""
 
 
-@query("g8_calibration_error", f"{_BINS} SELECT g, {r6('sum(CASE WHEN bin IS NULL THEN 0 ELSE abs(p - t) * n END) / sum(n)')} AS ece FROM b GROUP BY g")
+# edges i * 0.1; [lo, hi) for the error, (lo, hi] for the curve
+_STEP = "i * (CAST(1 AS DOUBLE) / 10)"
+_ERROR_BINS = _bins(f"CASE WHEN y_pred >= 0 AND y_pred < 1 THEN len(list_filter(range(10), lambda i: {_STEP} <= y_pred)) - 1 END")
+_CURVE_BINS = _bins(f"CASE WHEN y_pred BETWEEN 0 AND 1 THEN len(list_filter(range(1, 10), lambda i: {_STEP} < y_pred)) END")
+
+
+@query("g8_calibration_error", f"{_ERROR_BINS} SELECT g, {r6('sum(CASE WHEN bin IS NULL THEN 0 ELSE abs(p - t) * n END) / sum(n)')} AS ece FROM b GROUP BY g")
 def calibration_error(spark, sf_dir):
     return rounded(mt.calibration_error(predictions(spark, sf_dir), ["g"]), "ece")
 
 
-@query("g9_calibration_curve", f"{_BINS} SELECT g, bin, {r6('p')} AS prob_pred, {r6('t')} AS prob_true, n FROM b WHERE bin IS NOT NULL")
+@query("g9_calibration_curve", f"{_CURVE_BINS} SELECT g, bin, {r6('p')} AS prob_pred, {r6('t')} AS prob_true, n FROM b WHERE bin IS NOT NULL")
 def calibration_curve(spark, sf_dir):
     return rounded(mt.calibration_bins(predictions(spark, sf_dir), ["g"]), "prob_pred", "prob_true")
 
@@ -177,6 +184,19 @@ def hit_rate(spark, sf_dir):
     return rounded(mt.hit_rate(docs, labels, "doc_id", "n_chars", "toxic", 100), "hit_rate", "tpr", "fpr", "precision")
 
 
+@query(
+    "g10_top_k_hit_rate_by_group",
+    f"""WITH r AS (SELECT lang, toxic AS y, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rk FROM documents JOIN labels USING (doc_id)),
+        c AS (SELECT lang, count_if(rk <= 20 AND y = 1) AS tp, count_if(rk <= 20 AND y = 0) AS fp, count_if(rk > 20 AND y = 0) AS tn, count_if(rk > 20 AND y = 1) AS fn, count(*) AS n FROM r GROUP BY lang)
+        SELECT lang, {r6("tp / 20.0")} AS hit_rate, tp AS tp_count, fp AS fp_count, tn AS tn_count, fn AS fn_count,
+        {r6("CASE WHEN tp + fn = 0 THEN 0 ELSE tp / CAST(tp + fn AS DOUBLE) END")} AS tpr, {r6("CASE WHEN fp + tn = 0 THEN 0 ELSE fp / CAST(fp + tn AS DOUBLE) END")} AS fpr,
+        {r6("CASE WHEN tp + fp = 0 THEN 0 ELSE tp / CAST(tp + fp AS DOUBLE) END")} AS precision, n AS total_molecules, 20 AS top_k FROM c""",
+)
+def hit_rate_by_group(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rounded(mt.hit_rate(docs, labels, "doc_id", "n_chars", "toxic", 20, by=["lang"]), "hit_rate", "tpr", "fpr", "precision")
+
+
 @query("g10_ranked_predictions", "SELECT doc_id, toxic, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)")
 def ranked_predictions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
