@@ -161,15 +161,16 @@ def _centre_distances(centres: np.ndarray) -> np.ndarray:
 
 
 def _fill(order, sizes: np.ndarray, quota: float) -> list[int]:
-    """Clusters in the given order until the quota is met, never all of them."""
+    """Clusters in the given order whose sizes add up to the quota at most (the smallest if none fits), never all of them."""
     picked, rows, alive = [], 0, int((sizes > 0).sum())
     for c in order:
-        if sizes[c] == 0 or c in picked:
+        if sizes[c] == 0 or c in picked or len(picked) >= alive - 1:
             continue
-        if rows >= quota or len(picked) >= alive - 1:
-            break
-        picked.append(int(c))
-        rows += int(sizes[c])
+        if rows + sizes[c] <= quota:
+            picked.append(int(c))
+            rows += int(sizes[c])
+    if not picked and alive > 1:
+        picked = [int(min(np.flatnonzero(sizes > 0), key=lambda c: (sizes[c], c)))]
     return picked
 
 
@@ -182,7 +183,7 @@ def _by_clusters(clusters: DataFrame, picked: list[list[int]]) -> DataFrame:
 
 
 def max_dissimilarity_split(df, row_id, features, n_clusters=25, n_splits=5, test_size=0.2, seed=0, **kw) -> DataFrame:
-    """Test = clusters far from the rest: the farthest first, then those farthest from what stays."""
+    """Test = clusters picked farthest first: each next one is the farthest from those picked before."""
     picked, clusters = [], None
     clusters, centres = kmeans_clusters(df, row_id, features, n_clusters, seed=seed, **kw)
     d, sizes = _centre_distances(centres), _sizes(clusters, n_clusters)
@@ -192,13 +193,13 @@ def max_dissimilarity_split(df, row_id, features, n_clusters=25, n_splits=5, tes
         order = [start]
         while len(order) < len(d):
             others = [c for c in range(len(d)) if c not in order]
-            order.append(max(others, key=lambda c: (-d[c, order].min(), -c)))
+            order.append(max(others, key=lambda c: (d[c, order].min(), -c)))
         picked.append(_fill(order, sizes, test_size * sizes.sum()))
     return _by_clusters(clusters, picked)
 
 
 def perimeter_split(df, row_id, features, n_clusters=25, n_splits=5, test_size=0.2, seed=0, **kw) -> DataFrame:
-    """Test = both ends of the most distant cluster pairs, pair by pair."""
+    """Test = both ends of the most distant cluster pairs, pair by pair; nothing is random, so all repeats are the same."""
     clusters, centres = kmeans_clusters(df, row_id, features, n_clusters, seed=seed, **kw)
     d, sizes = _centre_distances(centres), _sizes(clusters, n_clusters)
     r, c = np.triu_indices(len(d), 1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftsplit.functions.stats import Z_95, fisher_upper, normal_two_sided, pearson, student_two_sided
@@ -277,12 +277,14 @@ def anova(results: DataFrame, by: str = "split", group: str = "family", metric:
     """One-way analysis of variance of the difference over groups, per ``by``."""
     d = gap(metric)
     per = results.groupBy(by, group).agg(F.count(d).alias("n"), F.avg(d).alias("m"), F.var_pop(d).alias("v"))
-    tot = per.groupBy(by).agg(
+    # deviations from the grand mean, so that large sums do not cancel
+    group_of = Window.partitionBy(by)
+    grand = F.sum(F.col("n") * F.col("m")).over(group_of) / F.nullif(F.sum("n").over(group_of).cast("double"), F.lit(0.0))
+    tot = per.withColumn("_grand", grand).groupBy(by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("nn"), F.sum(F.col("n") * F.col("v")).alias("within"),
-        F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("_grand"), 2.0)).alias("between"),
     )
-    k, nn = F.col("k").cast("double"), F.col("nn").cast("double")
-    between = F.col("q") - F.col("s") * F.col("s") / F.nullif(nn, F.lit(0.0))
+    k, nn, between = F.col("k").cast("double"), F.col("nn").cast("double"), F.col("between")
     f = (between / F.nullif(k - 1, F.lit(0.0))) / F.nullif(F.col("within") / F.nullif(nn - k, F.lit(0.0)), F.lit(0.0))
     out = tot.select(by, f.alias("f_stat"), (k - 1).alias("d1"), (nn - k).alias("d2"))
     out = out.withColumn("p_value", fisher_upper("f_stat", "d1", "d2"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftsplit.operators import cluster_split, cut_split, splitters
+from riftsplit.plans.durable import stored
 
 # name -> function(df, row_id, **params) returning (split_index, id, set)
 SPLITTERS: dict[str, Callable[..., DataFrame]] = {
@@ -56,9 +57,7 @@ def run_all_splitters(df: DataFrame, row_id: str, params: dict[str, dict]) -> tu
     done, status = [], []
     for name, options in params.items():
         try:
-            parts = run_splitter(name, df, row_id, **options)
-            parts.schema  # noqa: B018  analysis errors surface here
-            done.append(parts)
+            done.append(stored(run_splitter(name, df, row_id, **options)))  # failures at run time surface here
             status.append((name, True, None))
         except Exception as e:  # noqa: BLE001
             status.append((name, False, f"{type(e).__name__}: {e}"[:500]))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from riftsplit.plans.durable import durable, join_bounded
 
@@ -146,14 +147,20 @@ def global_rank(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFr
 
 
 def kth_key(df: DataFrame, value: Column, row_id: Column, k: int, n: int):
-    """(value, id) of the k-th smallest row by (value, id), or None when k is 0.
+    """(value, id) of the k-th smallest row by (value, id), nulls first, or None when k is 0.
 
-    A sketch brackets the value, one count places the bracket, and only the rows
-    inside it are sorted.
+    For numbers a sketch of their doubles brackets the value, one count places the bracket, and only the rows
+    inside it are sorted; casting keeps the order, and rows with one double are in the bracket together, so
+    whole numbers and decimals are compared as they are.  Other types are ranked as a whole.
     """
     if k <= 0:
         return None
-    rows = df.select(F.coalesce(value.cast("double"), F.lit(float("-inf"))).alias("_v"), row_id.alias("_id"))
+    rows = df.select(value.alias("_value"), row_id.alias("_id"))
+    order = [F.asc_nulls_first("_value"), F.col("_id")]
+    if not isinstance(rows.schema["_value"].dataType, NumericType):
+        hit = global_rank(rows, order).filter(F.col("rank") == k).first()
+        return hit["_value"], hit["_id"]
+    rows = rows.withColumn("_v", F.coalesce(F.col("_value").cast("double"), F.lit(float("-inf"))))
     eps, p = 0.002, k / n
     grid = [max(0.0, p - eps), min(1.0, p + eps)]
     lo, hi = rows.agg(F.percentile_approx("_v", grid, 10_000).alias("q")).first()["q"]
@@ -161,16 +168,17 @@ def kth_key(df: DataFrame, value: Column, row_id: Column, k: int, n: int):
     if not below < k <= upto:  # the sketch missed: sort everything
         lo, hi, below = float("-inf"), float("inf"), 0
     bracket = rows.filter(F.col("_v").between(lo, hi) | F.isnan("_v"))
-    hit = global_rank(bracket, [F.col("_v"), F.col("_id")]).filter(F.col("rank") == k - below).first()
-    return hit["_v"], hit["_id"]
+    hit = global_rank(bracket, order).filter(F.col("rank") == k - below).first()
+    return hit["_value"], hit["_id"]
 
 
 def at_or_before(value: Column, row_id: Column, key) -> Column:
-    """True for rows not after ``key`` in the (value, id) order."""
+    """True for rows not after ``key`` in the (value, id) order, nulls first."""
     if key is None:
         return F.lit(False)
-    v = F.coalesce(value.cast("double"), F.lit(float("-inf")))
-    return (v < F.lit(key[0])) | ((v == F.lit(key[0])) & (row_id <= F.lit(key[1])))
+    earlier = F.lit(False) if key[0] is None else value.isNull() | (value < F.lit(key[0]))
+    same = value.isNull() if key[0] is None else value == F.lit(key[0])
+    return F.coalesce(earlier | (same & (row_id <= F.lit(key[1]))), F.lit(False))
 
 
 def running_totals(
