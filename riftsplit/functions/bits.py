@@ -26,17 +26,19 @@ def shingle_fingerprint(item: Column, q: int = 4, n_bits: int = CLUSTER_BITS, on
         raise ValueError("on_invalid must be 'empty' or 'raise'")
     powers = [HASH_BASE ** (q - 1 - j) for j in range(q)]
 
-    def grams(text) -> np.ndarray:
-        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        n = len(codes) - q + 1
-        if n < 1:
-            return np.zeros(0, dtype=np.int32)
-        hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
-        return np.flatnonzero(np.bincount(hashed, minlength=n_bits)).astype(np.int32)
-
     @F.pandas_udf(ArrayType(IntegerType()))
     def fingerprint(items: pd.Series) -> pd.Series:
-        return items.map(grams, na_action=None)
+        # the texts of a batch lie one after the other in one array of code points
+        texts = [t or "" for t in items]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        n = max(0, len(codes) - q + 1)
+        hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
+        inside = row[:n] == row[q - 1 : q - 1 + n]  # no gram spans two texts
+        found = np.unique(row[:n][inside] * n_bits + hashed[inside])
+        at = np.searchsorted(found, np.arange(len(texts) + 1) * n_bits)
+        bits = (found % n_bits).astype(np.int32)
+        return pd.Series([bits[i:j] for i, j in zip(at[:-1], at[1:])], dtype=object)
 
     if on_invalid == "raise":
         item = F.when(item.isNull(), F.raise_error("item without a fingerprint").cast("string")).otherwise(item)

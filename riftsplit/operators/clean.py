@@ -31,19 +31,28 @@ def drop_without_key(df: DataFrame, key: str = "key") -> DataFrame:
     return df.filter(F.col(key).isNotNull())
 
 
+def key_digest(key: str) -> dict[str, Column]:
+    """Two 64-bit hashes that stand for a long key in shuffles."""
+    return {"_h1": F.xxhash64(F.col(key)), "_h2": F.xxhash64(F.col(key), F.lit("key"))}
+
+
 def drop_conflicting(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keep keys with exactly one distinct non-null label.
 
     min = max says the same as one distinct value and combines on the map side, so
-    a hot key never meets in one task before it is reduced to two numbers.
+    a hot key never meets in one task before it is reduced to two numbers.  Digests stand for the keys, and
+    the keys to drop, usually few, are the side that is looked up.
     """
-    agreed = (
-        df.groupBy(key)
-        .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-        .filter(F.col("_lo").isNotNull() & (F.col("_lo") == F.col("_hi")))
-        .select(key)
+    digests = key_digest(key)
+    bad = (
+        df.select(*[c.alias(n) for n, c in digests.items()], F.col(label).alias("_label"))
+        .groupBy(*digests)
+        .agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"))
+        .filter(F.col("_lo").isNull() | (F.col("_lo") != F.col("_hi")))
+        .select(*digests)
     )
-    return df.join(agreed, key, "left_semi")
+    kept = df.filter(F.col(key).isNotNull()).withColumns(digests).join(bad, list(digests), "left_anti")
+    return kept.select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: str, row_id: str) -> DataFrame:
@@ -59,19 +68,20 @@ def standardize(df: DataFrame, item: str, label: str, row_id: str, key_expr: Col
     """Key, drop keyless, drop conflicting, first per key, project to (id, item, label).
 
     Conflict test and first row come out of one grouping: a key is kept when its
-    non-null labels agree, so a single shuffle serves both steps.
+    non-null labels agree.
     """
     require_columns(df, [item, label, row_id])
     keyed = drop_without_key(with_canonical_key(df.select(row_id, item, label), item, key_expr))
-    grouped = keyed.groupBy("key").agg(
+    keyed = keyed.select(row_id, "key", label).withColumns(key_digest("key"))
+    # only digests, ids and labels are grouped; the text comes back with the rows that stay
+    grouped = keyed.groupBy("_h1", "_h2").agg(
         F.min(label).alias("_lo"),
         F.max(label).alias("_hi"),
         F.min(row_id).alias(row_id),
         F.min_by(F.struct(label), F.col(row_id)).alias("_first"),
     )
-    return grouped.filter(F.col("_lo") == F.col("_hi")).select(
-        row_id, F.col("key").alias("item"), F.col("_first")[label].alias("label")
-    )
+    stay = grouped.filter(F.col("_lo") == F.col("_hi")).select("_h1", "_h2", row_id, F.col("_first")[label].alias("label"))
+    return keyed.select(row_id, "key", "_h1", "_h2").join(stay, [row_id, "_h1", "_h2"]).select(row_id, F.col("key").alias("item"), "label")
 
 
 def downsample_majority(df: DataFrame, row_id: str, label: str, ratio: float = 1.5, seed: int = 42) -> DataFrame:

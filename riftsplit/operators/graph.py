@@ -9,17 +9,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftsplit.plans.durable import durable
 from riftsplit.plans.order import hash_cuts, running_totals, seeded_key
 
-# Links among undecided vertices that one task may finish (16 bytes each).
-TAIL_LINKS = 500_000
-
-
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """(node, other) in both directions from one scan."""
     ends = F.explode(
@@ -69,39 +64,14 @@ def _name_components(vertices: DataFrame, stars: DataFrame) -> DataFrame:
     return vertices.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _greedy_tail(links: DataFrame, pending: DataFrame, priority: list[str]) -> DataFrame:
-    """(id, p) of the leaders among the last undecided vertices, decided one after the other.
-
-    Only called when their links were counted and are few; a chain of vertices in
-    priority order would otherwise take one round per vertex.
-    """
-    rows = links.select(F.col("node").alias("id"), "other").join(pending.select("id", "p"), "id")
-    rows = rows.select("id", "other", *[F.col("p")[c].alias(c) for c in priority])
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        around = pdf.groupby("id")["other"].apply(list).to_dict()
-        taken, leaders = set(), []
-        for v in pdf.drop_duplicates("id").sort_values([*priority, "id"])["id"]:
-            if v not in taken:
-                leaders.append(v)
-                taken.add(v)
-                taken.update(around[v])
-        return pd.DataFrame({"id": leaders})
-
-    found = rows.groupBy(F.lit(0).alias("_one")).applyInPandas(decide, "id bigint")
-    return pending.join(found, "id", "left_semi").select("id", "p")
-
-
-def leader_clusters(
-    vertices: DataFrame, edges: DataFrame, priority: list[str], tail_links: int = TAIL_LINKS
-) -> DataFrame:
+def leader_clusters(vertices: DataFrame, edges: DataFrame, priority: list[str]) -> DataFrame:
     """(id, leader): greedy leaders in a stated order, in parallel rounds.
 
     ``vertices`` has ``id`` and the ``priority`` columns (lower struct goes first, ``id``
     breaks ties).  A vertex leads when no undecided neighbour goes before it; its
     neighbours follow.  Each follower joins its first leader neighbour.  The result
-    equals the one-at-a-time loop.  Every round decides at least one vertex, and once the
-    remaining links are few a single task ends the work.
+    equals the one-at-a-time loop.  Every round decides all vertices that come before their undecided
+    neighbours; only a path in falling priority takes a round for every second vertex.
     """
     order = F.struct(*priority, "id")
     edges = edges.filter("src <> dst")
@@ -109,11 +79,6 @@ def leader_clusters(
     links = durable(both_ways(edges))
     found: list[DataFrame] = []
     while True:
-        if links.count() <= tail_links:
-            linked = links.select(F.col("node").alias("id")).distinct()
-            found.append(pending.join(linked, "id", "left_anti"))
-            found.append(durable(_greedy_tail(links, pending, priority)))
-            break
         # only links between undecided vertices matter in this round
         rival = links.join(pending.select(F.col("id").alias("other"), F.col("p").alias("op")), "other")
         first = rival.groupBy(F.col("node").alias("id")).agg(F.min("op").alias("op"))
@@ -168,38 +133,18 @@ def coarsen(vertices: DataFrame, edges: DataFrame, threshold: float):
     return members, sizes, condensed
 
 
-def _hops_in_one_task(links: DataFrame, root: int) -> DataFrame:
-    """Breadth-first layers of a graph whose links were counted and are few."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        around = pdf.groupby("node")["other"].apply(list).to_dict()
-        layer, front = {root: 0}, [root]
-        while front:
-            reached = dict.fromkeys(w for v in front for w in around.get(v, ()) if w not in layer)
-            depth = layer[front[0]] + 1
-            layer.update(dict.fromkeys(reached, depth))
-            front = list(reached)
-        return pd.DataFrame({"id": list(layer), "layer": list(layer.values())})
-
-    return links.groupBy(F.lit(0).alias("_one")).applyInPandas(walk, "id bigint, layer int")
-
-
 # Layers after which the fronts found so far are written as one table.
 FRONTS_PER_TABLE = 32
 
 
-def hop_layers(vertices: DataFrame, edges: DataFrame, root: int, tail_links: int = TAIL_LINKS) -> DataFrame:
+def hop_layers(vertices: DataFrame, edges: DataFrame, root: int) -> DataFrame:
     """(id, layer): breadth-first hops from ``root`` inside its component.
 
     One round per hop.  Neighbours of a front lie in it, in the front before or in the
-    next one, so a round looks at two fronts only and not at everything seen.  A
-    graph with few links, which may still be a long chain, is walked in one task.
+    next one, so a round looks at two fronts only and not at everything seen.
     """
     links = both_ways(edges)
     front = durable(vertices.filter(F.col("id") == root).select("id", F.lit(0).alias("layer")))
-    if links.limit(tail_links + 1).count() <= tail_links:
-        walked = _hops_in_one_task(links, root)
-        return durable(walked.join(vertices.select("id"), "id", "left_semi").unionByName(front).distinct())
     links = durable(links)
     done, fronts, before, depth = [], [front], None, 0
     while True:

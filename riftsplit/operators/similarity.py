@@ -111,12 +111,15 @@ def collapse_copies(df: DataFrame, row_id: str, bits: str, sums: dict[str, Colum
     any size is thus one vertex of the similarity graph.
     """
     keyed = df.select(F.col(row_id).alias("id"), F.col(bits).alias("bits"), *[c.alias(n) for n, c in (sums or {}).items()])
+    # an empty set is similar to nothing, not even to another empty set: it stays a vertex of its own
+    keyed = keyed.withColumn("_own", F.when(F.size("bits") > 0, F.lit(None)).otherwise(F.col("id")))
+    keyed = keyed.withColumns({"_h1": F.xxhash64("bits", "_own"), "_h2": F.xxhash64(F.lit("set"), "bits", "_own")})
     aggs = [F.sum(n).alias(n) for n in sums or {}]
-    reps = durable(
-        keyed.groupBy("bits").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), *aggs)
-    )
-    members = keyed.select("id", "bits").join(reps.select("bits", "rep"), "bits").select("id", "rep")
-    return members, reps.withColumnRenamed("rep", "id")
+    groups = keyed.groupBy("_h1", "_h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), *aggs)
+    groups = durable(groups)
+    members = keyed.select("id", "_h1", "_h2").join(groups.select("_h1", "_h2", "rep"), ["_h1", "_h2"]).select("id", "rep")
+    reps = durable(keyed.select("id", "bits").join(groups.drop("_h1", "_h2"), F.col("id") == F.col("rep")).drop("rep"))
+    return members, reps
 
 
 def bit_ranks(df: DataFrame, n_bits: int) -> Column:
