@@ -50,7 +50,7 @@ class Rule:
 
 RULES = (
     Rule("symbol_rate", "n_symbols", "word_chars", 50_000),
-    Rule("dup_line_rate", "n_dup_lines", "n_lines", 300_000),
+    Rule("dup_line_rate", "n_dup_lines", "n_lines", 510_000),
     Rule("repeat_rate", "n_repeat_words", "n_words", 420_000),
     Rule("long_words", "word_chars", "n_words", 4 * MILLION),
     Rule("short_words", "word_chars", "n_words", 2 * MILLION + MILLION // 2, upper=False),
