@@ -8,18 +8,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from riftsplit.queries import SQL  # noqa: E402
 from tools.check_oracles import compare  # noqa: E402
 
 
-
-# One query per building block by default; RIFTSPLIT_ALL=1 runs every pair (tools/check_oracles.py does so too).
-CORE = """a1 a2 a6 a10 a12 b1 b3 b5 b6 b7 c1 c6 c7 d1 d2_distance_matrix_euclidean d3 d5_best_match d7 d9_knn_join d10 d11
-e2 e4 e5 e6 e9 e15_butina_clusters e26 e28 e29 e34_small_components_by_ratio f1 f2_similarity_metrics f3 f4 f6 f10 f11
-g1 g5_task_pr_auc_score g8 g10_top g13_ranking_agreement g14 h1 h4 h5_gap_rollup h6_difference_matrix_percent h10 h12_slopes
-h14_model_table_median h16 h17 h18 h20 h22_correlation_intervals h24 h25 m3""".split()
-NAMES = [
-    n for n in sorted(oracle_sql()) if os.environ.get("RIFTSPLIT_ALL") or any(n == c or n.startswith(c + "_") for c in CORE)
-]
+# the queries of the training-data operators are tested beside them
+NAMES = sorted(SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
