@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import (
@@ -62,13 +63,21 @@ def score(model, df: DataFrame, hard: bool = False, threshold: float = 0.5) -> D
 
 
 def train_classifier(df: DataFrame, name: str, n_features: int, row_id: str = "id", label: str = "label", seed: int = 0, **options):
-    """Fit on the train part of a stratified three-way split; (model, one row of val/test metrics and sizes)."""
+    """Fit on the train part of a stratified three-way split; (model, one row of val/test metrics and sizes).
+
+    ``name`` is one of ``classifier`` or ``knn`` (mean label of the nearest train rows; its model is None).
+    """
     rows = df.select(F.col(row_id).alias("id"), F.col(label).cast("double").alias("label"), "features")
     parts = durable(stratified_three_way(rows, "id", "label", FRACTIONS, seed)).select("id", "set")
     tagged = rows.join(parts, "id").persist()
     try:
-        model = classifier(name, n_features, seed, **options).fit(tagged.filter("set = 'train'"))
-        scored = score(model, tagged.filter("set <> 'train'"))
+        if name == "knn":  # no model but the train rows themselves
+            vectors = tagged.withColumn("vec", vector_to_array("features"))
+            near = knn_scores(vectors.filter("set = 'train'"), vectors.filter("set <> 'train'"), **options)
+            model, scored = None, tagged.join(near, "id")
+        else:
+            model = classifier(name, n_features, seed, **options).fit(tagged.filter("set = 'train'"))
+            scored = score(model, tagged.filter("set <> 'train'"))
         scored = durable(scored.select("set", F.col("label").alias("y_true"), "y_pred"))
         sizes = tagged.groupBy().pivot("set", ["train", "val", "test"]).count()
         report = binary_report(scored, ["set"])
@@ -118,10 +127,16 @@ def grid_search(df: DataFrame, name: str, n_features: int, grid: dict[str, list]
     return df.sparkSession.createDataFrame(rows, [*grid, "score"]).orderBy(F.desc("score"))
 
 
-def run_grid(cells: list[dict], run_one) -> DataFrame:
-    """Run ``run_one(cell) -> one-row DataFrame`` for every cell and union the rows with its keys."""
-    rows = []
-    for cell in cells:
-        out = run_one(cell)
-        rows.append(out.select(*[F.lit(v).alias(k) for k, v in cell.items()], *[c for c in out.columns if c not in cell]))
+def run_grid(cells: list[dict], run_one, parallelism: int = 4) -> DataFrame:
+    """Run ``run_one(cell) -> one-row DataFrame`` for every cell and union the rows with its keys.
+
+    A cell names its place on any axes (dataset, split, file, model, seed).  Cells are independent, so
+    ``parallelism`` of them submit their jobs at a time.
+    """
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        done = list(pool.map(run_one, cells))
+    rows = [
+        out.select(*[F.lit(v).alias(k) for k, v in cell.items()], *[c for c in out.columns if c not in cell])
+        for cell, out in zip(cells, done, strict=True)
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)

@@ -275,17 +275,17 @@ def first_fit(spark, sf_dir):
     return sp.grouped_first_fit(_part(spark, sf_dir), "p_partkey", "p_brand")
 
 
-_CANDIDATES = f"""WITH p AS ({random_sql("labels", "doc_id", 40)}), j AS (SELECT p.*, toxic FROM p JOIN labels ON doc_id = id),
+_CANDIDATES = f"""WITH p AS ({random_sql("labels", "doc_id", 100)}), j AS (SELECT p.*, toxic FROM p JOIN labels ON doc_id = id),
   g AS (SELECT split_index, abs(avg(CASE WHEN "set" = 'train' THEN toxic END) - avg(CASE WHEN "set" = 'test' THEN toxic END)) AS gap FROM j GROUP BY split_index),
   ok AS (SELECT split_index, row_number() OVER (ORDER BY split_index) - 1 AS pos FROM g WHERE gap <= 0.02)
-  SELECT CAST(pos AS INTEGER) AS split_index, id, "set" FROM p JOIN ok USING (split_index) WHERE pos < 5"""
+  SELECT CAST(pos AS INTEGER) AS split_index, id, "set" FROM p JOIN ok USING (split_index) WHERE pos < 10"""
 
 
 @query("e29_accepted_candidates", _CANDIDATES)
 def accepted(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     shuffle = lambda d, row_id, n_splits: sp.random_split(d, row_id, n_splits=n_splits)
-    return sp.accepted_candidates(labels, "doc_id", "toxic", shuffle, n_wanted=5, tolerance=0.02, max_candidates=40)
+    return sp.accepted_candidates(labels, "doc_id", "toxic", shuffle, n_wanted=10, tolerance=0.02, max_candidates=100)
 
 
 @query("e30_run_all_splitters")
@@ -297,7 +297,12 @@ def all_splitters(spark, sf_dir):
         {
             "random": {"n_splits": 2},
             "scaffold": {"scaffold": "p_brand", "n_splits": 2},
+            "scaffold_generic": {"scaffold": F.split("p_type", " ")[0], "n_splits": 1},
+            "group_shuffle": {"group": "p_size", "n_splits": 1},
             "molecular_weight": {"value": "p_retailprice"},
+            "molecular_weight_reverse": {"value": "p_retailprice"},
+            "molecular_logp": {"value": "p_size"},
+            "target_property": {"value": "p_name"},
             "stratified": {"label": "p_size", "n_splits": 1},
             "butina": {"bits": "no_such_column", "n_bits": 64},
         },

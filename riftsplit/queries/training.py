@@ -22,14 +22,14 @@ def _labelled(spark, sf_dir):
 @query("m1_train_classifier")
 def train_classifier(spark, sf_dir):
     points = dense_to_vector(_labelled(spark, sf_dir), "embedding")
-    _, report = train.train_classifier(points, "random_forest", 64, numTrees=20, maxDepth=5)
+    _, report = train.train_classifier(points, "random_forest", 64)
     return report
 
 
 @query("m2_score_items")
 def score_items(spark, sf_dir):
     points = dense_to_vector(_labelled(spark, sf_dir), "embedding")
-    model, _ = train.train_classifier(points, "gbt", 64, maxIter=5, maxDepth=3)
+    model, _ = train.train_classifier(points, "gbt", 64)
     soft = train.score(model, points.select("id", "features")).select("id", F.col("y_pred").alias("soft"))
     hard = train.score(model, points.select("id", "features"), hard=True).select("id", F.col("y_pred").alias("hard"))
     return soft.join(hard, "id")
@@ -52,7 +52,7 @@ def knn(spark, sf_dir):
 def grid_search(spark, sf_dir):
     points = dense_to_vector(_labelled(spark, sf_dir), "embedding")
     points = points.select(F.col("label").cast("double").alias("label"), "features")
-    return train.grid_search(points, "random_forest", 64, {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3)
+    return train.grid_search(points, "random_forest", 64, {"numTrees": [50, 100], "maxDepth": [5, 10]}, folds=5)
 
 
 @query("m5_train_regressor")
@@ -60,15 +60,16 @@ def train_regressor(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("double").alias("label"))
     points = dense_to_vector(e, "embedding")
     splits = durable(random_three_way(points, "id"))
-    _, report = train.train_regressor(points, "random_forest", splits, numTrees=20, maxDepth=5)
+    _, report = train.train_regressor(points, "random_forest", splits, numTrees=200, maxDepth=10)
     return report
 
 
 @query("m6_run_grid")
 def run_grid(spark, sf_dir):
+    """Every model on two datasets (all items, and those of even ids) with two seeds."""
     points = dense_to_vector(_labelled(spark, sf_dir), "embedding").select("id", "label", "features")
-    options = {"random_forest": {"numTrees": 10, "maxDepth": 4}, "svm": {"maxIter": 10}}
-    cells = [{"run_id": f"{m}/{s}", "model": m, "seed": s} for m in options for s in (0, 1)]
-    return train.run_grid(cells, lambda c: train.train_classifier(points, c["model"], 64, seed=c["seed"], **options[c["model"]])[1])
-
-
+    datasets = {"all": points, "even_ids": points.filter("id % 2 = 0")}
+    cells = [
+        {"dataset": d, "split": "stratified", "model": m, "repeat": s} for d in datasets for m in ("random_forest", "svm", "knn") for s in (0, 1)
+    ]
+    return train.run_grid(cells, lambda c: train.train_classifier(datasets[c["dataset"]], c["model"], 64, seed=c["repeat"])[1].drop("model"))
