@@ -9,9 +9,10 @@ distance meets in a bucket.  At a similarity of 0.85 one of 40 symbols differs w
 
 Exact copies (equal sets) become one vertex.  Inside a bucket no pairs are listed: members are
 compared with one member, links are confirmed on the full sets, and buckets whose members are
-connected leave.  What is left after ``STAR_ROUNDS`` such rounds is compared pair by pair, but only
-across components and within the signature distance, so that no link between different
-components is lost.  Components are merged by distributed star contraction.
+connected leave.  Of the buckets that are still open after ``STAR_ROUNDS`` such rounds, the vertices outside the
+largest component are compared on their full sets with all that their buckets tie to them, in pairs of
+blocks from which only links leave, so that no link between different components is lost.  Components are
+merged by distributed star contraction.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows with one
 id are one vertex; repeated rows all stay and get the same component; an empty table gives no rows;
@@ -36,6 +37,8 @@ CHUNKS = 10
 SYMBOLS = 4  # of 16 bits in a chunk
 LANE = 0xFFFF
 STAR_ROUNDS = 2
+BLOCK = 256  # vertices of a block when open clusters are compared
+COLUMNS = 1 << 14  # different shingles of a matrix at a time
 
 
 def _digests(shingles: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -175,9 +178,9 @@ def near_duplicate_classes(
             pairs = labelled.join(middle, ["tag", "key"]).filter(F.col("component") != F.col("_m.component"))
             pairs = pairs.select(F.col("id").alias("a"), F.col("_m.id").alias("b"))
             near = _close(vertices, pairs.distinct(), chunks, percent)
+            new = stored(confirmed(near, sets, percent))
         else:
-            near = _cross_pairs(labelled, vertices, chunks, percent)
-        new = stored(confirmed(near, sets, percent))
+            new = stored(_cross_links(labelled, sets, percent))
         links = new if links is None else links.unionByName(new)
         labels = connected_components(involved, links)
     joined = named.select("d1", "d2", "id").join(labels, "id", "left")
@@ -191,24 +194,91 @@ def _repeats(table: DataFrame) -> bool:
     return not table.groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def _cross_pairs(labelled: DataFrame, vertices: DataFrame, chunks: int, percent: int) -> DataFrame:
-    """All close pairs of one bucket and different components, each once."""
-    full = labelled.join(vertices.drop("d1", "d2"), "id")
-    columns = ["tag", "key", "id", "component", "n_shingles", *_names(chunks)]
-    side = lambda s: full.select(*[F.col(c).alias(f"{s}_{c}") for c in columns])
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    both = side("a").join(
-        side("b"),
-        [
-            F.col("a_tag") == F.col("b_tag"),
-            F.col("a_key") == F.col("b_key"),
-            F.col("a_id") < F.col("b_id"),
-            F.col("a_component") != F.col("b_component"),
-            100 * small >= percent * large,
-            distance(chunks, "a_", "b_") <= 2 * chunks - 1,
-        ],
+def _open_clusters(labelled: DataFrame) -> DataFrame:
+    """(id, component, cluster, main, n_main, n_rest): vertices of open buckets, with the cluster of components that buckets tie together.
+
+    ``main`` says that the vertex is in the largest component of its cluster.
+    """
+    members = stored(labelled.select("id", "component").distinct())
+    lowest = labelled.groupBy("tag", "key").agg(F.min("component").alias("_low"))
+    ties = labelled.join(lowest, ["tag", "key"]).filter("component <> _low").select(F.col("_low").alias("src"), F.col("component").alias("dst"))
+    clusters = connected_components(members.select(F.col("component").alias("id")).distinct(), stored(ties.distinct()))
+    clusters = clusters.withColumnsRenamed({"component": "cluster", "id": "component"})
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(clusters, "component")
+    top = sized.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all"))
+    told = clusters.join(top, "cluster").select(
+        "component",
+        "cluster",
+        (F.col("component") == F.col("top.component")).alias("main"),
+        F.col("top.n").alias("n_main"),
+        (F.col("n_all") - F.col("top.n")).alias("n_rest"),
     )
-    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return members.join(told, "component")
+
+
+def _cross_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) between different components of one open cluster.
+
+    The vertices outside the largest component are compared with all others of the cluster, in pairs of blocks of about
+    BLOCK vertices; a block pair is one task's work, and only links leave it.
+    """
+    rows = _open_clusters(labelled)
+    count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), count(n) - 1)
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), count("n_main")).otherwise(count("n_rest"))).cast("int")
+    pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    with_rest = F.transform(upto("n_rest"), lambda r: pair("rest", F.least(r, F.col("_own")), F.greatest(r, F.col("_own"))))
+    with_main = F.transform(upto("n_main"), lambda m: pair("main", F.col("_own"), m))
+    pairs = F.when(F.col("main"), F.transform(upto("n_rest"), lambda r: pair("main", r, F.col("_own")))).otherwise(F.concat(with_rest, with_main))
+    dealt = rows.withColumn("_own", own).select("id", "component", "cluster", "main", "_own", F.explode(pairs).alias("_p"))
+    dealt = dealt.select("id", "component", "cluster", "main", "_own", "_p.*").join(sets, "id")
+    return dealt.groupBy("cluster", "kind", "x", "y").applyInArrow(_comparer(percent), "src bigint, dst bigint")
+
+
+def _comparer(percent: int):
+    """The links between the two blocks of a group (or inside it, if both are the same)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        kind, x, y = (table.column(c)[0].as_py() for c in ("kind", "x", "y"))
+        first = ~table.column("main").to_numpy(zero_copy_only=False) if kind == "main" else table.column("_own").to_numpy() == x
+        left, right = np.flatnonzero(first), np.flatnonzero(~first if kind == "main" or x != y else first)
+        shared = shared_counts(lists.flatten().to_numpy(), sizes, left, right)
+        total = sizes[left][:, None] + sizes[right][None, :] - shared
+        good = (100 * shared >= percent * total) & (component[left][:, None] != component[right][None, :])
+        i, j = np.nonzero(good)
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+
+    return compare
+
+
+def shared_counts(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``, by products of 0/1 matrices."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    known, code, often = np.unique(values, return_inverse=True, return_counts=True)
+    # shingles of one set alone are in no intersection
+    column = np.cumsum(often > 1) - 1
+    keep = often[code] > 1
+    row, code, width = row[keep], column[code[keep]], int((often > 1).sum())
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    place = np.full((2, len(sizes)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for low in range(0, width, COLUMNS):
+        part = slice(*np.searchsorted(code, [low, low + COLUMNS]))
+        sides = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            at = place[side, row[part]]
+            matrix = np.zeros((n, min(COLUMNS, width - low)), dtype=np.float32)
+            matrix[at[at >= 0], code[part][at >= 0] - low] = 1.0
+            sides.append(matrix)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
 def keep_one_of_each_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
