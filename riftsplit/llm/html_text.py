@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from riftsplit.llm.words import small_batches
 
-MAX_PAGES = 1_500
+MAX_PAGES = 600
 MAX_TRAIN_BLOCKS = 400  # longer pages are not trained on (they are decoded like all others)
 
 # Fixed values of HTML: elements that end a text block, that hold nothing, and whose text is not text of the page.
