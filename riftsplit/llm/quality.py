@@ -7,7 +7,8 @@ counts and do not depend on the order of the rows.  Sketches of the groups are m
 of the languages and of the corpus; a group with fewer than ``LEAST_ROWS`` rows uses the next
 wider level.  A text is rejected when a rate lies beyond the fence of its group:
 median + REACH * (upper quartile - median), but at least the slack of the rule beyond the
-median (likewise downwards for the least word length).
+median (likewise downwards for the least word length).  Fewer than 3 repeated lines or 30 repeated
+words count as none.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
 sources form groups of their own; equal rows get equal results and all rows stay in the report.
@@ -48,10 +49,15 @@ class Rule:
         return F.expr(f"CASE WHEN {self.base} > 0 THEN {self.top} * {MILLION} div {self.base} ELSE 0L END")
 
 
+def at_least(count: str, least: int) -> str:
+    """A count that is taken as 0 below ``least``: one repeated sentence makes a high rate in a short clean text."""
+    return f"(CASE WHEN {count} >= {least} THEN {count} ELSE 0 END)"
+
+
 RULES = (
     Rule("symbol_rate", "n_symbols", "word_chars", 50_000),
-    Rule("dup_line_rate", "n_dup_lines", "n_lines", 510_000),
-    Rule("repeat_rate", "n_repeat_words", "n_words", 420_000),
+    Rule("dup_line_rate", at_least("n_dup_lines", 3), "n_lines", 300_000),
+    Rule("repeat_rate", at_least("n_repeat_words", 30), "n_words", 200_000),
     Rule("long_words", "word_chars", "n_words", 4 * MILLION),
     Rule("short_words", "word_chars", "n_words", 2 * MILLION + MILLION // 2, upper=False),
 )

@@ -61,5 +61,19 @@ def test_junk_goes_and_clean_stays(spark):
     assert not any(got[1000 + i] for i in range(10)) and not got[2001]
 
 
+def test_repeats_are_judged_by_rate_and_count(spark):
+    plain = [(i, " ".join(f"w{10_000 + i * 500 + j}" for j in range(80)), "en", "s0") for i in range(100)]
+    again = " ".join(f"again{j}" for j in range(8))
+    short = f"{again}\n" + " ".join(f"rest{j}" for j in range(40)) + f"\n{again}"  # 16 of 56 words, 1 of 3 lines
+    long = " ".join(f"long{j % 330}" for j in range(660)) + " " + " ".join(f"more{j}" for j in range(1540))  # 30 of 100 words
+    pairs = [(f"line{k % 60} ends{k % 60}", f"next{k} last{k}") for k in range(100)]
+    lines = "\n".join(x for pair in pairs for x in pair) + "\n" + "\n".join(f"line{k} ends{k}\nthird{k}" for k in range(60))
+    df = spark.createDataFrame([*plain, (1000, short, "en", "s0"), (1001, long, "en", "s0"), (1002, lines, "en", "s0")], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(got[i]["kept"] for i in range(100)) and got[1000]["kept"]
+    assert not got[1001]["base_failed"] and got[1001]["failed"] == ["repeat_rate"]
+    assert not got[1002]["base_failed"] and got[1002]["failed"] == ["dup_line_rate"]
+
+
 def test_empty_table(docs):
     assert quality.judge(docs([])).count() == 0
