@@ -5,7 +5,9 @@ every language and source to quantile sketches: log-linear histograms (64 bucket
 power of two, so a quantile is off by less than 1/64 of its value), which merge by adding
 counts and do not depend on the order of the rows.  Sketches of the groups are merged to those
 of the languages and of the corpus; a group with fewer than ``LEAST_ROWS`` rows uses the next
-wider level.  A text is rejected when a rate lies beyond the fence of its group:
+wider level, and a larger one is held to it: its spread is at most the wider level's, and its median
+lies at most the slack of the rule beyond the wider median (a language keeps its own median of word
+lengths), so a source that is full of junk does not widen its own fence.  A text is rejected when a rate lies beyond the fence of its group:
 median + REACH * (upper quartile - median), but at least the slack of the rule beyond the
 median (likewise downwards for the least word length).  Fewer than 3 repeated lines or 30 repeated
 words count as none.
@@ -44,6 +46,7 @@ class Rule:
     base: str
     slack: int
     upper: bool = True
+    by_language: bool = False  # the median differs among languages, so the first level keeps its own
 
     def rate(self) -> Column:
         return F.expr(f"CASE WHEN {self.base} > 0 THEN {self.top} * {MILLION} div {self.base} ELSE 0L END")
@@ -58,8 +61,8 @@ RULES = (
     Rule("symbol_rate", "n_symbols", "word_chars", 50_000),
     Rule("dup_line_rate", at_least("n_dup_lines", 3), "n_lines", 300_000),
     Rule("repeat_rate", at_least("n_repeat_words", 30), "n_words", 200_000),
-    Rule("long_words", "word_chars", "n_words", 4 * MILLION),
-    Rule("short_words", "word_chars", "n_words", 2 * MILLION + MILLION // 2, upper=False),
+    Rule("long_words", "word_chars", "n_words", 4 * MILLION, by_language=True),
+    Rule("short_words", "word_chars", "n_words", 2 * MILLION + MILLION // 2, upper=False, by_language=True),
 )
 
 
@@ -157,23 +160,44 @@ def _quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return seen.groupBy(*by, "rule").agg(F.max("_n").alias("n"), at(25), at(50), at(75))
 
 
+def _held(own: Column, wide: Column, rule: Rule, level: int) -> Column:
+    """A group's quartiles held to those of the next wider level on the side that is judged.
+
+    The spread is at most the wider one, and the median lies at most the slack beyond the wider median, so the fence lies
+    at most the slack beyond the wider fence, whatever the group holds.
+    """
+    mid = own["q50"]
+    if rule.by_language and level == 1:
+        pass
+    elif rule.upper:
+        mid = F.least(mid, wide["q50"] + rule.slack)
+    else:
+        mid = F.greatest(mid, wide["q50"] - rule.slack)
+    low = mid - F.least(own["q50"] - own["q25"], wide["q50"] - wide["q25"])
+    high = mid + F.least(own["q75"] - own["q50"], wide["q75"] - wide["q50"])
+    return F.struct(own["n"].alias("n"), low.alias("q25"), mid.alias("q50"), high.alias("q75"))
+
+
 def adaptive_fences(counts: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES, least_rows: int = LEAST_ROWS) -> DataFrame:
     """One row per group of ``by`` with the fence of each rule; wider levels drop columns of ``by`` from the right."""
     sketches = durable(rate_sketches(counts, by, rules))
-    chosen = _quartiles(sketches, by)
     values = ["n", "q25", "q50", "q75"]
-    for level in range(len(by) - 1, -1, -1):
+    found = _quartiles(sketches, by).withColumnsRenamed({c: f"{c}_{len(by)}" for c in values})
+    for level in range(len(by)):
         keys = [*by[:level], "rule"]
         wide = _quartiles(merge_sketches(sketches, by[:level]), by[:level])
-        wide = wide.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *values]])
-        both = chosen.join(wide, _null_safe({k: f"_{k}" for k in keys}))
-        few = F.col("n") < least_rows
-        chosen = both.select(*by, "rule", *[F.when(few, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values])
-    mid = F.col("q50")
+        wide = wide.select(*[F.col(c).alias(f"_{c}") for c in keys], *[F.col(c).alias(f"{c}_{level}") for c in values])
+        found = found.join(wide, _null_safe({k: f"_{k}" for k in keys})).drop(*[f"_{c}" for c in keys])
+    chosen = found.withColumn("_level", F.struct(*[F.col(f"{c}_0").alias(c) for c in values]))
+    for level in range(1, len(by) + 1):
+        own = F.struct(*[F.col(f"{c}_{level}").alias(c) for c in values])
+        held = F.coalesce(*[F.when(F.col("rule") == r.name, _held(own, F.col("_level"), r, level)) for r in rules])
+        chosen = chosen.withColumn("_level", F.when(own["n"] < least_rows, F.col("_level")).otherwise(held))
+    mid = F.col("_level.q50")
     fences = []
     for r in rules:
-        up = mid + F.greatest(REACH * (F.col("q75") - mid), F.lit(r.slack))
-        down = mid - F.greatest(REACH * (mid - F.col("q25")), F.lit(r.slack))
+        up = mid + F.greatest(REACH * (F.col("_level.q75") - mid), F.lit(r.slack))
+        down = mid - F.greatest(REACH * (mid - F.col("_level.q25")), F.lit(r.slack))
         fences.append(F.max(F.when(F.col("rule") == r.name, up if r.upper else down)).alias(f"fence_{r.name}"))
     return chosen.groupBy(*by).agg(*fences)
 

@@ -75,5 +75,25 @@ def test_repeats_are_judged_by_rate_and_count(spark):
     assert not got[1002]["base_failed"] and got[1002]["failed"] == ["dup_line_rate"]
 
 
+def test_dirty_source_does_not_widen_its_fence(spark):
+    def row(i, source, junk):
+        stem = "$$$$" if junk else "word"
+        return (i, " ".join(f"{stem}{(i * 7 + j) % 997}" for j in range(60)), "en", source)
+
+    # 500 rows of one source, of which 30, 50 and 70 of 100 are junk, beside 1,600 clean rows
+    for share in (30, 50, 70):
+        rows = [row(i, "hot", i % 100 < share) for i in range(500)] + [row(1000 + i, f"s{i % 2}", False) for i in range(1600)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+        got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+        assert all(kept == (i >= 1000 or i % 100 >= share) for i, kept in got.items()) and len(got) == len(rows)
+
+
+def test_languages_keep_their_word_lengths(spark):
+    rows = [(i, " ".join(f"w{10_000 + (i * 7 + j) % 997}" for j in range(60)), "en", "s0") for i in range(900)]
+    rows += [(1000 + i, " ".join(f"{'long' * 5}{100 + (i * 7 + j) % 97}" for j in range(60)), "xx", "s0") for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert quality.judge(df).filter("NOT kept").isEmpty()
+
+
 def test_empty_table(docs):
     assert quality.judge(docs([])).count() == 0
