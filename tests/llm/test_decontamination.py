@@ -44,6 +44,27 @@ def test_leaks_equal_brute_force(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_short_items_are_never_missed(spark, docs):
+    rng = random.Random(6)
+    item_rows = [(i, " ".join(f"q{i}x{j}" for j in range(1 + i % 11))) for i in range(110)]
+    rows, want = [], {}
+    for i, q in item_rows:
+        # 64 shingles in all: the document fills its size class
+        words = [f"d{i}x{j}" for j in range(68 - len(q.split()))]
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join([*words[:at], q, *words[at:]])))
+        rows.append((1000 + i, " ".join(words)))
+        size = max(1, len(q.split()) - 4)
+        want[i, i] = (size, size)
+    rows.append((2000, "a q1x0 Q1x1!"))  # an item of two words in a document of three
+    want[2000, 1] = (1, 1)
+    items = spark.createDataFrame(item_rows, "item_id bigint, text string")
+    got = dc.contaminated(docs(rows), items).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in got} == want and len(got) == len(want)
+    kept = dc.drop_contaminated(docs(rows), items)
+    assert {r["doc_id"] for r in kept.collect()} == {1000 + i for i in range(110)}
+
+
 def test_empty_tables(spark, docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert dc.contaminated(docs([]), items).count() == 0
