@@ -37,7 +37,7 @@ CHUNKS = 10
 SYMBOLS = 4  # of 16 bits in a chunk
 LANE = 0xFFFF
 STAR_ROUNDS = 2
-BLOCK = 256  # vertices of a block when open clusters are compared
+BLOCK = 1 << 17  # shingles of a block when open clusters are compared; more only if one set has more
 COLUMNS = 1 << 14  # different shingles of a matrix at a time
 
 
@@ -194,17 +194,18 @@ def _repeats(table: DataFrame) -> bool:
     return not table.groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def _open_clusters(labelled: DataFrame) -> DataFrame:
+def _open_clusters(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, component, cluster, main, n_main, n_rest): vertices of open buckets, with the cluster of components that buckets tie together.
 
-    ``main`` says that the vertex is in the largest component of its cluster.
+    ``main`` says that the vertex is in the largest component of its cluster; the counts are of shingles.
     """
-    members = stored(labelled.select("id", "component").distinct())
+    sizes = sets.select("id", F.size("shingles").alias("n_shingles"))
+    members = stored(labelled.select("id", "component").distinct().join(sizes, "id"))
     lowest = labelled.groupBy("tag", "key").agg(F.min("component").alias("_low"))
     ties = labelled.join(lowest, ["tag", "key"]).filter("component <> _low").select(F.col("_low").alias("src"), F.col("component").alias("dst"))
     clusters = connected_components(members.select(F.col("component").alias("id")).distinct(), stored(ties.distinct()))
     clusters = clusters.withColumnsRenamed({"component": "cluster", "id": "component"})
-    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(clusters, "component")
+    sized = members.groupBy("component").agg(F.sum("n_shingles").alias("n")).join(clusters, "component")
     top = sized.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all"))
     told = clusters.join(top, "cluster").select(
         "component",
@@ -213,16 +214,16 @@ def _open_clusters(labelled: DataFrame) -> DataFrame:
         F.col("top.n").alias("n_main"),
         (F.col("n_all") - F.col("top.n")).alias("n_rest"),
     )
-    return members.join(told, "component")
+    return members.drop("n_shingles").join(told, "component")
 
 
 def _cross_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) between different components of one open cluster.
 
     The vertices outside the largest component are compared with all others of the cluster, in pairs of blocks of about
-    BLOCK vertices; a block pair is one task's work, and only links leave it.
+    BLOCK shingles; a block pair is one task's work, and only links leave it.
     """
-    rows = _open_clusters(labelled)
+    rows = _open_clusters(labelled, sets)
     count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     upto = lambda n: F.sequence(F.lit(0), count(n) - 1)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), count("n_main")).otherwise(count("n_rest"))).cast("int")

@@ -5,11 +5,13 @@ patterns (whole words, and beginnings of words) and weights are learned from lab
 target, negation and reported-speech words are fixed small lists.  Their output symbols drive the
 composed clause machine: its state is the product of a negation, a report and a target
 automaton, it starts anew at every clause, and each insult or threat that it accepts carries the
-state as its reading.  A text is scored by a logistic function of its matched clauses: the largest
-weight, and how many clauses were matched, negated, reported, aimed at someone, or threats.
+state as its reading.  A text is scored by a logistic function of its matched clauses: their weight together,
+and how many were matched, negated, reported, aimed at someone, or threats.  The fit draws the weights
+of the readings towards ``PRIOR``, so they act where the labels do not speak of them.
 
 Patterns are taken if the share of toxic texts among those that have them is beyond chance for as
-many patterns as were tried; near copies count once.  The fit uses at most ``max_rows`` labelled
+many patterns as were tried; near copies count once.  If few labels let none pass, the list of patterns
+with the most evidence is taken as far as at most half of it is expected to be chance.  The fit uses at most ``max_rows`` labelled
 rows (those with the lowest hash of their id); the rest of the work covers all rows.
 
 Defined results: a null or empty text has no clauses and the score of the intercept; rows with
@@ -35,7 +37,10 @@ from riftsplit.plans.durable import stored
 MAX_ROWS = 12_000
 MAX_PATTERNS = 4_000
 PREFIXES = range(4, 10)
-MEMORY = 400_000  # words whose tags a task keeps at a time
+FALSE_SHARE = 0.5  # of the patterns taken when none is beyond chance by itself
+# weights without evidence: strength, insults, and of these negated, reported, aimed; threats at someone
+PRIOR = (0.0, 0.0, -1.0, -1.0, 0.5, 1.0)
+MEMORY = 60_000  # words whose tags a task keeps at a time
 
 # Words that the other transducers accept.
 THREATS = "kill hurt destroy murder beat burn shoot stab töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
@@ -44,6 +49,7 @@ NEGATIONS = "not no never nor neither nicht kein keine nie ne pas jamais nunca t
 REPORTS = "said says say told quoted quote reported claims according sagte sagt laut dit disait selon dijo dice según".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(1, 7)
+PLAIN = [(s, 1.0) for s in range(7)]  # one object for each tag without a weight of its own
 FIXED = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 ENDS = frozenset(".!?;:,\n")
@@ -96,7 +102,7 @@ class Grammar:
         for k in PREFIXES:
             if k <= len(word):
                 weight = max(weight, self.patterns.get(word[:k], 0.0))
-        return (INSULT, weight) if weight > 0 else (FIXED.get(word, BOUNDARY if word in ENDS else 0), 1.0)
+        return (INSULT, weight) if weight > 0 else PLAIN[FIXED.get(word, BOUNDARY if word in ENDS else 0)]
 
     def clauses(self, text: str) -> list[tuple[int, float, int]]:
         """(symbol, weight, state) of every insult and threat that the composed machine accepts."""
@@ -132,7 +138,7 @@ class Grammar:
         insults = [f for f in found if f[0] == INSULT]
         count = lambda rows: math.log1p(len(rows))
         return [
-            max((w for _, w, _ in insults), default=0.0),
+            math.log1p(sum(w for _, w, _ in insults)),
             count(insults),
             count([f for f in insults if f[2] & 1]),
             count([f for f in insults if f[2] & 2]),
@@ -191,20 +197,26 @@ def learn_patterns(train: DataFrame, max_patterns: int = MAX_PATTERNS) -> dict[s
     rest = F.when(F.col("q") > 0, F.col("q") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     evidence = F.col("p") * F.log(share / base) + rest
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("q") + 0.5) / (n - pos + 1.0))
-    good = counts.filter("p >= 3").filter((share > 0.5) & (evidence > math.log(tried) + 3.0))
-    best = good.select("pattern", odds.alias("odds")).orderBy(F.desc("odds"), "pattern").limit(max_patterns)
-    return {r["pattern"]: float(r["odds"]) for r in best.collect()}
-
-
-def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> tuple[float, np.ndarray]:
-    """Intercept and weights by penalised Newton steps."""
+    often = counts.filter("p >= 3").filter(share > 0.5).select("pattern", odds.alias("odds"), evidence.alias("evidence"))
+    best = often.filter(F.col("evidence") > math.log(tried) + 3.0).orderBy(F.desc("odds"), "pattern").limit(max_patterns).collect()
+    if not best:
+        repeated = counts.filter("p + q >= 3").count()
+        top = often.orderBy(F.desc("evidence"), "pattern").limit(max_patterns).collect()
+        chance = [repeated * math.exp(-r["evidence"]) <= FALSE_SHARE * sum(o["evidence"] >= r["evidence"] for o in top) for r in top]
+        best = top[: max((i + 1 for i, fine in enumerate(chance) if fine), default=0)]
+    return {r["pattern"]: float(r["odds"]) for r in best}
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] | None = None, penalty: float = 0.1, rounds: int = 50) -> tuple[float, np.ndarray]:
+    """Intercept and weights by Newton steps, the weights drawn towards ``prior`` (0)."""
     z = np.column_stack([np.ones(len(x)), x])
     ridge = np.diag([1e-6] + [penalty] * x.shape[1])
+    before = np.array([0.0, *(prior or [0.0] * x.shape[1])])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + ridge
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge @ (w - before))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -217,14 +229,15 @@ def learn_grammar(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.col("_id")), "_id").limit(max_rows)
     # at most max_rows rows of two numbers
-    joined = documents.join(F.broadcast(sample), F.col(doc_id) == F.col("_id"))
-    train = stored(joined.groupBy("_id").agg(F.min(text).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
+    texts = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    joined = texts.join(F.broadcast(sample), "_id")
+    train = stored(joined.groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     grammar = Grammar(learn_patterns(train))
     if not grammar.patterns:
         return Grammar()
     collected = train.mapInArrow(_feature_rows(grammar), "x array<double>, y int").collect()  # max_rows rows of six numbers
     x, y = np.array([r["x"] for r in collected]), np.array([r["y"] for r in collected], dtype=float)
-    intercept, weights = logistic_fit(x, y)
+    intercept, weights = logistic_fit(x, y, PRIOR)
     return Grammar(grammar.patterns, intercept, tuple(weights.tolist()))
 
 
@@ -232,7 +245,7 @@ def _feature_rows(grammar: Grammar):
     schema = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())])
 
     def rows(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             x = [grammar.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], schema=schema)
 
@@ -260,7 +273,7 @@ def drop_toxic(documents: DataFrame, grammar: Grammar, doc_id: str = "doc_id", t
     schema = documents.schema
 
     def keep(batches):
-        for batch in batches:
+        for batch in small_batches(batches, text):
             good = [grammar.score(t) < limit for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 

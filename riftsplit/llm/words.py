@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 17  # bytes hashed at a time; longer only if one word is longer
-BATCH_BYTES = 8 << 20  # text handled at a time; longer only if one text is longer
+BATCH_BYTES = 2 << 20  # text handled at a time; longer only if one text is longer
 BASE = 0x9E3779B97F4A7C15 | 1
 
 SPACES = np.zeros(256, dtype=bool)
@@ -67,6 +67,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.R
             end = max(start + 1, int(np.searchsorted(upto, done + BATCH_BYTES, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # Spark keeps its Python workers for later stages
 
 
 def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
