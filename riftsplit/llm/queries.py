@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, decontamination, html_text, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity
+from riftsplit.llm import chat, conversation_repair, decontamination, html_text, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity, vector_codes
 from riftsplit.plans.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_text.extract_text(pages, html_text.learn_field(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    xs = [f"x{i}" for i in range(width)]
+    cut = ", ".join(f"v[{width} * part + {i + 1}] AS x{i}" for i in range(width))
+    far = " + ".join(f"(p.{x} - b.{x}) * (p.{x} - b.{x})" for x in xs)
+    mean = ", ".join(f"CAST(coalesce(floor(CAST(m.{x} AS DOUBLE) / m.n), b.{x}) AS BIGINT) AS {x}" for x in xs)
+    total = ", ".join(f"sum({x}) AS {x}" for x in xs)
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT p.r, p.part, {", ".join(f"p.{x}" for x in xs)}, min({{'d': {far}, 'e': entry}}) AS best
+          FROM p JOIN b{r} b ON p.part = b.part GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS (SELECT b.part, b.entry, {mean} FROM b{r} b LEFT JOIN
+              (SELECT part, best.e AS entry, count(*) AS n, {total} FROM a{r} GROUP BY ALL) m ON b.part = m.part AND b.entry = m.entry)""")
+    numbers = " || ',' || ".join(xs)
+    return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+      p AS (SELECT r, part, {cut} FROM kept, range({parts}) t(part)),
+      b0 AS (SELECT part, r - 1 AS entry, {", ".join(xs)} FROM p WHERE r <= {entries}), {", ".join(steps)},
+      coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+      book AS (SELECT sha256(string_agg({numbers}, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+      FROM kept JOIN coded USING (r), book"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings."""
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = vector_codes.with_label_errors(made.rows)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(made.books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations by rule and repair them at least cost."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = conversation_repair.digests(conversation_repair.repair(rows, times=F.col("times")))
+    counts = [c for c in conversation_repair.REPORT if c != "cost"]
+    return found.select(F.col("conv").alias("conv_id"), *counts, "cost", "audit", "repaired_sha256")
