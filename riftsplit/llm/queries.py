@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftsplit.llm import chat, conversation_repair, decontamination, html_text, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity, vector_codes
+from riftsplit.llm import chat, conversation_repair, decontamination, embedding_dups, html_text, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity, vector_codes
 from riftsplit.plans.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversation_repair.digests(conversation_repair.repair(rows, times=F.col("times")))
     counts = [c for c in conversation_repair.REPORT if c != "cost"]
     return found.select(F.col("conv").alias("conv_id"), *counts, "cost", "audit", "repaired_sha256")
+
+
+@query("op13_embedding_near_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors with a cosine of 0.9 or more."""
+    found = embedding_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
