@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +14,17 @@ from riftsplit.operators.graph import (
     component_sizes,
     connected_components,
     giant_first,
-    hop_layers,
     pack_by_ratio,
     pack_evenly,
     ratio_plan,
     size_table,
 )
+from riftsplit.operators.separator import vertex_separator
 from riftsplit.operators.similarity import collapse_copies, similarity_edges
 from riftsplit.plans.durable import durable
 
-# Accepted shares of the even part size, tried in order, when layers are cut into folds.
-FOLD_SHARES = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5)
+# How often the bounds of a cut are tightened when packing the small components misses a minimum.
+TRIES = 4
 
 
 def _graph(df, row_id, bits, n_bits, threshold):
@@ -30,82 +33,20 @@ def _graph(df, row_id, bits, n_bits, threshold):
     return members, reps.select("id", "weight"), edges
 
 
-def _layers(vertices: DataFrame, edges: DataFrame, root: int) -> DataFrame:
-    """(id, weight, layer, forward): forward vertices have a neighbour in the next layer."""
-    layers = hop_layers(vertices, edges, root)
-    up = both_ways(edges).join(layers.select(F.col("id").alias("node"), "layer"), "node")
-    up = up.join(layers.select(F.col("id").alias("other"), F.col("layer").alias("ol")), "other").filter("ol = layer + 1")
-    forward = up.select(F.col("node").alias("id")).distinct().withColumn("forward", F.lit(True))
-    out = vertices.join(layers, "id").join(forward, "id", "left")
-    return durable(out.select("id", "weight", "layer", F.coalesce("forward", F.lit(False)).alias("forward")))
-
-
-def _profile(layered: DataFrame) -> list[tuple[int, int]]:
-    """Per hop layer: (weight, weight of its forward vertices)."""
-    rows = layered.groupBy("layer").agg(
-        F.sum("weight").alias("w"), F.sum(F.when(F.col("forward"), F.col("weight")).otherwise(0)).alias("f")
-    )
-    return [(int(r["w"]), int(r["f"])) for r in rows.orderBy("layer").collect()]
-
-
-def _roots(vertices: DataFrame, edges: DataFrame):
-    """Ends of a long path by a double sweep, then the lowest id; each found only when asked for."""
-    start = vertices.agg(F.min("id")).first()[0]
-    far = lambda r: hop_layers(vertices, edges, r).agg(F.min_by("id", F.struct(-F.col("layer"), F.col("id")))).first()[0]
-    end = far(start)
-    yield end
-    other = far(end)
-    if other != end:
-        yield other
-    if start not in (end, other):
-        yield start
-
-
-def _cut_label(cuts: list[tuple[int, bool]], names: list[str]):
-    """Part of a vertex from its layer; ``cuts`` are (layer, drop_next)."""
-    part = F.lit(names[-1])
-    for (d, _), name in list(zip(cuts, names))[::-1]:
-        part = F.when(F.col("layer") <= d, name).otherwise(part)
-    lost = F.lit(False)
-    for d, drop_next in cuts:
-        lost = lost | ((F.col("layer") == d + 1) if drop_next else ((F.col("layer") == d) & F.col("forward")))
-    return F.when(lost, "discard").otherwise(part)
-
-
 def _finish(members, of_rep: DataFrame, split_index: int = 0) -> DataFrame:
     """Map decisions on representatives back to item ids; undecided items are discarded."""
     named = members.join(of_rep.select(F.col("id").alias("rep"), "set"), "rep", "left")
     return named.select(F.lit(split_index).alias("split_index"), "id", F.coalesce("set", F.lit("discard")).alias("set"))
 
 
-def _best_train_test_cut(profile, small_sizes, total, train_min, test_min, goal):
-    """Cheapest cut of the layer profile whose sides, with small components packed, meet the fractions."""
-    whole = sum(w for w, _ in profile)
-    best, closest, low = None, (0.0, 0.0), 0
-    for d in range(len(profile) - 1):
-        low += profile[d][0]
-        for drop_next, cost in ((False, profile[d][1]), (True, profile[d + 1][0])):
-            near = low - (0 if drop_next else cost)
-            far = whole - low - (cost if drop_next else 0)
-            if near <= 0 or far <= 0:
-                continue
-            for first, train, test in (("train", near, far), ("test", far, near)):
-                _, tr, te = ratio_plan(small_sizes, train, test, goal)
-                if tr >= train_min * total and te >= test_min * total:
-                    if best is None or cost < best[0]:
-                        best = (cost, d, drop_next, first, train, test)
-                closest = max(closest, (min(tr / total / train_min, 1), min(te / total / test_min, 1)))
-    return best, closest
-
-
 def hi_split(
     df, row_id, bits, n_bits, threshold=0.4, train_min_frac=0.7, test_min_frac=0.1, coarsening_threshold=None, seed=0
 ) -> DataFrame:
     """No test item is more similar than the threshold to a train item; items may be discarded.
 
     Whole components are packed first: if that meets the fractions, nothing is lost.
-    Otherwise the biggest component is cut between two hop layers, where edges can only
-    join neighbouring layers, at the cheapest place that meets the fractions.
+    Otherwise a balanced vertex separator of least weight is taken out of the biggest component, and the small components
+    fill up the sides.  With ``coarsening_threshold`` items above it stay together.
     """
     if train_min_frac + test_min_frac > 1 or min(train_min_frac, test_min_frac) <= 0:
         raise ValueError("minimum fractions must be positive and sum to at most 1")
@@ -123,41 +64,52 @@ def hi_split(
         )
         return _finish(members, components.join(whole, "component").select("id", "set"))
 
-    inside = durable(reps.join(components.filter(F.col("component") == giant_id).select("id"), "id", "left_semi"))
-    links = durable(edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi"))
+    inside, links = _component(components, reps, edges, giant_id)
     small_sizes = size_table(small)
+    loose = total - giant
+    # side 0 is the set with the smaller minimum
+    names = ("test", "train") if test_min_frac <= train_min_frac else ("train", "test")
+    least = {"train": math.ceil(train_min_frac * total), "test": math.ceil(test_min_frac * total)}
     reached = (0.0, 0.0)
     graphs = [(inside, links, None)]
     if coarsening_threshold is not None:
         into, cv, ce = coarsen(inside, links, coarsening_threshold)
-        graphs.append((durable(cv), durable(ce), into))
+        graphs.insert(0, (durable(cv), durable(ce), into))
     for vertices, joins, into in graphs:
-        for root in _roots(vertices, joins):
-            layered = _layers(vertices, joins, root)
-            best, close = _best_train_test_cut(
-                _profile(layered), small_sizes, total, train_min_frac, test_min_frac, goal
-            )
-            reached = max(reached, close)
-            if best is None:
-                continue
-            _, d, drop_next, first, train, test = best
-            names = ["train", "test"] if first == "train" else ["test", "train"]
-            cut = layered.select("id", _cut_label([(d, drop_next)], names).alias("set"))
-            if into is not None:  # back from condensed vertices to representatives
-                cut = into.join(cut.withColumnRenamed("id", "leader"), "leader").select("id", "set")
-            packed, _, _ = pack_by_ratio(small, train, test, goal, seed)
-            rest = components.join(packed.select("component", "set"), "component").select("id", "set")
-            return _finish(members, cut.unionByName(rest))
-    raise RuntimeError(f"no layer cut meets the minimum fractions; best shares of the goals {reached}")
+        low = max(1, least[names[0]] - loose)
+        for _ in range(TRIES):
+            sides = vertex_separator(vertices, joins, low, max(1, least[names[1]] - loose))
+            if sides is None:
+                break
+            weights = {r["side"]: int(r["w"]) for r in vertices.join(sides, "id").groupBy("side").agg(F.sum("weight").alias("w")).collect()}
+            part = {names[0]: weights.get(0, 0), names[1]: weights.get(2, 0)}
+            _, train, test = ratio_plan(small_sizes, part["train"], part["test"], goal)
+            reached = max(reached, (min(train / least["train"], 1.0), min(test / least["test"], 1.0)))
+            if train >= least["train"] and test >= least["test"]:
+                label = F.when(F.col("side") == 0, names[0]).when(F.col("side") == 2, names[1]).otherwise("discard")
+                cut = sides.select("id", label.alias("set"))
+                if into is not None:  # back from condensed vertices to representatives
+                    cut = into.join(cut.withColumnRenamed("id", "leader"), "leader").select("id", "set")
+                packed, _, _ = pack_by_ratio(small, part["train"], part["test"], goal, seed)
+                rest = components.join(packed.select("component", "set"), "component").select("id", "set")
+                return _finish(members, cut.unionByName(rest))
+            low += max(1, least[names[0]] - {"train": train, "test": test}[names[0]])
+    raise RuntimeError(f"no vertex separator found that meets the minimum fractions; best shares of the goals {reached}")
+
+
+def _component(components, reps, edges, name):
+    """Vertices and edges of one component."""
+    inside = durable(reps.join(components.filter(F.col("component") == name).select("id"), "id", "left_semi"))
+    return inside, durable(edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi"))
 
 
 def hi_k_fold(df, row_id, bits, n_bits, threshold=0.4, k=3, fold_min_frac=None, seed=0) -> DataFrame:
     """k parts without links above the threshold, each of at least ``fold_min_frac`` of the rows.
 
-    Sets are named ``part_0`` ... ``part_{k-1}``; part j is the test side of fold j.
+    Sets are named ``part_0`` ... ``part_{k-1}``; part j is the test side of fold j.  Whole components are packed first; if
+    that is not enough, parts are cut off the biggest component one by one, each by a vertex separator of least weight.
     """
     fold_min_frac = 0.9 / k if fold_min_frac is None else fold_min_frac
-    names = [f"part_{i}" for i in range(k)]
     members, reps, edges = _graph(df, row_id, bits, n_bits, threshold)
     components = durable(connected_components(reps, edges.select("src", "dst")))
     sizes = durable(giant_first(component_sizes(components, reps)))
@@ -166,46 +118,40 @@ def hi_k_fold(df, row_id, bits, n_bits, threshold=0.4, k=3, fold_min_frac=None,
     packed, parts = pack_evenly(sizes.select("component", "size"), [0] * k, seed)
     if min(parts) >= need:
         return _finish(members, components.join(packed.select("component", "set"), "component").select("id", "set"))
-    giant_id = sizes.filter("is_giant").first()["component"]
+    giant_id, giant = sizes.filter("is_giant").select("component", "size").first()
     small = sizes.filter("not is_giant").select("component", "size")
-    inside = durable(reps.join(components.filter(F.col("component") == giant_id).select("id"), "id", "left_semi"))
-    links = durable(edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi"))
-    reached = 0
-    for root in _roots(inside, links):
-        layered = _layers(inside, links, root)
-        profile = _profile(layered)
-        for share in FOLD_SHARES:
-            cuts, weights = _even_cuts(profile, k, share)
-            if len(cuts) < k - 1:
-                continue
-            packed, parts = pack_evenly(small, weights, seed)
-            reached = max(reached, min(parts))
-            if min(parts) >= need:
-                cut = layered.select("id", _cut_label(cuts, names).alias("set"))
-                rest = components.join(packed.select("component", "set"), "component").select("id", "set")
-                return _finish(members, cut.unionByName(rest))
-    raise RuntimeError(f"no {k - 1} layer cuts leave {need} rows in each part; best minimum {reached}")
-
-
-def _even_cuts(profile, k: int, share: float):
-    """Walk the layers and cut each time a part has its share of the component."""
-    goal = share * sum(w for w, _ in profile) / k
-    cuts, weights, here, skip = [], [], 0, False
-    for d, (w, f) in enumerate(profile):
-        if skip:
-            skip = False
-            continue
-        here += w
-        last = d + 1 >= len(profile)
-        if last or len(cuts) == k - 1:
-            continue
-        drop_next = profile[d + 1][0] < f
-        kept = here if drop_next else here - f
-        if kept >= goal:
-            cuts.append((d, drop_next))
-            weights.append(kept)
-            here, skip = 0, drop_next
-    return cuts, weights + [here]
+    inside, links = _component(components, reps, edges, giant_id)
+    low, reached = max(1, need - int(total - giant) // k), 0
+    for _ in range(TRIES):
+        found = _cut_off(inside, links, k, low)
+        if found is None:
+            break
+        cut, weights = found
+        packed, parts = pack_evenly(small, weights, seed)
+        reached = max(reached, min(parts))
+        if min(parts) >= need:
+            rest = components.join(packed.select("component", "set"), "component").select("id", "set")
+            return _finish(members, cut.unionByName(rest))
+        low += max(1, need - min(parts))
+    raise RuntimeError(f"no {k - 1} vertex separators found that leave {need} rows in each part; best minimum {reached}")
+
+
+def _cut_off(vertices: DataFrame, edges: DataFrame, k: int, low: int):
+    """((id, set), weights): ``k`` parts of at least ``low`` each, one after the other, or None."""
+    done, weights = [], []
+    for i in range(k - 1):
+        sides = vertex_separator(vertices, edges, low, (k - 1 - i) * low)
+        if sides is None:
+            return None
+        told = durable(vertices.join(sides, "id"))
+        weights.append(int(told.filter("side = 0").agg(F.sum("weight")).first()[0] or 0))
+        done.append(told.filter("side < 2").select("id", F.when(F.col("side") == 0, f"part_{i}").otherwise("discard").alias("set")))
+        vertices = told.filter("side = 2").drop("side")
+        keep = vertices.select(F.col("id").alias("src"))
+        edges = edges.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    weights.append(int(vertices.agg(F.sum("weight")).first()[0] or 0))
+    done.append(vertices.select("id", F.lit(f"part_{k - 1}").alias("set")))
+    return reduce(DataFrame.unionByName, done), weights
 
 
 def fold_sets(parts: DataFrame, k: int) -> DataFrame:
