@@ -10,6 +10,7 @@ from riftsplit.operators import graph
 from riftsplit.operators import splitters as sp
 from riftsplit.operators.registry import run_all_splitters, run_splitter
 from riftsplit.operators.similarity import similarity_edges
+from riftsplit.plans.durable import stored
 from riftsplit.queries.base import (
     BITS,
     SIGN_PAIRS,
@@ -171,35 +172,82 @@ def perimeter(spark, sf_dir):
     return cs.perimeter_split(_vectors(spark, sf_dir), "vec_id", "embedding", 25)
 
 
-HI_THRESHOLD = 0.55
+HI_THRESHOLD = 0.55  # of the component queries
+HI = {"threshold": 0.45, "train_min_frac": 0.4, "test_min_frac": 0.1}
+FOLDS = {"threshold": 0.5, "k": 3, "fold_min_frac": 0.15}
+
+
+def _hi_parts(spark, sf_dir):
+    return cut.hi_split(sign_items(spark, sf_dir), "id", "bits", BITS, **HI)
+
+
+def _fold_parts(spark, sf_dir):
+    return cut.hi_k_fold(sign_items(spark, sf_dir), "id", "bits", BITS, **FOLDS)
+
+
+def _edges_and_sides(items, parts, threshold):
+    """Every edge above the threshold, and whether it joins two different sets that are kept."""
+    sides = stored(parts.select("id", "set"))
+    a, b = sides.select(F.col("id").alias("src"), F.col("set").alias("a")), sides.select(F.col("id").alias("dst"), F.col("set").alias("b"))
+    joined = similarity_edges(items, "id", "bits", threshold, BITS).join(a, "src").join(b, "dst")
+    crosses = (F.col("a") != F.col("b")) & (F.col("a") != "discard") & (F.col("b") != "discard")
+    return joined.select("src", "dst", crosses.alias("crosses"))
 
 
 @query("e20_hi_split")
 def hi(spark, sf_dir):
-    return cut.hi_split(sign_items(spark, sf_dir), "id", "bits", BITS, HI_THRESHOLD, 0.7, 0.1)
+    return _hi_parts(spark, sf_dir)
 
 
 @query(
     "e20_hi_split_cross_edges",
-    "SELECT 0 AS split_index, CAST(0 AS BIGINT) AS cross_edges, true AS train_reached, true AS test_reached",
+    f"WITH {SIGN_PAIRS} SELECT i AS src, j AS dst, false AS crosses FROM pairs WHERE sim > {HI['threshold']}",
 )
 def hi_cross_edges(spark, sf_dir):
-    """Edges above the threshold that join train and test (none), and whether the fractions were met."""
-    items = sign_items(spark, sf_dir)
-    parts = cut.hi_split(items, "id", "bits", BITS, HI_THRESHOLD, 0.7, 0.1)
-    edges = similarity_edges(items, "id", "bits", HI_THRESHOLD, BITS)
-    a = parts.select(F.col("id").alias("src"), F.col("set").alias("a"))
-    b = parts.select(F.col("id").alias("dst"), F.col("set").alias("b"))
-    crossing = edges.join(a, "src").join(b, "dst").filter("a <> b and a <> 'discard' and b <> 'discard'")
-    share = lambda s: F.count_if(F.col("set") == s) / F.count(F.lit(1))
-    out = parts.groupBy("split_index").agg((share("train") >= 0.7).alias("train_reached"), (share("test") >= 0.1).alias("test_reached"))
-    return out.withColumn("cross_edges", crossing.agg(F.count(F.lit(1)).alias("n")).scalar())
+    """All edges above the threshold; none joins train and test."""
+    return _edges_and_sides(sign_items(spark, sf_dir), _hi_parts(spark, sf_dir), HI["threshold"])
+
+
+@query(
+    "e20_hi_split_shares",
+    f"WITH {SIGNS} SELECT 0 AS split_index, count(*) AS n, true AS train_reached, true AS test_reached, true AS discards FROM bits",
+)
+def hi_shares(spark, sf_dir):
+    """Both minimum fractions are reached, by a cut that takes items out."""
+    n = F.count(F.lit(1))
+    share = lambda s: F.count_if(F.col("set") == s) / n
+    return _hi_parts(spark, sf_dir).groupBy("split_index").agg(
+        n.alias("n"),
+        (share("train") >= HI["train_min_frac"]).alias("train_reached"),
+        (share("test") >= HI["test_min_frac"]).alias("test_reached"),
+        (share("discard") > 0).alias("discards"),
+    )
 
 
 @query("e21_hi_k_fold")
 def hi_folds(spark, sf_dir):
-    parts = cut.hi_k_fold(sign_items(spark, sf_dir), "id", "bits", BITS, HI_THRESHOLD, k=3)
-    return cut.fold_sets(parts, 3)
+    return cut.fold_sets(_fold_parts(spark, sf_dir), FOLDS["k"])
+
+
+@query(
+    "e21_hi_k_fold_cross_edges",
+    f"WITH {SIGN_PAIRS} SELECT i AS src, j AS dst, false AS crosses FROM pairs WHERE sim > {FOLDS['threshold']}",
+)
+def hi_fold_cross_edges(spark, sf_dir):
+    """All edges above the threshold; none joins two parts."""
+    return _edges_and_sides(sign_items(spark, sf_dir), _fold_parts(spark, sf_dir), FOLDS["threshold"])
+
+
+@query(
+    "e21_hi_k_fold_decisions",
+    f"WITH {SIGNS} SELECT id, CAST({FOLDS['k']} AS BIGINT) AS folds, true AS tested_once_or_discarded FROM bits",
+)
+def hi_fold_decisions(spark, sf_dir):
+    """Every item has one set in every fold: test in one of them, or taken out of all."""
+    sets = cut.fold_sets(_fold_parts(spark, sf_dir), FOLDS["k"])
+    tests, gone = F.count_if(F.col("set") == "test"), F.count_if(F.col("set") == "discard")
+    fair = ((tests == 1) & (gone == 0)) | ((tests == 0) & (gone == FOLDS["k"]))
+    return sets.groupBy("id").agg(F.countDistinct("split_index").alias("folds"), fair.alias("tested_once_or_discarded"))
 
 
 @query("e22_lo_split")
@@ -387,16 +435,21 @@ def packed_by_ratio(spark, sf_dir):
     return packed.groupBy("set", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e35_cut_mapped_back", f"WITH {SIGNS} SELECT id FROM bits")
+@query("e35_cut_mapped_back", f"WITH {SIGNS} SELECT id, CAST(1 AS BIGINT) AS decisions, true AS known FROM bits")
 def mapped_back(spark, sf_dir):
-    """Every item, copies included, has exactly one decision."""
-    parts = cut.hi_split(sign_items(spark, sf_dir), "id", "bits", BITS, HI_THRESHOLD, 0.7, 0.1)
-    return parts.filter(F.col("set").isin("train", "test", "discard")).select("id")
+    """Every item, copies included, has exactly one decision after a cut."""
+    known = F.bool_and(F.col("set").isin("train", "test", "discard"))
+    return _hi_parts(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("decisions"), known.alias("known"))
 
 
-@query("e36_partition_report")
+@query(
+    "e36_partition_report",
+    f"WITH {SIGNS} SELECT 0 AS split_index, count(*) AS n, count(*) AS weight, 3 AS sets FROM bits",
+)
 def partition_report(spark, sf_dir):
-    return sp.partition_report(cut.hi_split(sign_items(spark, sf_dir), "id", "bits", BITS, HI_THRESHOLD, 0.7, 0.1))
+    """The report of a cut accounts for every item, discards included."""
+    report = sp.partition_report(_hi_parts(spark, sf_dir))
+    return report.groupBy("split_index").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).cast("int").alias("sets"))
 
 
 @query(
