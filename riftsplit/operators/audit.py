@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from riftsplit.functions.stats import kolmogorov_two_sided
-from riftsplit.operators.similarity import best_in_other_set
-from riftsplit.plans.durable import durable, join_bounded
+from riftsplit.operators.similarity import best_in_other_set, nearest
+from riftsplit.plans.durable import durable, join_bounded, stored
 from riftsplit.plans.order import percentiles, running_totals
 
 SPLIT = ["splitter", "split_index"]
@@ -74,11 +74,37 @@ def similarity_summary(best: DataFrame) -> DataFrame:
     return moments.join(percentiles(best, SPLIT, "similarity", SIM_PERCENTILES), SPLIT)
 
 
-def best_similarities(parts: DataFrame, bits: DataFrame, n_bits: int) -> DataFrame:
-    """Highest similarity of each test item to the train side of its own split; ``bits`` is (id, bits)."""
-    sets = bits.select("id", "bits")
-    side = lambda s: parts.filter(F.col("set") == s).select(*SPLIT, "id").join(sets, "id")
-    return best_in_other_set(side("test"), side("train"), SPLIT, n_bits).select(*SPLIT, "id", "similarity")
+NEIGHBOURS = 8  # partners kept for each item
+
+
+def neighbour_table(items: DataFrame, queries: DataFrame, n_bits: int, m: int = NEIGHBOURS) -> DataFrame:
+    """(id, partner, similarity): the ``m`` most similar other items of each query item; inputs are (id, bits)."""
+    vec = lambda d: d.select("id", F.col("bits").alias("vec"))
+    near = nearest(vec(queries), vec(items), [], m + 1, "jaccard", n_bits).filter("lid <> rid")
+    return near.select(F.col("lid").alias("id"), F.col("rid").alias("partner"), (1.0 - F.col("distance")).alias("similarity"))
+
+
+def best_similarities(parts: DataFrame, bits: DataFrame, n_bits: int, neighbours: DataFrame | None = None) -> DataFrame:
+    """Highest similarity of each test item to the train side of its own split; ``bits`` is (id, bits).
+
+    One neighbour table serves all splits: the first partner in the list that lies in train is the best of all.  Only
+    items of which no listed partner lies in train are compared with their own train side.
+    """
+    sets = stored(bits.select("id", "bits"))
+    parts = stored(parts.select(*SPLIT, "id", "set"))
+    side = lambda s: parts.filter(F.col("set") == s).select(*SPLIT, "id")
+    test, train = side("test").join(sets.select("id"), "id", "left_semi"), side("train").join(sets.select("id"), "id", "left_semi")
+    if neighbours is None:
+        tested = sets.join(test.select("id").distinct(), "id", "left_semi")
+        neighbours = stored(neighbour_table(sets, tested, n_bits))
+    met = test.join(neighbours, "id").join(train.withColumnRenamed("id", "partner"), [*SPLIT, "partner"], "left_semi")
+    found = stored(met.groupBy(*SPLIT, "id").agg(F.max("similarity").alias("similarity")))
+    rest = stored(test.join(found.select(*SPLIT, "id"), [*SPLIT, "id"], "left_anti").join(sets, "id"))
+    if rest.isEmpty():
+        return found
+    of_splits = join_bounded(train, rest.select(*SPLIT).distinct(), SPLIT, "inner")
+    completed = best_in_other_set(rest, of_splits.join(sets, "id"), SPLIT, n_bits).select(*SPLIT, "id", "similarity")
+    return found.unionByName(completed)
 
 
 def best_similarities_stored(parts: DataFrame, both_ways_pairs: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riftsplit.plans.blocks import ROWS_PER_BLOCK, all_pairs, bit_rows, block_rows, cross_blocks, self_grid
-from riftsplit.plans.durable import durable, join_bounded
+from riftsplit.operators.pivots import ROWS_PER_CELL, TRUE_METRICS, nearest_in_cells, pivot_count, plan_visits
+from riftsplit.plans.blocks import ROWS_PER_BLOCK, all_pairs, bit_rows, block_rows, cross_blocks
+from riftsplit.plans.durable import durable, join_bounded, stored
 
 # A bit histogram is read on the driver, so the width of a fingerprint is bounded.
 MAX_BITS = 1 << 16
@@ -53,16 +55,23 @@ def nearest(
     metric: str = "euclidean",
     n_bits: int | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """k nearest right rows of every left row; inputs are ``by..., id, vec``.
 
-    Each block pair sends on k rows per left row, so the second shuffle carries
+    Without groups and with a true metric, the right side is cut into pivot cells of about ``rows_per_cell`` rows, and a
+    left row visits only those that its bounds allow; otherwise every block pair is visited.
+    Each visited block sends on k rows per left row, so the second shuffle carries
     k rows per (left row, right block) and never the matrix.  Ties go to the lower id;
     with fewer than k right rows all of them are returned.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    near = cross_blocks(left, right, by, metric, n_bits, k, rows_per_block)
+    pivots = pivot_count(right.count(), rows_per_cell) if not by and metric in TRUE_METRICS else 0
+    if pivots > 1:
+        near = nearest_in_cells(plan_visits(left, right, k, metric, n_bits, pivots), k, metric, n_bits, block_rows(rows_per_block, n_bits))
+    else:
+        near = cross_blocks(left, right, by, metric, n_bits, k, rows_per_block)
     if k == 1:
         best = F.min(F.struct("distance", "rid")).alias("_b")
         merged = near.groupBy(*by, "lid").agg(best).select(*by, "lid", "_b.rid", "_b.distance")
@@ -142,6 +151,109 @@ def tanimoto_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros(union.shape), where=union > 0)
 
 
+def packed_words(bits: pa.ListArray, n_bits: int) -> np.ndarray:
+    """Rows of 64-bit words with a bit for each member of a set."""
+    sizes = bits.value_lengths().to_numpy(zero_copy_only=False)
+    row, at = np.repeat(np.arange(len(sizes)), sizes), bits.flatten().to_numpy().astype(np.int64)
+    words = np.zeros((len(sizes), -(-n_bits // 64)), dtype=np.uint64)
+    np.bitwise_or.at(words, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return words
+
+
+def _packer(n_bits: int):
+    """(id, bits) to (id, bits, words)."""
+
+    def pack(batches):
+        for batch in batches:
+            words = packed_words(batch.column("bits"), n_bits)
+            offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(words.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("bits"), lists], names=["id", "bits", "words"])
+
+    return pack
+
+
+class PostingBlock:
+    """Rows of one list: ids, sizes, places of the list's bit in them, whether they may be the larger set, and words."""
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.size, self.place = (table.column(c).to_numpy() for c in ("id", "size", "place"))
+        self.own = table.column("own").to_numpy(zero_copy_only=False)
+        flat = table.column("words").combine_chunks().flatten().to_numpy()
+        self.words = flat.view(np.uint64).reshape(len(self.ids), -1)
+
+
+def block_pairs(a: PostingBlock, b: PostingBlock, same: bool, bit: int, threshold: float, inclusive: bool):
+    """((rows of a, rows of b, similarity) of the pairs that this list reports, number of pairs whose words were compared).
+
+    Only pairs pass whose larger set belongs to the list's band, whose sizes allow the threshold, and whose bit stands so early
+    in both that enough can follow; a pair with a rarer shared bit is left to that bit's list.
+    """
+    sa, sb = a.size[:, None], b.size[None, :]
+    low, high = np.minimum(sa, sb), np.maximum(sa, sb)
+    b_larger = (sb > sa) | ((sb == sa) & (b.ids[None, :] > a.ids[:, None]))
+    most = np.minimum((a.size - a.place)[:, None], (b.size - b.place)[None, :])
+    loose = threshold - 1e-9
+    fits = np.where(b_larger, b.own[None, :], a.own[:, None]) & (low >= loose * high) & (most >= loose * (sa + sb - most))
+    if same:
+        fits &= a.ids[:, None] < b.ids[None, :]
+    i, j = np.nonzero(fits)
+    both = a.words[i] & b.words[j]
+    whole, rest = bit >> 6, np.uint64((1 << (bit & 63)) - 1)
+    first = (both[:, whole] & rest) == 0
+    if whole:
+        first &= ~both[:, :whole].any(1)
+    shared = np.bitwise_count(both).sum(1, dtype=np.int64)
+    sim = shared / (a.size[i] + b.size[j] - shared)
+    hit = first & ((sim >= threshold) if inclusive else (sim > threshold))
+    return (i[hit], j[hit], sim[hit]), len(i)
+
+
+def _posting_lists(ranked: DataFrame, threshold: float, n_bits: int, rows_per_block: int) -> DataFrame:
+    """Rows (bit, band, bi, bj, block, id, size, place, own, words): each set in the lists of its prefix bits and its length bands.
+
+    A band holds sizes up to 1/threshold times its least, so the partners of a set are in its own band or the next.  A set
+    stands in the list of its own band, and in that of the next one to meet larger sets.
+    """
+    loose = max(threshold - 1e-9, 1e-6)
+    size = F.size("bits")
+    prefix = F.greatest(F.lit(0), F.least(size, size - F.ceil(F.lit(loose) * size) + 1)).cast("int")
+    band = F.floor(F.log(size.cast("double")) / F.lit(float(np.log(1 / min(loose, 0.999))))).cast("int")
+    entries = ranked.filter(size > 0).select("id", "words", size.alias("size"), band.alias("_band"), F.posexplode(F.slice("bits", 1, prefix)).alias("place", "bit"))
+    entries = entries.withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") + 1))).withColumn("own", F.col("band") == F.col("_band"))
+    lists = entries.groupBy("bit", "band").agg(F.count(F.lit(1)).alias("_c"), F.count_if("own").alias("_o")).filter("_o > 0 AND _c > 1")
+    lists = lists.select("bit", "band", F.ceil(F.col("_c") / F.lit(rows_per_block)).cast("int").alias("_n"))
+    placed = entries.join(F.broadcast(lists), ["bit", "band"])  # n_bits x bands rows at most
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return placed.withColumns({"bi": F.least("block", "_o"), "bj": F.greatest("block", "_o")}).drop("_o", "_n", "_band")
+
+
+def _each_list(threshold: float, inclusive: bool, counting: bool):
+    """Groups of _posting_lists to edges (src, dst, sim), or to the number of compared pairs."""
+    schema = pa.schema([("n", pa.int64())]) if counting else pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())])
+
+    def work(table: pa.Table) -> pa.Table:
+        bit, bi, bj = (table.column(c)[0].as_py() for c in ("bit", "bi", "bj"))
+        block = table.column("block").to_numpy()
+        a = PostingBlock(table.take(np.flatnonzero(block == bi)))
+        b = a if bi == bj else PostingBlock(table.take(np.flatnonzero(block == bj)))
+        (i, j, sim), compared = block_pairs(a, b, bi == bj, bit, threshold, inclusive)
+        if counting:
+            return pa.Table.from_arrays([pa.array([compared], pa.int64())], schema=schema)
+        x, y = a.ids[i], b.ids[j]
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim)], schema=schema)
+
+    return work
+
+
+def _ranked_words(df: DataFrame, row_id: str, bits: str, n_bits: int) -> DataFrame:
+    """(id, bits as ascending ranks, rarest first, words of them), stored."""
+    rows = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(bits).alias("bits"))
+    table = bit_ranks(rows, n_bits)
+    ranked = rows.select("id", F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits"))
+    return stored(ranked.mapInArrow(_packer(n_bits), "id bigint, bits array<int>, words array<bigint>"))
+
+
 def similarity_edges(
     df: DataFrame,
     row_id: str,
@@ -151,72 +263,30 @@ def similarity_edges(
     inclusive: bool = False,
     self_loops: bool = False,
     rows_per_block: int = ROWS_PER_BLOCK,
-    plan: str | None = None,
 ) -> DataFrame:
     """Exact set-similarity range join: (src, dst, sim) with src < dst and sim above the threshold.
 
-    Two exact plans, chosen by counted cost.  *postings*: a row is sent to the bits
-    of its prefix (rarest first), since two sets above the threshold share a prefix
-    bit; posting lists longer than a block are cut into block pairs, and a pair is
-    emitted only in the group of its rarest shared bit.  *grid*: when bits are so common
-    that posting lists add up to more than the square of the table, each
-    unordered block pair is compared once.  Both verify inside the task: candidates
-    are never materialised.
+    Sets above the threshold share a bit of their prefixes (rarest bits first) and lie in the same or neighbouring length bands,
+    so a set goes to the lists (prefix bit, band); lists longer than a block are cut into block pairs.  Inside, sizes and the
+    places of the bit rule pairs out before packed words are compared, and a pair is emitted only in the list of
+    its rarest shared bit: candidates are never rows and no duplicate has to be removed.
     """
-    rows = df.select(F.col(row_id).alias("id"), F.col(bits).alias("bits"))
-    table = bit_ranks(rows, n_bits)
-    # read by the cost count, the list sizes and the join itself
-    ranked = durable(rows.select("id", F.array_sort(F.transform("bits", lambda b: F.get(table, b))).alias("bits")))
-    n = ranked.count()
-    rows_per_block = block_rows(rows_per_block, n_bits)
-    loose = threshold - 1e-9
-
-    def keep(sim: np.ndarray) -> np.ndarray:
-        return sim >= threshold if inclusive else sim > threshold
-
-    size = F.size("bits")
-    prefix_len = F.greatest(F.lit(0), F.least(size, size - F.ceil(F.lit(loose) * size) + 1)).cast("int")
-    prefix = F.slice("bits", 1, prefix_len)
-    if plan is None:
-        lists = ranked.select(F.explode(prefix).alias("bit")).groupBy("bit").count()
-        cost = lists.agg(F.sum(F.pow(F.col("count").cast("double"), 2.0))).first()[0] or 0.0
-        plan = "postings" if cost < float(n) * n else "grid"
-    if plan == "grid":
-        placed = self_grid(ranked, "id", rows_per_block).withColumn("bit", F.lit(-1))
-    else:
-        entries = ranked.withColumn("bit", F.explode(prefix))
-        lists = entries.groupBy("bit").agg(F.count(F.lit(1)).alias("_c"))  # at most n_bits rows
-        entries = entries.join(F.broadcast(lists), "bit")
-        blocks = F.ceil(F.col("_c") / F.lit(rows_per_block)).cast("int")
-        placed = (
-            entries.withColumn("_n", blocks)
-            .withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-            .withColumns({"bi": F.least("_b", "_o"), "bj": F.greatest("_b", "_o")})
-            .drop("_o", "_n", "_c")
-        )
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        bit, bi, bj = int(pdf.bit.iloc[0]), int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
-        left, right = pdf[pdf._b == bi], pdf[pdf._b == bj]
-        a, b = left.id.to_numpy(), right.id.to_numpy()
-        ma, mb = bit_rows(left.bits, n_bits), bit_rows(right.bits, n_bits)
-        sim = tanimoto_matrix(ma, mb)
-        hit = keep(sim)
-        if bi == bj:
-            hit &= a[:, None] < b[None, :]
-        if bit > 0:  # a rarer shared bit means that another group reports the pair
-            hit &= (ma[:, :bit] @ mb[:, :bit].T) == 0
-        r, c = np.nonzero(hit)
-        return pd.DataFrame({"src": np.minimum(a[r], b[c]), "dst": np.maximum(a[r], b[c]), "sim": sim[r, c]})
-
-    edges = placed.groupBy("bit", "bi", "bj").applyInPandas(verify, "src bigint, dst bigint, sim double")
+    ranked = _ranked_words(df, row_id, bits, n_bits)
+    lists = _posting_lists(ranked, threshold, n_bits, rows_per_block)
+    grouped = lists.groupBy("bit", "band", "bi", "bj")
+    edges = grouped.applyInArrow(_each_list(threshold, inclusive, False), "src bigint, dst bigint, sim double")
     if self_loops:
-        loops = rows.filter(F.size("bits") > 0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("sim"))
+        loops = ranked.filter(F.size("bits") > 0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("sim"))
         edges = edges.unionByName(loops.filter(F.col("sim") > threshold) if not inclusive else loops)
     return edges
 
 
+def compared_pairs(df: DataFrame, row_id: str, bits: str, threshold: float, n_bits: int, rows_per_block: int = ROWS_PER_BLOCK) -> int:
+    """How many pairs the range join compares word by word."""
+    lists = _posting_lists(_ranked_words(df, row_id, bits, n_bits), threshold, n_bits, rows_per_block)
+    return lists.groupBy("bit", "band", "bi", "bj").applyInArrow(_each_list(threshold, False, True), "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def approx_similarity_edges(df, row_id, bits, threshold, n_bits, tables: int = 16, seed: int = 0) -> DataFrame:
     """Declared approximate mode: min-hash signatures, banded, verified on the full sets."""
     from pyspark.ml.feature import MinHashLSH

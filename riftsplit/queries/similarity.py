@@ -121,7 +121,7 @@ def edges(spark, sf_dir):
 )
 def edges_by_postings(spark, sf_dir):
     items = sign_items(spark, sf_dir)
-    return rounded(sim.similarity_edges(items, "id", "bits", 0.6, BITS, self_loops=True, plan="postings"), "sim")
+    return rounded(sim.similarity_edges(items, "id", "bits", 0.6, BITS, self_loops=True), "sim")
 
 
 @query("d6_similarity_edges_minhash")
@@ -171,6 +171,15 @@ def knn_join(spark, sf_dir):
     return rounded(near.select(F.col("lid").alias("test_id"), F.col("rid").alias("train_id"), "rank", "distance"), "distance")
 
 
+@query("d9_knn_pivots", f"WITH {_BLOCK} " + _KNN.format(d=r6("distance"), by="", where=""))
+def knn_by_pivots(spark, sf_dir):
+    """The same by pivot cells of about 64 rows and triangle bounds."""
+    train, test = _sides(spark, sf_dir)
+    vec = lambda d: d.select("id", F.col("embedding").alias("vec"))
+    near = sim.nearest(vec(test), vec(train), [], 5, rows_per_cell=64)
+    return rounded(near.select(F.col("lid").alias("test_id"), F.col("rid").alias("train_id"), "rank", "distance"), "distance")
+
+
 _GRID_KNN = f"""g AS (SELECT vec_id, embedding, CAST(vec_id % 3 AS INTEGER) AS dataset, label FROM embeddings),
    blk AS (SELECT a.dataset, a.vec_id AS train_id, b.vec_id AS test_id, {_D["euclidean"]} AS distance
    FROM g a JOIN g b ON a.dataset = b.dataset WHERE NOT (a.{_IS_TEST}) AND b.{_IS_TEST}),

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from riftsplit.operators import graph
 from riftsplit.operators.cluster_split import butina_clusters, dbscan_clusters, sphere_exclusion_clusters
-from riftsplit.operators.similarity import best_in_other_set, collapse_copies, similarity_edges
+from riftsplit.operators.similarity import best_in_other_set, collapse_copies, compared_pairs, similarity_edges
 
 
 def frame(spark, items):
     return spark.createDataFrame(items, "id bigint, bits array<int>")
 
 
-@pytest.mark.parametrize("plan", ["postings", "grid", None])
-@pytest.mark.parametrize("threshold,inclusive", [(0.4, False), (0.5, True), (0.7, False), (0.0, False)])
-def test_similarity_edges(spark, plan, threshold, inclusive):
-    items = random_sets(120, 24, 1, copies=25)
-    got = similarity_edges(frame(spark, items), "id", "bits", threshold, 24, inclusive=inclusive, rows_per_block=16, plan=plan)
+@pytest.mark.parametrize("n_bits, block", [(24, 16), (150, 1024)])
+@pytest.mark.parametrize("threshold,inclusive", [(0.4, False), (0.5, True), (0.7, False), (0.0, False), (1.0, True)])
+def test_similarity_edges(spark, n_bits, block, threshold, inclusive):
+    items = random_sets(120, n_bits, 1, high=8 if n_bits == 24 else 60, copies=25) + [(900, [])]
+    got = similarity_edges(frame(spark, items), "id", "bits", threshold, n_bits, inclusive=inclusive, rows_per_block=block)
     found = {(r["src"], r["dst"]): r["sim"] for r in got.collect()}
     wanted = brute_edges(items, threshold, inclusive)
     assert found.keys() == wanted.keys()
@@ -35,10 +35,16 @@ def test_similarity_edges_self_loops(spark):
 
 def test_each_edge_once(spark):
     items = random_sets(150, 20, 5, copies=50)
-    got = similarity_edges(frame(spark, items), "id", "bits", 0.3, 20, rows_per_block=8, plan="postings")
+    got = similarity_edges(frame(spark, items), "id", "bits", 0.3, 20, rows_per_block=8)
     assert got.count() == got.distinct().count() == len(brute_edges(items, 0.3))
 
 
+def test_lengths_and_places_rule_pairs_out(spark):
+    items = random_sets(300, 400, 4, low=2, high=60)
+    compared = compared_pairs(frame(spark, items), "id", "bits", 0.6, 400)
+    assert len(brute_edges(items, 0.6)) <= compared < 300 * 299 // 2 // 4
+
+
 @pytest.mark.parametrize("plan", ["postings", "grid", None])
 def test_best_in_other_set(spark, plan):
     items = random_sets(90, 40, 11, copies=20) + [(500, []), (501, [39])]
