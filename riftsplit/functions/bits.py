@@ -13,6 +13,7 @@ CLUSTER_BITS = 1024
 AUDIT_BITS = 2048
 # Multiplier of the rolling q-gram hash.
 HASH_BASE = 31
+SLICE_ROWS = 128  # texts hashed at a time
 
 
 def shingle_fingerprint(item: Column, q: int = 4, n_bits: int = CLUSTER_BITS, on_invalid: str = "empty") -> Column:
@@ -28,17 +29,22 @@ def shingle_fingerprint(item: Column, q: int = 4, n_bits: int = CLUSTER_BITS, on
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def fingerprint(items: pd.Series) -> pd.Series:
-        # the texts of a batch lie one after the other in one array of code points
-        texts = [t or "" for t in items]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        n = max(0, len(codes) - q + 1)
-        hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
-        inside = row[:n] == row[q - 1 : q - 1 + n]  # no gram spans two texts
-        found = np.unique(row[:n][inside] * n_bits + hashed[inside])
-        at = np.searchsorted(found, np.arange(len(texts) + 1) * n_bits)
-        bits = (found % n_bits).astype(np.int32)
-        return pd.Series([bits[i:j] for i, j in zip(at[:-1], at[1:])], dtype=object)
+        # the texts of a slice lie one after the other in one array of code points
+        out = []
+        for start in range(0, len(items), SLICE_ROWS):
+            texts = [t or "" for t in items.iloc[start : start + SLICE_ROWS]]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            n = max(0, len(codes) - q + 1)
+            hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
+            inside = row[:n] == row[q - 1 : q - 1 + n]  # no gram spans two texts
+            seen = np.zeros(len(texts) * n_bits, dtype=bool)
+            seen[row[:n][inside] * n_bits + hashed[inside]] = True
+            found = np.flatnonzero(seen)
+            at = np.searchsorted(found, np.arange(len(texts) + 1) * n_bits)
+            bits = (found % n_bits).astype(np.int32)
+            out += [bits[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pd.Series(out, dtype=object)
 
     if on_invalid == "raise":
         item = F.when(item.isNull(), F.raise_error("item without a fingerprint").cast("string")).otherwise(item)

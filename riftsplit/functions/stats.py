@@ -1,14 +1,15 @@
-"""Tail probabilities on already aggregated rows, as Arrow-batched UDFs.
+"""Tail probabilities and the normal quantile as Spark expressions, usable on rows as well as on aggregates.
 
-Spark SQL has no erf, Student, Fisher or inverse normal; these run on one value
-per group, after the heavy aggregation.
+Spark SQL has no erf, log-gamma, Student, Fisher or inverse normal.  Series and continued fractions are folds over
+short sequences, so everything stays in the JVM.  Only the exact p-value of a small ranking (`kendall_exact`) counts
+permutations on Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,72 +29,163 @@ def pearson(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    # Lentz evaluation of the continued fraction of the incomplete beta function.
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            h *= step
-        if abs(step - 1.0) < 1e-15:
-            break
-    return h
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+def _let(value: Column, body) -> Column:
+    """``body(x)`` with x evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _each(fn, *columns: pd.Series) -> pd.Series:
-    def one(*args):
-        if any(a is None or a != a for a in args):
-            return None
-        return fn(*args)
+def _number(x: Column | str) -> Column:
+    """As a double; NaN counts as null."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return F.when(~F.isnan(x), x)
 
-    return pd.Series([one(*row) for row in zip(*columns)], dtype="float64")
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: Stirling's series, eight steps up."""
 
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """P(|Z| > |z|)."""
-    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)
+    def body(x: Column) -> Column:
+        z = x + 8.0
+        shift = F.ln(x)
+        for i in range(1, 8):
+            shift = shift + F.ln(x + float(i))
+        series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+        return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 
+    return _let(x, body)
 
-@F.pandas_udf(DoubleType())
-def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """P(|T| > |t|) with df degrees of freedom."""
-    return _each(lambda v, d: incomplete_beta(d / 2.0, 0.5, d / (d + v * v)) if d > 0 else None, t, df)
 
+FRACTION_STEPS = 400  # of a continued fraction
+TINY = 1e-300
 
-@F.pandas_udf(DoubleType())
-def fisher_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    """P(F > f) with (d1, d2) degrees of freedom."""
-    return _each(
-        lambda v, a, b: incomplete_beta(b / 2.0, a / 2.0, b / (b + a * v)) if min(a, b) > 0 else None, f, d1, d2
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz), as a fold."""
+    safe = lambda v: F.when(F.abs(v) > TINY, v).otherwise(F.lit(TINY))
+
+    def step(s: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        num = F.when(k % 2 == 0, even).otherwise(odd)
+        fresh = F.struct((1 / safe(1 + num * s["d"])).alias("d"), safe(1 + num / s["c"]).alias("c"), s["h"].alias("h"))
+        return _let(fresh, lambda f: F.struct(f["c"].alias("c"), f["d"].alias("d"), (f["h"] * f["c"] * f["d"]).alias("h")))
+
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(FRACTION_STEPS)), start, step, lambda s: s["h"])
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function."""
+    swap = x >= (a + 1) / (a + b + 2)
+    sides = F.struct(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"), F.when(swap, 1 - x).otherwise(x).alias("x"), swap.alias("swap"))
+
+    def body(s: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
+        part = front * _beta_fraction(a, b, x) / a
+        return F.when(s["swap"], 1 - part).otherwise(part)
+
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(_let(sides, body))
+
+
+def erfc(x: Column) -> Column:
+    """Complement of the error function of a number that is not negative."""
+    square = x * x
+    # erf = 2 / sqrt(pi) * exp(-x^2) * (x + 2 x^3 / 3 + 4 x^5 / 15 + ...)
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(x.alias("t"), x.alias("s")),
+        lambda s, n: _let(s["t"] * 2 * square / (2 * n + 1), lambda t: F.struct(t.alias("t"), (s["s"] + t).alias("s"))),
+        lambda s: s["s"],
     )
+    series = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * terms
+    fraction = F.exp(-square) / math.sqrt(math.pi) / F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x, lambda t, k: x + k / 2.0 / t)
+    return F.when(x < 2.5, series).otherwise(fraction)
+
+
+def normal_two_sided(z: Column | str) -> Column:
+    """P(|Z| > |z|)."""
+    return _let(F.abs(_number(z)) / math.sqrt(2.0), erfc)
+
+
+def student_two_sided(t: Column | str, df: Column | str) -> Column:
+    """P(|T| > |t|) with df degrees of freedom; null without any."""
+    pair = F.struct(_number(t).alias("t"), _number(df).alias("d"))
+    return _let(pair, lambda p: F.when(p["d"] > 0, incomplete_beta(p["d"] / 2, F.lit(0.5), p["d"] / (p["d"] + p["t"] * p["t"]))))
+
+
+def fisher_upper(f: Column | str, d1: Column | str, d2: Column | str) -> Column:
+    """P(F > f) with (d1, d2) degrees of freedom; null without any."""
+    three = F.struct(_number(f).alias("f"), _number(d1).alias("a"), _number(d2).alias("b"))
+    body = lambda s: incomplete_beta(s["b"] / 2, s["a"] / 2, s["b"] / (s["b"] + s["a"] * s["f"]))
+    return _let(three, lambda s: F.when(F.least(s["a"], s["b"]) > 0, body(s)))
+
+
+# Published coefficients of a rational approximation of the normal quantile (relative error 1e-9).
+CENTRE_TOP = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+CENTRE_BASE = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+TAIL_TOP = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+TAIL_BASE = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+TAIL_FROM = 0.02425
+
+
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column | str) -> Column:
+    """Inverse normal distribution function, a rational approximation and one Halley step; null outside (0, 1)."""
+
+    def body(p: Column) -> Column:
+        small = F.least(p, 1 - p)  # the lower half; the sign is put back at the end
+        tail = _let(F.sqrt(-2 * F.ln(small)), lambda q: _polynomial(TAIL_TOP, q) / _polynomial(TAIL_BASE, q))
+        middle = _let(small - 0.5, lambda q: q * _polynomial(CENTRE_TOP, q * q) / _polynomial(CENTRE_BASE, q * q))
+        guess = F.when(small < TAIL_FROM, tail).otherwise(middle)
+
+        def better(x: Column) -> Column:
+            u = (0.5 * erfc(F.abs(x) / math.sqrt(2.0)) - small) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+            return _let(u, lambda u: x - u / (1 + x * u / 2))
+
+        return _let(guess, lambda x: better(x) * F.when(p > 0.5, -1.0).otherwise(1.0))
+
+    return _let(_number(p), lambda p: F.when((p > 0) & (p < 1), body(p)))
+
+
+EXACT_RANKING = 33  # longest ranking whose permutations are counted
 
 
 @F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse normal distribution function; null outside (0, 1)."""
-    inv = NormalDist().inv_cdf
-    return _each(lambda v: inv(v) if 0.0 < v < 1.0 else None, p)
+def _kendall_exact(discordant: pd.Series, n: pd.Series) -> pd.Series:
+    out = []
+    for d, m in zip(discordant, n, strict=True):
+        if d is None or m is None or d != d or m != m or m < 2:
+            out.append(None)
+            continue
+        m, most = int(m), int(m) * (int(m) - 1) // 2
+        counts = np.ones(1)  # permutations of k values by their inversions, as shares
+        for k in range(2, m + 1):
+            counts = np.convolve(counts, np.full(k, 1.0 / k))
+        low = min(int(d), most - int(d))
+        out.append(1.0 if 2 * low == most else min(1.0, 2.0 * float(counts[: low + 1].sum())))
+    return pd.Series(out, dtype="float64")
+
+
+def kendall_p(s: Column, discordant: Column, n: Column, ties: dict[str, Column]) -> Column:
+    """Two-sided p of a sum of pair signs: exact for up to 33 values without ties, else normal with the variance of ties.
+
+    ``ties`` are, for each side x and y, sums over groups of t equal values: ``x2`` of t(t-1)/2, ``x3`` of t(t-1)(t-2) and
+    ``x5`` of t(t-1)(2t+5).
+    """
+    m = n.cast("double")
+    var = (m * (m - 1) * (2 * m + 5) - ties["x5"] - ties["y5"]) / 18 + 2 * ties["x2"] * ties["y2"] / F.nullif(m * (m - 1), F.lit(0.0))
+    var = var + F.coalesce(ties["x3"] * ties["y3"] / F.nullif(9 * m * (m - 1) * (m - 2), F.lit(0.0)), F.lit(0.0))
+    normal = normal_two_sided(s / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0)))
+    exact = (ties["x2"] == 0) & (ties["y2"] == 0) & (n <= EXACT_RANKING)
+    return F.when(exact, _kendall_exact(discordant, n)).otherwise(normal)
 
 
 def kolmogorov_two_sided(d: Column, n1: Column, n2: Column) -> Column:

@@ -11,9 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riftsplit.functions.stats import normal_quantile, normal_two_sided, pearson, student_two_sided
-from riftsplit.plans.blocks import ROWS_PER_BLOCK, self_grid
-from riftsplit.plans.durable import durable, join_bounded
+from riftsplit.functions.stats import kendall_p, normal_quantile, pearson, student_two_sided
+from riftsplit.plans.durable import durable, join_bounded, stored
 from riftsplit.plans.order import global_rank, percentiles, running_totals
 
 
@@ -277,37 +276,101 @@ def ranking_comparison(df: DataFrame, by: list[str], category: str, v1: str, v2:
     return both.select(*by, category, v1, v2, "rank_1", "rank_2", F.abs(F.col("rank_1") - F.col("rank_2")).alias("rank_diff"))
 
 
-def ranking_agreement(ranked: DataFrame, by: list[str], category: str) -> DataFrame:
-    """Spearman, Kendall tau-b and footrule per group, with asymptotic p-values.
-
-    Kendall's pair signs are summed block pair by block pair, so no pair is ever a row and
-    a large group is spread over many tasks.
+def inversions(values: np.ndarray, weights: np.ndarray) -> float:
+    """Weighted number of pairs i < j with values[i] > values[j], by merging sorted halves."""
+    total, width, n = 0.0, 64, len(values)
+    values, weights = values.copy(), weights.astype(np.float64)
+    for start in range(0, n, width):  # short stretches pair by pair
+        v, w = values[start : start + width], weights[start : start + width]
+        total += float((np.triu(v[:, None] > v[None, :], 1) * w[:, None] * w[None, :]).sum())
+        order = np.argsort(v, kind="stable")
+        values[start : start + width], weights[start : start + width] = v[order], w[order]
+    while width < n:
+        for start in range(0, n - width, 2 * width):
+            mid, end = start + width, min(start + 2 * width, n)
+            upto = np.concatenate([[0.0], np.cumsum(weights[start:mid])])
+            greater = upto[-1] - upto[np.searchsorted(values[start:mid], values[mid:end], side="right")]
+            total += float((greater * weights[mid:end]).sum())
+            order = np.argsort(values[start:end], kind="stable")
+            values[start:end], weights[start:end] = values[start:end][order], weights[start:end][order]
+        width *= 2
+    return total
+
+
+PIECES = 256  # most range partitions of a ranking
+
+
+def discordant_pairs(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., discordant): pairs that the two ranks of (by..., rank_1, rank_2, c) order differently.
+
+    Rows are range-partitioned by (rank_1, rank_2) into pieces and by (rank_2, rank_1) into buckets.  Pairs in one bucket are
+    counted there, pairs in one piece but different buckets in the piece, and pairs that share neither from the table of
+    counts per (piece, bucket).  No pair is ever a row, and a group of any size spans many tasks.
     """
+    pieces = max(1, min(PIECES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = counts.select(*by, "rank_1", "rank_2", "c").repartitionByRange(pieces, *by, "rank_1", "rank_2")
+    placed = durable(placed.withColumn("piece", F.spark_partition_id())).repartitionByRange(pieces, *by, "rank_2", "rank_1")
+    placed = stored(placed.withColumn("bucket", F.spark_partition_id()))
+    types = dict(placed.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["d double"])
+
+    def one(key: tuple, d: float) -> pd.DataFrame:
+        return pd.DataFrame([[*key, d]], columns=[*by, "d"])
+
+    def in_bucket(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank_1", "rank_2"])
+        return one(key[:-1], inversions(pdf.rank_2.to_numpy(), pdf.c.to_numpy()))
+
+    def in_piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank_1", "rank_2"])
+        return one(key[:-1], inversions(pdf.bucket.to_numpy().astype(np.float64), pdf.c.to_numpy()))
+
+    def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((pieces + 1, pieces + 1))
+        np.add.at(table, (pdf.piece.to_numpy(), pdf.bucket.to_numpy()), pdf.c.to_numpy())
+        before = table.cumsum(0)[:-1]  # of the earlier pieces and this one
+        later = before[:, ::-1].cumsum(1)[:, ::-1]
+        earlier_higher = np.zeros_like(table)
+        earlier_higher[1:, :-1] = later[:, 1:]
+        return one(key, float((table * earlier_higher).sum()))
+
+    cells = placed.groupBy(*by, "piece", "bucket").agg(F.sum("c").alias("c"))  # pieces x buckets rows a group at most
+    parts = [placed.groupBy(*by, "bucket").applyInPandas(in_bucket, schema), placed.groupBy(*by, "piece").applyInPandas(in_piece, schema)]
+    parts.append(cells.groupBy(*by).applyInPandas(across, schema))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by).agg(F.sum("d").alias("discordant"))
+
+
+def _tie_sums(ranked: DataFrame, by: list[str], rank: str, side: str) -> DataFrame:
+    t = F.col("t").cast("double")
+    groups = ranked.groupBy(*by, rank).agg(F.count(F.lit(1)).alias("t"))
+    return groups.groupBy(*by).agg(
+        F.sum(t * (t - 1) / 2).alias(f"{side}2"), F.sum(t * (t - 1) * (t - 2)).alias(f"{side}3"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{side}5")
+    )
+
+
+def ranking_agreement(ranked: DataFrame, by: list[str], category: str) -> DataFrame:
+    """Spearman, Kendall tau-b and footrule per group, with p-values (exact for short rankings without ties)."""
+    if not by:
+        return ranking_agreement(ranked.withColumn("_all", F.lit(0)), ["_all"], category).drop("_all")
     base = ranked.groupBy(*by).agg(
         pearson("rank_1", "rank_2").alias("spearman"), F.sum("rank_diff").alias("footrule"), F.count(F.lit(1)).alias("n")
     )
-    placed = self_grid(ranked.select(*by, category, "rank_1", "rank_2"), category, ROWS_PER_BLOCK, by)
-    types = dict(placed.dtypes)
-
-    def signs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf._b == key[-2]], pdf[pdf._b == key[-1]]
-        sx = np.sign(left.rank_1.to_numpy()[:, None] - right.rank_1.to_numpy()[None, :])
-        sy = np.sign(left.rank_2.to_numpy()[:, None] - right.rank_2.to_numpy()[None, :])
-        share = 0.5 if key[-2] == key[-1] else 1.0  # a block against itself sees each pair twice
-        sums = [share * float(m.sum()) for m in (sx * sy, np.abs(sx), np.abs(sy))]
-        return pd.DataFrame([[*key[:-2], *sums]], columns=[*by, "s", "a", "b"])
-
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["s double", "a double", "b double"])
-    tau = placed.groupBy(*by, "bi", "bj").applyInPandas(signs, schema)
-    tau = tau.groupBy(*by).agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    tau = tau.select(*by, "s", (F.col("s") / F.nullif(F.sqrt(F.col("a") * F.col("b")), F.lit(0.0))).alias("kendall_tau"))
-    both = base.join(tau, by) if by else _attach_one(base, tau)
-    n, r = F.col("n").cast("double"), F.col("spearman")
+    counts = stored(ranked.groupBy(*by, "rank_1", "rank_2").agg(F.count(F.lit(1)).alias("c")))
+    tied = counts.groupBy(*by).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("both2"))
+    joined = base
+    for part in (discordant_pairs(counts, by), tied, _tie_sums(ranked, by, "rank_1", "x"), _tie_sums(ranked, by, "rank_2", "y")):
+        joined = joined.join(part, by)
+    n = F.col("n").cast("double")
+    pairs = n * (n - 1) / 2
+    s = pairs - F.col("x2") - F.col("y2") + F.col("both2") - 2 * F.col("discordant")
+    tau = s / F.nullif(F.sqrt((pairs - F.col("x2")) * (pairs - F.col("y2"))), F.lit(0.0))
+    r = F.col("spearman")
     t = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
-    z = F.col("s") / F.nullif(F.sqrt(n * (n - 1) * (2 * n + 5) / 18), F.lit(0.0))
-    return both.select(
-        *by, "spearman", student_two_sided(t, n - 2).alias("spearman_p_value"),
-        "kendall_tau", normal_two_sided(z).alias("kendall_p_value"), "footrule", "n",
+    p = F.when(F.abs(r) >= 1, F.when(n > 2, F.lit(0.0))).otherwise(student_two_sided(t, n - 2))
+    ties = {c: F.col(c) for c in ("x2", "x3", "x5", "y2", "y3", "y5")}
+    return joined.withColumn("_s", s).select(
+        *by, "spearman", p.alias("spearman_p_value"),
+        tau.alias("kendall_tau"), kendall_p(F.col("_s"), F.col("discordant"), F.col("n"), ties).alias("kendall_p_value"), "footrule", "n",
     )
 
 
