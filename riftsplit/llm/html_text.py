@@ -38,7 +38,8 @@ BLOCKS = frozenset(
     "tbody td textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select datalist".split())
+SILENT = frozenset("script style noscript template head title iframe textarea select datalist".split())
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 # an opening tag closes the open element of these names
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_CLOSERS = BLOCKS - {"button", "label", "option", "select", "textarea", "iframe", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -76,7 +77,8 @@ class BlockParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, frozenset[str], bool]] = []
+        # open elements: name, then names of all open elements, their class words, and whether one is marked, down to it
+        self.open: list[tuple[str, frozenset[str], frozenset[str], bool]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.title: list[str] = []
@@ -85,21 +87,26 @@ class BlockParser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = frozenset(t for t, _, _ in self.open)
-            names = frozenset().union(*(n for _, n, _ in self.open))
-            self.blocks.append(Block(text, tags, names, self.linked, any(m for _, _, m in self.open)))
+            self.blocks.append(Block(text, *self._inside(), linked=self.linked, labelled=bool(self.open) and self.open[-1][3]))
         self.parts, self.linked = [], 0
 
+    def _inside(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Names and class words of all open elements."""
+        return self.open[-1][1:3] if self.open else (frozenset(), frozenset())
+
     def _pop(self, upto: int) -> None:
         """Close the open elements from ``upto`` on."""
-        if any(t in BLOCKS for t, _, _ in self.open[upto:]):
+        if any(e[0] in BLOCKS for e in self.open[upto:]):
             self.flush()
-        self.silent -= sum(t in SILENT for t, _, _ in self.open[upto:])
+        self.silent -= sum(e[0] in SILENT for e in self.open[upto:])
         del self.open[upto:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "body":
             self._pop(0)
+        elif tag not in IN_HEAD and any(e[0] == "head" for e in self.open[:4]):
+            # the end of head may be left out
+            self._pop(next(i for i, e in enumerate(self.open) if e[0] == "head"))
         closed = CLOSES.get(tag)
         if closed or tag in P_CLOSERS:
             for i in range(len(self.open) - 1, -1, -1):
@@ -124,7 +131,10 @@ class BlockParser(HTMLParser):
             elif key == "data-main":
                 mark = True
         self.silent += tag in SILENT
-        self.open.append((tag, frozenset(names), mark))
+        tags, words = self._inside()
+        marked = mark or (bool(self.open) and self.open[-1][3])
+        # most elements add nothing: their sets are shared with the one around them
+        self.open.append((tag, tags if tag in tags else tags | {tag}, words if words >= names else words | names, marked))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -132,6 +142,8 @@ class BlockParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag not in self._inside()[0]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._pop(i)
@@ -143,7 +155,7 @@ class BlockParser(HTMLParser):
                 self.title.append(data)
             return
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in self.open):
+        if "a" in self._inside()[0]:
             self.linked += len(data.strip())
 
 

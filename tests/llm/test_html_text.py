@@ -72,3 +72,25 @@ def test_training_without_marked_pages(spark):
     field = ht.learn_field(make(spark, [(1, None), (2, "<p>x</p>")]))
     blocks, title = ht.page_blocks(ht.EXAMPLES[0])
     assert field.decode(ht.block_features(blocks, title)) == [int(b.labelled) for b in blocks]
+
+
+def blocks_of(html):
+    parser = ht.BlockParser()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    return [b.text for b in parser.blocks]
+
+
+def test_visible_elements_and_open_heads():
+    assert blocks_of("<article><p>Energy is <math><mi>E</mi></math> always.</p><p>An <svg><text>axis</text></svg>.</p></article>") == ["Energy is E always.", "An axis."]
+    assert blocks_of("<head><title>T</title><meta charset=x><p>First.<p>Second.") == ["First.", "Second."]
+    assert blocks_of("<html><head><style>a</style><article>Text</article>") == ["Text"]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    assert len(blocks_of("".join(f"<div class='c{i % 7}'>t{i}" for i in range(20_000)))) == 20_000
+    assert time.time() - start < 20
