@@ -185,7 +185,8 @@ def kendall_p(s: Column, discordant: Column, n: Column, ties: dict[str, Column])
     var = var + F.coalesce(ties["x3"] * ties["y3"] / F.nullif(9 * m * (m - 1) * (m - 2), F.lit(0.0)), F.lit(0.0))
     normal = normal_two_sided(s / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0)))
     exact = (ties["x2"] == 0) & (ties["y2"] == 0) & (n <= EXACT_RANKING)
-    return F.when(exact, _kendall_exact(discordant, n)).otherwise(normal)
+    # a Python function runs on every row, so the others are sent as nulls
+    return F.when(exact, _kendall_exact(F.when(exact, discordant), n)).otherwise(normal)
 
 
 def kolmogorov_two_sided(d: Column, n1: Column, n2: Column) -> Column:

@@ -143,3 +143,49 @@ def sorted_sql(source: str, row_id: str, value: str, larger: bool, n_splits: int
     cond = f"{rank} > {n} - {n_test}" if larger else f"{rank} <= {n_test}"
     return f"""SELECT CAST(s.s AS INTEGER) AS split_index, {row_id} AS id,
       CASE WHEN {cond} THEN 'test' ELSE 'train' END AS "set" FROM {source}, range({n_splits}) s(s)"""
+
+
+# -- tails in SQL, by other ways than the engine's: series with lgamma, and finite sums for whole degrees of freedom
+
+
+def sql_erfc(x: str) -> str:
+    """Complement of the error function of a number that is not negative."""
+    terms = f"list_sum(list_transform(range(0, 250), lambda i_: exp((2 * i_ + 1) * ln({x}) + i_ * ln(4.0) + lgamma(i_ + 1) - lgamma(2 * i_ + 2))))"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 1e-12 THEN 1.0 WHEN {x} > 7 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * {terms} END)"
+
+
+def sql_normal_p(z: str) -> str:
+    return sql_erfc(f"(abs({z}) / sqrt(2.0))")
+
+
+def sql_student_p(t: str, df: str) -> str:
+    """Two-sided p for whole degrees of freedom."""
+    angle = f"atan(abs({t}) / sqrt(CAST({df} AS DOUBLE)))"
+    even = f"1 - sin({angle}) * list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(2 * k + 1) - k * ln(4.0) - 2 * lgamma(k + 1) + 2 * k * ln(cos({angle})))))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: exp(k * ln(4.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos({angle}))))), 0)"
+    return f"(CASE WHEN {t} IS NULL OR {df} < 1 THEN NULL WHEN {df} % 2 = 0 THEN {even} ELSE 1 - 2 / pi() * ({angle} + sin({angle}) * {odd}) END)"
+
+
+def sql_fisher_two(f: str, d2: str) -> str:
+    """Upper tail for two numerator degrees of freedom."""
+    return f"pow(1 + 2 * {f} / {d2}, -{d2} / 2.0)"
+
+
+# shares of the permutations of k values by their inversions, k up to 33
+PERMUTATIONS = """perm AS (SELECT 1 AS k, [CAST(1 AS DOUBLE)] AS c UNION ALL SELECT k + 1,
+  list_transform(range(0, len(c) + k), lambda j: list_sum(c[greatest(1, j + 1 - k):least(len(c), j + 1)]) / (k + 1)) FROM perm WHERE k < 33)"""
+
+
+def sql_kendall_exact(d: str, n: str) -> str:
+    """Two-sided p without ties, from a row of ``perm``."""
+    low = f"least({d}, {n} * ({n} - 1) // 2 - {d})"
+    return f"CASE WHEN 2 * {low} = {n} * ({n} - 1) // 2 THEN 1.0 ELSE least(1.0, 2 * list_sum(perm.c[1:CAST({low} AS INTEGER) + 1])) END"
+
+
+def sql_kendall_z(s: str, n: str, tx: str, ty: str) -> str:
+    """Standardised sum of signs; ``tx`` and ``ty`` are lists of the sizes of groups of equal values."""
+    total = lambda t, body: f"list_sum(list_transform({t}, lambda t: CAST({body} AS DOUBLE)))"
+    two, three, five = "t * (t - 1) / 2", "t * (t - 1) * (t - 2)", "t * (t - 1) * (2 * t + 5)"
+    var = f"""(({n} * ({n} - 1) * (2 * {n} + 5) - {total(tx, five)} - {total(ty, five)}) / 18.0 + 2 * {total(tx, two)} * {total(ty, two)} / ({n} * ({n} - 1))
+      + {total(tx, three)} * {total(ty, three)} / (9.0 * {n} * ({n} - 1) * ({n} - 2)))"""
+    return f"({s} / sqrt({var}))"

@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riftsplit.operators import grid
-from riftsplit.queries.base import DATASETS, FAMILIES, PREDICTIONS, RESULTS, predictions, query, r6, results, rounded, table
+from riftsplit.queries.base import (
+    DATASETS,
+    FAMILIES,
+    PERMUTATIONS,
+    PREDICTIONS,
+    RESULTS,
+    predictions,
+    query,
+    r6,
+    results,
+    rounded,
+    sql_fisher_two,
+    sql_normal_p,
+    sql_student_p,
+    table,
+)
+from riftsplit.queries.metrics import agreement_sql
 
 _G = "(ID_test_roc_auc - OOD_test_roc_auc)"
 _R = f"WITH {RESULTS}"
@@ -222,16 +238,14 @@ def _conditions(spark, sf_dir):
 
 @query(
     "h16_condition_agreement",
-    f"""{_R}, v AS (SELECT split AS condition, model AS category, avg(OOD_test_accuracy) AS value FROM res GROUP BY ALL),
-        k AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY value DESC) + (count(*) OVER (PARTITION BY condition, value) - 1) / 2.0 AS r FROM v),
-        p AS (SELECT a.condition AS c1, b.condition AS c2, a.category, a.r AS r1, b.r AS r2 FROM k a JOIN k b ON a.category = b.category AND a.condition < b.condition),
-        t AS (SELECT x.c1, x.c2, sum(sign(x.r1 - y.r1) * sign(x.r2 - y.r2)) / sqrt(CAST(sum(abs(sign(x.r1 - y.r1))) * sum(abs(sign(x.r2 - y.r2))) AS DOUBLE)) AS tau
-          FROM p x JOIN p y ON x.c1 = y.c1 AND x.c2 = y.c2 AND x.category < y.category GROUP BY ALL)
-        SELECT c1, c2, {r6("corr(r1, r2)")} AS spearman, {r6("max(tau)")} AS kendall_tau FROM p JOIN t USING (c1, c2) GROUP BY c1, c2""",
+    f"""WITH RECURSIVE {PERMUTATIONS}, {RESULTS}, v AS (SELECT split AS condition, model AS category, avg(OOD_test_accuracy) AS value FROM res GROUP BY ALL),
+        o AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY value DESC) + (count(*) OVER (PARTITION BY condition, value) - 1) / 2.0 AS r FROM v),
+        p AS (SELECT a.condition AS c1, b.condition AS c2, a.category, a.r AS rank_1, b.r AS rank_2 FROM o a JOIN o b ON a.category = b.category AND a.condition < b.condition),
+        {agreement_sql("c1, c2", "p", "category")}""",
 )
 def condition_agreement(spark, sf_dir):
-    out = grid.condition_agreement(_conditions(spark, sf_dir)).select("c1", "c2", "spearman", "kendall_tau")
-    return rounded(out, "spearman", "kendall_tau")
+    out = grid.condition_agreement(_conditions(spark, sf_dir))
+    return rounded(out, "spearman", "spearman_p_value", "kendall_tau", "kendall_p_value", "footrule")
 
 
 @query(
@@ -269,7 +283,13 @@ def t_statistics(spark, sf_dir):
     return rounded(out, "mean_difference", "t_statistic")
 
 
-@query("h20_t_tests")
+@query(
+    "h20_t_tests",
+    f"""{_R}, runs AS (SELECT dataset, split, repeat, model, avg(ID_test_accuracy) - avg(OOD_test_accuracy) AS d FROM res WHERE split <> 'N' GROUP BY ALL),
+        s AS (SELECT dataset, split, avg(d) AS mean_difference, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) AS n FROM runs GROUP BY ALL),
+        p AS (SELECT *, {sql_student_p("t", "(n - 1)")} AS p, count(*) OVER () AS m FROM s)
+        SELECT dataset, split, {r6("mean_difference")} AS mean_difference, {r6("t")} AS t_statistic, n, {r6("p")} AS p_value, {r6("p * m")} AS p_value_corrected, p * m < 0.05 AS significant FROM p""",
+)
 def t_tests(spark, sf_dir):
     runs = results(spark, sf_dir).groupBy("dataset", "split", "repeat", "model").agg(
         F.avg("ID_test_accuracy").alias("ID_test_roc_auc"), F.avg("OOD_test_accuracy").alias("OOD_test_roc_auc")
@@ -288,7 +308,13 @@ def anova_f(spark, sf_dir):
     return grid.anova(results(spark, sf_dir)).select("split", F.round("f_stat", 5).alias("f_stat"))
 
 
-@query("h21_anova")
+@query(
+    "h21_anova",
+    f"""{_R}, d AS (SELECT split, family, {_G} AS d FROM res), g AS (SELECT split, avg(d) AS gm, count(*) AS nn FROM d GROUP BY split),
+        f AS (SELECT split, family, avg(d) AS m, count(*) AS n, var_pop(d) * count(*) AS w FROM d GROUP BY ALL),
+        k AS (SELECT split, (sum(n * pow(m - gm, 2)) / (count(*) - 1)) / (sum(w) / (max(nn) - count(*))) AS f, max(nn) - count(*) AS d2, count(*) AS k FROM f JOIN g USING (split) GROUP BY split)
+        SELECT split, {r6("f")} AS f_stat, {r6(sql_fisher_two("f", "d2"))} AS p_value, {sql_fisher_two("f", "d2")} < 0.01 AS is_significant FROM k WHERE k = 3""",
+)
 def anova(spark, sf_dir):
     return rounded(grid.anova(results(spark, sf_dir)), "f_stat", "p_value")
 
@@ -311,7 +337,11 @@ def correlation_intervals(spark, sf_dir):
     return rounded(out, "r", "z_score", "ci_lower", "ci_upper")
 
 
-@query("h22_correlation_significance")
+@query(
+    "h22_correlation_significance",
+    f"""{_FISHER}, z AS (SELECT split, family, atanh(r) * sqrt(n - 3) AS z FROM c)
+        SELECT split, family, {r6("z")} AS z_score, {r6(sql_normal_p("z"))} AS p_value, {sql_normal_p("z")} < 0.05 AS significant FROM z""",
+)
 def correlation_significance(spark, sf_dir):
     return rounded(_significance(spark, sf_dir).select("split", "family", "z_score", "p_value", "significant"), "z_score", "p_value")
 

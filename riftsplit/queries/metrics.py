@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riftsplit.operators import metrics as mt
-from riftsplit.queries.base import PREDICTIONS, predictions, query, r6, rounded, table
+from riftsplit.queries.base import (
+    PERMUTATIONS,
+    PREDICTIONS,
+    predictions,
+    query,
+    r6,
+    rounded,
+    sql_erfc,
+    sql_kendall_exact,
+    sql_kendall_z,
+    sql_normal_p,
+    sql_student_p,
+    table,
+)
 
 # Curves per distinct score of group g.
 _CURVE = """cnt AS (SELECT g, y_pred AS s, sum(y_true) AS p, count(*) AS n FROM pred GROUP BY g, y_pred),
@@ -214,7 +227,14 @@ def logit(spark, sf_dir):
     return rounded(li.withColumn("logit", mt.rescale(F.col("l_discount"), "logit")), "logit")
 
 
-@query("g11_rescale_probit")
+@query(
+    "g11_rescale_probit",
+    f"""WITH RECURSIVE d AS (SELECT l_discount, count(*) AS n FROM lineitem GROUP BY 1),
+        b AS (SELECT l_discount, least(l_discount, 1 - l_discount) AS p, CAST(0 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi, 0 AS i FROM d WHERE l_discount > 0 AND l_discount < 1
+          UNION ALL SELECT l_discount, p, CASE WHEN 0.5 * {sql_erfc("((lo + hi) / 2 / sqrt(2.0))")} > p THEN (lo + hi) / 2 ELSE lo END,
+            CASE WHEN 0.5 * {sql_erfc("((lo + hi) / 2 / sqrt(2.0))")} > p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 45)
+        SELECT d.l_discount, n, {r6("CASE WHEN d.l_discount > 0.5 THEN lo ELSE -lo END")} AS probit FROM d LEFT JOIN b ON b.l_discount = d.l_discount AND i = 45""",
+)
 def probit(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_discount").agg(F.count(F.lit(1)).alias("n"))
     return rounded(li.withColumn("probit", mt.rescale(F.col("l_discount"), "probit")), "probit")
@@ -248,16 +268,49 @@ def ranking_table(spark, sf_dir):
     return rounded(mt.ranking_comparison(_nations(spark, sf_dir), ["half"], "n_name", "v1", "v2"), "rank_1", "rank_2", "rank_diff")
 
 
-@query(
-    "g13_ranking_agreement",
-    f"""WITH {_NATIONS}, k AS (SELECT a.half, sum(sign(a.rank_1 - b.rank_1) * sign(a.rank_2 - b.rank_2)) / nullif(sqrt(CAST(sum(abs(sign(a.rank_1 - b.rank_1))) * sum(abs(sign(a.rank_2 - b.rank_2))) AS DOUBLE)), 0) AS tau
-        FROM rnk a JOIN rnk b ON a.half = b.half AND a.n_name < b.n_name GROUP BY a.half)
-        SELECT half, {r6("CASE WHEN stddev_pop(rank_1) * stddev_pop(rank_2) > 0 THEN corr(rank_1, rank_2) END")} AS spearman, {r6("max(tau)")} AS kendall_tau, {r6("sum(abs(rank_1 - rank_2))")} AS footrule, count(*) AS n FROM rnk JOIN k USING (half) GROUP BY half""",
-)
+_SIGNS = "sign(a.rank_1 - b.rank_1) * sign(a.rank_2 - b.rank_2)"
+_SPEARMAN = "CASE WHEN stddev_pop(rank_1) * stddev_pop(rank_2) > 0 THEN corr(rank_1, rank_2) END"
+
+
+def agreement_sql(keys: str, source: str, category: str) -> str:
+    """Rows of ``source`` (keys, category, rank_1, rank_2) to all measures of agreement and their p-values."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    ties = lambda r, name: f"{name} AS (SELECT {keys}, list(c) AS {name} FROM (SELECT {keys}, {r}, count(*) AS c FROM {source} GROUP BY ALL) GROUP BY {keys})"
+    t = "CASE WHEN abs(r) < 1 AND n > 2 THEN r / sqrt((1 - r * r) / (n - 2)) END"
+    exact = "len(tx) = n AND len(ty) = n AND n <= 33"
+    return f"""k AS (SELECT {", ".join("a." + x for x in keys.split(", "))}, CAST(sum({_SIGNS}) AS DOUBLE) AS s, count_if({_SIGNS} < 0) AS d,
+          sum({_SIGNS}) / nullif(sqrt(CAST(sum(abs(sign(a.rank_1 - b.rank_1))) * sum(abs(sign(a.rank_2 - b.rank_2))) AS DOUBLE)), 0) AS tau
+          FROM {source} a JOIN {source} b ON {same} AND a.{category} < b.{category} GROUP BY ALL),
+        sp AS (SELECT {keys}, {_SPEARMAN} AS r, sum(abs(rank_1 - rank_2)) AS footrule, count(*) AS n FROM {source} GROUP BY ALL),
+        {ties("rank_1", "tx")}, {ties("rank_2", "ty")},
+        met AS (SELECT *, {t} AS t, {sql_kendall_z("s", "n", "tx", "ty")} AS z FROM sp JOIN k USING ({keys}) JOIN tx USING ({keys}) JOIN ty USING ({keys}))
+        SELECT {keys}, {r6("r")} AS spearman, {r6(f"CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {sql_student_p('t', '(n - 2)')} END")} AS spearman_p_value,
+          {r6("tau")} AS kendall_tau, {r6(f"CASE WHEN {exact} THEN {sql_kendall_exact('d', 'n')} ELSE {sql_normal_p('z')} END")} AS kendall_p_value,
+          {r6("footrule")} AS footrule, n FROM met LEFT JOIN perm ON perm.k = n"""
+
+
+@query("g13_ranking_agreement", f"WITH RECURSIVE {PERMUTATIONS}, {_NATIONS}, {agreement_sql('half', 'rnk', 'n_name')}")
 def ranking_agreement(spark, sf_dir):
     ranked = mt.ranking_comparison(_nations(spark, sf_dir), ["half"], "n_name", "v1", "v2")
-    out = mt.ranking_agreement(ranked, ["half"], "n_name").drop("spearman_p_value", "kendall_p_value")
-    return rounded(out, "spearman", "kendall_tau", "footrule")
+    return _agreement(mt.ranking_agreement(ranked, ["half"], "n_name"))
+
+
+def _agreement(df):
+    return rounded(df, "spearman", "spearman_p_value", "kendall_tau", "kendall_p_value", "footrule")
+
+
+_DAYS = """days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS v1, count(DISTINCT o_custkey % 40) AS v2 FROM orders GROUP BY 1),
+  rnk AS (SELECT 0 AS half, day, rank() OVER (ORDER BY v1 DESC) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0 AS rank_1,
+    rank() OVER (ORDER BY v2 DESC) + (count(*) OVER (PARTITION BY v2) - 1) / 2.0 AS rank_2 FROM days)"""
+
+
+@query("g13_ranking_agreement_ties", f"WITH RECURSIVE {PERMUTATIONS}, {_DAYS}, {agreement_sql('half', 'rnk', 'day')}")
+def ranking_agreement_ties(spark, sf_dir):
+    """Order days ranked by orders and by kinds of customers: a long ranking, full of ties."""
+    orders = table(spark, sf_dir, "orders")
+    days = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("v1"), F.countDistinct(F.col("o_custkey") % 40).alias("v2"))
+    ranked = mt.ranking_comparison(days.withColumn("half", F.lit(0)), ["half"], "day", "v1", "v2")
+    return _agreement(mt.ranking_agreement(ranked, ["half"], "day"))
 
 
 @query(
