@@ -188,4 +188,4 @@ def sql_kendall_z(s: str, n: str, tx: str, ty: str) -> str:
     two, three, five = "t * (t - 1) / 2", "t * (t - 1) * (t - 2)", "t * (t - 1) * (2 * t + 5)"
     var = f"""(({n} * ({n} - 1) * (2 * {n} + 5) - {total(tx, five)} - {total(ty, five)}) / 18.0 + 2 * {total(tx, two)} * {total(ty, two)} / ({n} * ({n} - 1))
       + {total(tx, three)} * {total(ty, three)} / (9.0 * {n} * ({n} - 1) * ({n} - 2)))"""
-    return f"({s} / sqrt({var}))"
+    return f"({s} / nullif(sqrt({var}), 0))"
