@@ -31,6 +31,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP_SIZE = 4096
 CACHED_WORDS = 800_000
+TOKEN_BYTES = 8 << 20  # text tokenized at a time: each different word of it is looked up once
 # the tokenizer cuts between a letter or digit and the marks that end a word, so they can be words of their own
 WORD_END = r"([\pL\pN])([.,!?;|%&$*#]+)([ \n]|$)"
 
@@ -93,7 +94,7 @@ def _cutter(path: str, length: int, end_id: int):
 
     def cut(batches):
         tokens = None
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TOKEN_BYTES):
             tokens = tokens or WordTokens(path)
             ids, at = tokens.encode(batch.column("text"))
             # the end id after every text

@@ -56,15 +56,15 @@ class _Powers:
         return cls.up, cls.down
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_BYTES of text."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of text."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         upto = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
             done = upto[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(upto, done + BATCH_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(upto, done + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
     pa.default_memory_pool().release_unused()  # Spark keeps its Python workers for later stages
