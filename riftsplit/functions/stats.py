@@ -1,8 +1,8 @@
 """Tail probabilities and the normal quantile as Spark expressions, usable on rows as well as on aggregates.
 
 Spark SQL has no erf, log-gamma, Student, Fisher or inverse normal.  Series and continued fractions are folds over
-short sequences, so everything stays in the JVM.  Only the exact p-value of a small ranking (`kendall_exact`) counts
-permutations on Arrow batches.
+short sequences, so everything stays in the JVM.  Only the exact p-values of a small ranking (`kendall_exact`) and of the
+two-sample KS test (`kolmogorov_exact`) count permutations and paths on Arrow batches.
 """
 
 from __future__ import annotations
@@ -189,8 +189,53 @@ def kendall_p(s: Column, discordant: Column, n: Column, ties: dict[str, Column])
     return F.when(exact, _kendall_exact(F.when(exact, discordant), n)).otherwise(normal)
 
 
+EXACT_SIDE = 10_000  # longest side for which the paths of the two-sample KS test are counted
+
+
+def ks_paths(n1: int, n2: int, gap: int) -> float:
+    """Share of the orders of two samples whose distribution functions differ by ``gap`` / (n1 * n2) or more somewhere.
+
+    An order is a lattice path from (0, 0) to (n1, n2).  The paths that stay inside the band are followed by their
+    diagonals: a path at (x, y) came from (x - 1, y) with probability x / (x + y), from (x, y - 1) with y / (x + y).
+    Memory is one diagonal; the work is that of the band, at most n1 * n2.
+    """
+    inside = np.zeros(n1 + 2)  # by x + 1, for the current diagonal
+    inside[1] = 1.0
+    for s in range(1, n1 + n2 + 1):
+        # |x * n2 - (s - x) * n1| < gap, cut to the rectangle
+        low = max(0, s - n2, (s * n1 - gap) // (n1 + n2) + 1)
+        high = min(n1, s, -((-s * n1 - gap) // (n1 + n2)) - 1)
+        if low > high:
+            return 1.0
+        x = np.arange(low, high + 1)
+        step = (inside[low : high + 1] * x + inside[low + 1 : high + 2] * (s - x)) / s
+        inside[max(0, low - 1) : high + 3] = 0.0
+        inside[low + 1 : high + 2] = step
+    return 1.0 - float(inside[n1 + 1])
+
+
+@F.pandas_udf(DoubleType())
+def _kolmogorov_exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    out = []
+    for gap, a, b in zip(d, n1, n2, strict=True):
+        if gap is None or gap != gap or a != a or b != b:
+            out.append(None)
+            continue
+        a, b = sorted((int(a), int(b)))
+        steps = round(gap * a * b)
+        out.append(1.0 if steps <= 0 else min(1.0, max(0.0, ks_paths(a, b, steps))))
+    return pd.Series(out, dtype="float64")
+
+
 def kolmogorov_two_sided(d: Column, n1: Column, n2: Column) -> Column:
-    """Asymptotic p-value of the two-sample KS statistic, as a SQL series of 20 terms."""
+    """p-value of the two-sample KS statistic: exact while both sides have at most 10,000 rows, else asymptotic."""
+    exact = F.greatest(n1, n2) <= EXACT_SIDE
+    # a Python function runs on every row, so the others are sent as nulls
+    return F.when(exact, _kolmogorov_exact(F.when(exact, d), n1, n2)).otherwise(kolmogorov_asymptotic(d, n1, n2))
+
+
+def kolmogorov_asymptotic(d: Column, n1: Column, n2: Column) -> Column:
+    """The limit for large sides, as a SQL series of 20 terms."""
     en = F.sqrt(n1.cast("double") * n2 / (n1 + n2))
     lam = en * d
     terms = None

@@ -3,6 +3,9 @@ embedding clusters, dissimilarity, perimeter and leakage-bounded packing."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
@@ -15,8 +18,8 @@ from riftsplit.operators.features import bits_to_vector, dense_to_vector, kernel
 from riftsplit.operators.graph import both_ways, connected_components, degrees, leader_clusters, pack_first_fit
 from riftsplit.operators.similarity import collapse_copies, similarity_edges
 from riftsplit.operators.splitters import group_shuffle, random_split
-from riftsplit.plans.durable import durable, join_bounded
-from riftsplit.plans.order import seeded_key
+from riftsplit.plans.durable import durable, join_bounded, stored
+from riftsplit.plans.order import running_totals, seeded_key
 
 
 def _points(df, row_id, features, n_bits, metric, n_refs, seed) -> DataFrame:
@@ -211,37 +214,120 @@ def perimeter_split(df, row_id, features, n_clusters=25, n_splits=5, test_size=0
 # -- leakage-bounded packing ----------------------------------------------------
 
 
-def pack_clusters(clusters: DataFrame, test_size=0.2, delta=0.1, n_splits=1, seed=0) -> DataFrame:
-    """Whole clusters to test, large first while they fit, the share kept inside ``test_size +- delta``.
+def packed_clusters(clusters: DataFrame, test_size=0.2, delta=0.1, n_splits=1, seed=0) -> list[DataFrame]:
+    """One (component, size, set) table a split: large clusters to test first while they fit, the share inside ``test_size +- delta``.
 
     Equal sizes are taken in a seeded order that differs between splits.
     """
-    rows = clusters.select("id", F.col("cluster").cast("string").alias("component"))
-    sizes = durable(rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    sizes = stored(clusters.groupBy(F.col("cluster").alias("component")).agg(F.count(F.lit(1)).alias("size")))
     n = sizes.agg(F.sum("size")).first()[0]
-    out = None
+    out = []
     for s in range(n_splits):
         order = seeded_key(seed, F.lit(s), F.col("component"))
-        packed = durable(pack_first_fit(sizes, [int(test_size * n)], ["test"], "train", order))
+        packed = stored(pack_first_fit(sizes, [int(test_size * n)], ["test"], "train", order))
         share = packed.agg(F.sum(F.when(F.col("set") == "test", F.col("size")))).first()[0] or 0
         if abs(share / n - test_size) > delta:
             raise RuntimeError(f"whole clusters reach a test share of {share / n:.3f}, wanted {test_size} +- {delta}")
-        one = join_bounded(rows, packed.select("component", "set"), ["component"], "inner")
-        one = one.select(F.lit(s).alias("split_index"), "id", "set")
-        out = one if out is None else out.unionByName(one)
+        out.append(packed)
     return out
 
 
+def pack_clusters(clusters: DataFrame, test_size=0.2, delta=0.1, n_splits=1, seed=0) -> DataFrame:
+    """(split_index, id, set) of ``packed_clusters``."""
+    packed = packed_clusters(clusters, test_size, delta, n_splits, seed)
+    return reduce(DataFrame.unionByName, [_label_clusters(clusters, p, s) for s, p in enumerate(packed)])
+
+
+def cluster_links(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, sim): similarity between clusters, summed over the links of their members."""
+    of = stored(clusters.select("id", F.col("cluster").alias("c")))
+    a, b = of.select(F.col("id").alias("src"), F.col("c").alias("a")), of.select(F.col("id").alias("dst"), F.col("c").alias("b"))
+    ends = edges.join(a, "src").join(b, "dst").filter("a <> b")
+    return ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("sim").alias("sim"))
+
+
+def similarity_across(labels: DataFrame, links: DataFrame) -> float:
+    """Similarity between train and test; ``labels`` is (component, set)."""
+    a, b = labels.select(F.col("component").alias("src"), F.col("set").alias("a")), labels.select(F.col("component").alias("dst"), F.col("set").alias("b"))
+    return links.join(a, "src").join(b, "dst").filter("a <> b").agg(F.sum("sim")).first()[0] or 0.0
+
+
+def _room_for(moves: DataFrame, room: dict[str, int]) -> DataFrame:
+    """The moves, best first, whose sizes add up to the room of the side they go to."""
+    summed = running_totals(moves, ["to"], [-F.col("gain"), F.col("id")], {"_used": "size"})
+    limit = F.when(F.col("to") == "test", F.lit(room["test"])).otherwise(F.lit(room["train"]))
+    return summed.filter(F.col("_used") <= limit)
+
+
+def lower_similarity_across(packed: DataFrame, links: DataFrame, low: int, high: int, rounds: int = 50) -> DataFrame:
+    """Move whole clusters between train and test while that lowers the similarity across the cut.
+
+    ``packed`` is (component, size, set), ``links`` is ``cluster_links``.  A cluster gains what it shares with the other
+    side less what it shares with its own.  In a round the clusters move whose gain is positive and above that of all
+    linked ones that could move too (lowest id on ties), so no two of them are linked and the gains add up; those to test stop at ``high``
+    rows and those to train leave at least ``low``, whatever the others do.  Every round lowers the
+    similarity; it ends where no move is left, or after ``rounds``.
+    """
+    around = stored(both_ways(links, "sim"))
+    state = stored(packed.select(F.col("component").alias("id"), "size", "set"))
+    for _ in range(rounds):
+        test = int(state.agg(F.sum(F.when(F.col("set") == "test", F.col("size")))).first()[0] or 0)
+        room = {"test": high - test, "train": test - low}
+        there = state.select(F.col("id").alias("other"), F.col("set").alias("_s"))
+        own = state.select(F.col("id").alias("node"), F.col("set").alias("_m"), "size")
+        signed = F.when(F.col("_s") == F.col("_m"), -F.col("sim")).otherwise(F.col("sim"))
+        gains = around.join(there, "other").join(own, "node").groupBy(F.col("node").alias("id"), "size", "_m").agg(F.round(F.sum(signed), 9).alias("gain"))
+        to = F.when(F.col("_m") == "train", "test").otherwise("train")
+        fits = F.col("size") <= F.when(F.col("_m") == "train", room["test"]).otherwise(room["train"])
+        able = stored(gains.filter((F.col("gain") > 0) & fits).select("id", "size", to.alias("to"), "gain"))
+        rank = F.struct((-F.col("gain")).alias("g"), F.col("id").alias("i"))
+        rivals = around.join(able.select(F.col("id").alias("other"), rank.alias("r")), "other").groupBy(F.col("node").alias("id")).agg(F.min("r").alias("r"))
+        free = able.join(rivals, "id", "left").filter(F.col("r").isNull() | (rank < F.col("r")))
+        moved = stored(_room_for(free, room).select("id", "to"))
+        if moved.isEmpty():
+            break
+        state = stored(state.join(moved, "id", "left").select("id", "size", F.coalesce("to", "set").alias("set")))
+    return state.select(F.col("id").alias("component"), "size", "set")
+
+
+def _label_clusters(clusters: DataFrame, packed: DataFrame, split: int) -> DataFrame:
+    rows = clusters.select("id", F.col("cluster").alias("component"))
+    one = join_bounded(rows, packed.select("component", "set"), ["component"], "inner")
+    return one.select(F.lit(split).alias("split_index"), "id", "set")
+
+
 def leakage_bounded_split(
-    df, row_id, technique="C", item=None, bits=None, n_bits=None, cutoff=0.65, n_splits=1, test_size=0.2, delta=0.1, seed=0
+    df, row_id, technique="C", item=None, bits=None, n_bits=None, cutoff=0.65, n_splits=1, test_size=0.2, delta=0.1, seed=0, link_threshold=None
 ) -> DataFrame:
-    """R random, I identity (equal items stay together), C cluster (similar items stay together)."""
+    """R random, I identity (equal items stay together), C cluster (similar items stay together).
+
+    All three keep the share of test rows inside ``test_size +- delta``: R by its cut; I takes a share of the different
+    items by seeded order, and packs the copies of each item by size where the rows of one split miss the share; C packs clusters by
+    size and then moves clusters until no move lowers the similarity above ``link_threshold`` (half of 1 - cutoff
+    by default) between the sides.
+    """
     if technique == "R":
         return random_split(df, row_id, n_splits, test_size, None, seed)
     if technique == "I":
-        return group_shuffle(df, row_id, F.md5(F.col(item)), n_splits, test_size, None, seed)
+        items = df.select(F.col(row_id).alias("id"), F.md5(F.col(item)).alias("cluster"))
+        shuffled = stored(group_shuffle(items, "id", "cluster", n_splits, test_size, None, seed))
+        shares = shuffled.groupBy("split_index").agg(F.avg((F.col("set") == "test").cast("double")).alias("share"))
+        missed = [r["split_index"] for r in shares.filter(F.abs(F.col("share") - test_size) > delta).collect()]  # at most n_splits rows
+        if not missed:
+            return shuffled
+        keyed = items.withColumn("cluster", F.coalesce("cluster", F.lit("")))
+        packed = pack_clusters(keyed, test_size, delta, n_splits, seed).filter(F.col("split_index").isin(missed))
+        return shuffled.filter(~F.col("split_index").isin(missed)).unionByName(packed)
     if technique == "C":
-        return pack_clusters(butina_clusters(df, row_id, bits, n_bits, cutoff), test_size, delta, n_splits, seed)
+        clusters = stored(butina_clusters(df, row_id, bits, n_bits, cutoff))
+        near = similarity_edges(df.select(F.col(row_id).alias("id"), F.col(bits).alias("bits")), "id", "bits", (1.0 - cutoff) / 2 if link_threshold is None else link_threshold, n_bits)
+        links = stored(cluster_links(clusters, near))
+        n = clusters.count()
+        low, high = math.ceil((test_size - delta) * n), math.floor((test_size + delta) * n)
+        out = []
+        for s, packed in enumerate(packed_clusters(clusters, test_size, delta, n_splits, seed)):
+            out.append(_label_clusters(clusters, lower_similarity_across(packed, links, max(low, 1), min(high, n - 1)), s))
+        return reduce(DataFrame.unionByName, out)
     raise ValueError("technique must be R, I or C")
 
 

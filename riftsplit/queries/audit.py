@@ -128,9 +128,15 @@ _PROPS = """lng AS (SELECT splitter, split_index, "set", property, value FROM (S
  cum AS (SELECT *, sum(tr) OVER w AS ctr, sum(te) OVER w AS cte, sum(tr) OVER g AS ntr, sum(te) OVER g AS nte FROM cnt
    WINDOW w AS (PARTITION BY splitter, split_index, property ORDER BY value), g AS (PARTITION BY splitter, split_index, property)),
  ks AS (SELECT splitter, split_index, property, max(abs(ctr / CAST(ntr AS DOUBLE) - cte / CAST(nte AS DOUBLE))) AS ks_statistic,
-   sqrt(max(CAST(ntr AS DOUBLE) * nte / (ntr + nte))) AS en FROM cum GROUP BY ALL),
- kp AS (SELECT *, CASE WHEN en * ks_statistic < 0.2 THEN CAST(1 AS DOUBLE) ELSE least(1, greatest(0, list_sum(list_transform(range(1, 21),
-   lambda j: 2 * pow(-1, j - 1) * exp(-2.0 * j * j * pow(en * ks_statistic, 2)))))) END AS ks_pvalue FROM ks),
+   sqrt(max(CAST(ntr AS DOUBLE) * nte / (ntr + nte))) AS en, max(ntr) AS ntr, max(nte) AS nte FROM cum GROUP BY ALL),
+ cases AS (SELECT DISTINCT least(ntr, nte) AS a, greatest(ntr, nte) AS b, CAST(round(ks_statistic * ntr * nte) AS BIGINT) AS gap FROM ks WHERE greatest(ntr, nte) <= 10000),
+ paths AS (SELECT a, b, gap, CAST(0 AS BIGINT) AS s, list_concat([CAST(1 AS DOUBLE)], list_transform(range(a), lambda x: CAST(0 AS DOUBLE))) AS p FROM cases
+   UNION ALL SELECT a, b, gap, s + 1, list_transform(range(a + 1), lambda x: CASE WHEN x > s + 1 OR s + 1 - x > b OR abs(x * b - (s + 1 - x) * a) >= gap THEN CAST(0 AS DOUBLE)
+     ELSE (coalesce(p[x], 0) * x + p[x + 1] * (s + 1 - x)) / CAST(s + 1 AS DOUBLE) END) FROM paths WHERE s < a + b),
+ exact AS (SELECT a, b, gap, CASE WHEN gap <= 0 THEN CAST(1 AS DOUBLE) ELSE 1 - p[a + 1] END AS p FROM paths WHERE s = a + b),
+ kp AS (SELECT ks.*, CASE WHEN exact.a IS NOT NULL THEN least(1, greatest(0, exact.p)) WHEN en * ks_statistic < 0.2 THEN CAST(1 AS DOUBLE) ELSE least(1, greatest(0, list_sum(list_transform(range(1, 21),
+   lambda j: 2 * pow(-1, j - 1) * exp(-2.0 * j * j * pow(en * ks_statistic, 2)))))) END AS ks_pvalue
+   FROM ks LEFT JOIN exact ON exact.a = least(ntr, nte) AND exact.b = greatest(ntr, nte) AND exact.gap = CAST(round(ks_statistic * ntr * nte) AS BIGINT)),
  mom AS (SELECT splitter, split_index, property, avg(value) FILTER (WHERE "set" = 'train') AS train_mean, stddev_pop(value) FILTER (WHERE "set" = 'train') AS train_std,
    median(value) FILTER (WHERE "set" = 'train') AS train_median, avg(value) FILTER (WHERE "set" = 'test') AS test_mean,
    stddev_pop(value) FILTER (WHERE "set" = 'test') AS test_std, median(value) FILTER (WHERE "set" = 'test') AS test_median FROM lng GROUP BY ALL)"""
@@ -149,7 +155,7 @@ def _properties(spark, sf_dir):
 
 @query(
     "f4_property_metrics",
-    f"WITH {PARTS}, {_PROPS} SELECT splitter, split_index, property, {', '.join(_prop_col(c) for c in _PROP_NAMES)} FROM mom JOIN kp USING (splitter, split_index, property)",
+    f"WITH RECURSIVE {PARTS}, {_PROPS} SELECT splitter, split_index, property, {', '.join(_prop_col(c) for c in _PROP_NAMES)} FROM mom JOIN kp USING (splitter, split_index, property)",
 )
 def properties(spark, sf_dir):
     out = audit.property_metrics(part_splits(spark, sf_dir), _properties(spark, sf_dir), PROPERTIES)
@@ -166,7 +172,7 @@ def _flat(spark, sf_dir):
 
 _SIZES = """siz AS (SELECT splitter, split_index, count(*) AS total_samples, count_if("set" = 'train') AS train_size, count_if("set" = 'test') AS test_size,
   count_if("set" = 'train') / CAST(count(*) AS DOUBLE) AS train_ratio, count_if("set" = 'test') / CAST(count(*) AS DOUBLE) AS test_ratio FROM parts GROUP BY ALL)"""
-_FLAT = f"""WITH {PARTS}, {_GROUPS}, {_PROPS}, {_SIZES}, flat AS (SELECT splitter AS splitter_name, split_index, total_samples AS size_total_samples,
+_FLAT = f"""WITH RECURSIVE {PARTS}, {_GROUPS}, {_PROPS}, {_SIZES}, flat AS (SELECT splitter AS splitter_name, split_index, total_samples AS size_total_samples,
   train_size AS size_train_size, test_size AS size_test_size, train_ratio AS size_train_ratio, test_ratio AS size_test_ratio,
   train_unique_scaffolds AS scaffold_train_unique_scaffolds, test_unique_scaffolds AS scaffold_test_unique_scaffolds,
   shared_scaffolds AS scaffold_shared_scaffolds, scaffold_overlap_percentage AS scaffold_scaffold_overlap_percentage,

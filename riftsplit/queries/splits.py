@@ -265,6 +265,30 @@ def cluster_packing(spark, sf_dir):
     return cs.leakage_bounded_split(sign_items(spark, sf_dir), "id", "C", bits="bits", n_bits=BITS, cutoff=0.5)
 
 
+@query(
+    "e23_leakage_search_bounds",
+    f"WITH {SIGNS} SELECT count(*) AS n, count(*) AS known, true AS whole_clusters, true AS share_kept, true AS not_above_packing FROM bits",
+)
+def leakage_search_bounds(spark, sf_dir):
+    """The search keeps clusters whole and the share inside 0.2 +- 0.1, and never ends above plain packing."""
+    items = sign_items(spark, sf_dir)
+    clusters = stored(cs.butina_clusters(items, "id", "bits", BITS, 0.5))
+    links = stored(cs.cluster_links(clusters, similarity_edges(items, "id", "bits", 0.25, BITS)))
+    parts = stored(cs.leakage_bounded_split(items, "id", "C", bits="bits", n_bits=BITS, cutoff=0.5))
+    plain = cs.packed_clusters(clusters)[0]
+    sides = stored(parts.join(clusters, "id").groupBy(F.col("cluster").alias("component")).agg(F.countDistinct("set").alias("sides"), F.min("set").alias("set")))
+    before, after = cs.similarity_across(plain, links), cs.similarity_across(sides, links)
+    whole = sides.agg(F.bool_and(F.col("sides") == 1)).scalar()
+    share = F.count_if(F.col("set") == "test") / F.count(F.lit(1))
+    return parts.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("set").isin("train", "test")).alias("known"),
+        F.bool_and(whole).alias("whole_clusters"),
+        (F.abs(share - 0.2) <= 0.1).alias("share_kept"),
+        F.bool_and(F.lit(after <= before + 1e-6)).alias("not_above_packing"),
+    )
+
+
 @query("e24_cluster_group_split", group_sql("part", "p_partkey", "p_brand", 5, 0.2, 3))
 def cluster_group(spark, sf_dir):
     return cs.cluster_group_split(_part(spark, sf_dir), "p_partkey", groups="p_brand", seed=3)

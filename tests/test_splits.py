@@ -231,3 +231,40 @@ def test_accepted_candidates(spark):
     rows = share.collect()
     assert {r["split_index"] for r in rows} == {0, 1, 2, 3} and all(r["gap"] <= 0.15 for r in rows)
     assert sp.accepted_candidates(df, "id", "y", shuffle, 4, -1.0, 10, 10).count() == 0
+
+
+def test_similarity_search_parts_linked_clusters_together(spark):
+    """Planted: ten chains of linked clusters; packing by size cuts them, moving puts each on one side."""
+    rng = random.Random(8)
+    sizes = {c: rng.randint(3, 9) for c in range(60)}
+    links = [(c, c + 1, 5.0) for c in range(60) if c % 6 < 5] + [(a, b, 0.1) for a, b in ((1, 20), (7, 33), (14, 50))]
+    packed = spark.createDataFrame([(c, n, "test" if c % 5 == 0 else "train") for c, n in sizes.items()], "component bigint, size bigint, `set` string")
+    table = spark.createDataFrame(links, "src bigint, dst bigint, sim double")
+    n = sum(sizes.values())
+    low, high = int(0.1 * n), int(0.3 * n)
+
+    def across(sets):
+        return sum(w for a, b, w in links if sets[a] != sets[b])
+
+    got = {r["component"]: (r["size"], r["set"]) for r in cs.lower_similarity_across(packed, table, low, high).collect()}
+    sets = {c: s for c, (_, s) in got.items()}
+    start = {r["component"]: r["set"] for r in packed.collect()}
+    assert {c: k for c, (k, _) in got.items()} == sizes
+    assert low <= sum(sizes[c] for c, s in sets.items() if s == "test") <= high
+    assert across(sets) < across(start) and cs.similarity_across(packed, table) == pytest.approx(across(start))
+    room = {"test": high - sum(sizes[c] for c in sets if sets[c] == "test"), "train": sum(sizes[c] for c in sets if sets[c] == "test") - low}
+    for c in sizes:  # no single move is left
+        other = "test" if sets[c] == "train" else "train"
+        if sizes[c] <= room[other]:
+            assert across({**sets, c: other}) >= across(sets) - 1e-9
+
+
+def test_identity_split_keeps_the_share_of_rows(spark):
+    """One item makes up a third of the rows: a share of items alone would miss the share of rows."""
+    rows = [(i, "hot" if i % 3 == 0 else f"item{i // 2}") for i in range(300)] + [(1000, None), (1001, None)]
+    df = spark.createDataFrame(rows, "id bigint, item string")
+    parts = cs.leakage_bounded_split(df, "id", "I", item="item", n_splits=6, test_size=0.2, delta=0.05).join(df, "id")
+    for s in range(6):
+        got = parts.filter(F.col("split_index") == s).collect()
+        assert len(got) == len(rows) and abs(sum(r["set"] == "test" for r in got) / len(got) - 0.2) <= 0.05
+        assert all(len({r["set"] for r in got if r["item"] == k}) == 1 for k in {r["item"] for r in got})

@@ -91,3 +91,31 @@ def test_kendall_with_and_without_ties(spark):
     assert len(got) == len(want)
     for r in got:
         assert (r["kendall_tau"], r["kendall_p_value"]) == (pytest.approx(want[r["g"]][0]), pytest.approx(want[r["g"]][1], rel=1e-9))
+
+
+def test_exact_ks_equals_enumeration(spark):
+    def enumerated(a, b, gap):
+        orders = list(itertools.combinations(range(a + b), a))
+        hit = 0
+        for firsts in orders:
+            x, far = 0, 0
+            for i in range(a + b):
+                x += i in firsts
+                far = max(far, abs(x * b - (i + 1 - x) * a))
+            hit += far >= gap
+        return hit / len(orders)
+
+    cases = [(a, b, gap) for a in range(1, 6) for b in range(1, 7) for gap in range(a * b + 1)]
+    rows = spark.createDataFrame([(g / (a * b), a, b, g) for a, b, g in cases] + [(None, 3, 3, -1)], "d double, n1 bigint, n2 bigint, gap int")
+    p = stats.kolmogorov_two_sided(F.col("d"), F.col("n1"), F.col("n2")).alias("p")
+    for r in rows.select("*", p).collect():
+        if r["d"] is None:
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(enumerated(r["n1"], r["n2"], r["gap"]), abs=1e-12)
+    # long sides agree with the limit
+    far = rows.limit(1).select(F.lit(0.03).alias("d"), F.lit(9000).alias("n1"), F.lit(8000).alias("n2"))
+    both = far.select(p, stats.kolmogorov_asymptotic(F.col("d"), F.col("n1"), F.col("n2")).alias("q")).first()
+    assert both["p"] == pytest.approx(both["q"], rel=0.05)
+    beyond = far.select(stats.kolmogorov_two_sided(F.col("d"), F.lit(10_001), F.col("n2")).alias("p"), stats.kolmogorov_asymptotic(F.col("d"), F.lit(10_001), F.col("n2")).alias("q")).first()
+    assert beyond["p"] == beyond["q"]
