@@ -21,7 +21,7 @@ from riftsplit.operators.graph import (
 )
 from riftsplit.operators.separator import vertex_separator
 from riftsplit.operators.similarity import collapse_copies, similarity_edges
-from riftsplit.plans.durable import durable
+from riftsplit.plans.durable import durable, stored
 
 # How often the bounds of a cut are tightened when packing the small components misses a minimum.
 TRIES = 4
@@ -162,16 +162,62 @@ def fold_sets(parts: DataFrame, k: int) -> DataFrame:
     return spread.select(F.col("fold").alias("split_index"), "id", side.alias("set"))
 
 
+def _next_centres(first, state: DataFrame, gone: DataFrame, lost: DataFrame, wanted, sums: list[str]) -> list:
+    """The leading centres of ``first`` that the one-at-a-time loop takes next, whatever the ones before them change.
+
+    What reaches the driver is at most one row per pair of centres, and one per centre.
+    """
+    regions = gone.select("owner", "id").union(lost.select("owner", "id"))
+    shared = regions.groupBy("id").agg(F.sort_array(F.collect_set("owner")).alias("o")).filter(F.size("o") > 1)
+    pairs = F.flatten(F.transform("o", lambda x, i: F.transform(F.slice("o", i + 2, F.size("o")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    touch = shared.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    left = [(F.col(c) - F.col(f"d_{c}")).alias(c) for c in sums]
+    key = F.struct("weight", "id")
+    upcoming = lost.join(state, "id").select("owner", "id", *left).filter(wanted).groupBy("owner").agg(F.min(key).alias("key"))
+    inside = gone.join(F.broadcast(gone.select(F.col("owner").alias("id")).distinct()), "id").filter("owner <> id")
+    still = state.join(regions.select("id").distinct(), "id", "left_anti").agg(F.max("weight").alias("weight"))
+    nothing = F.lit(None)
+    of = state.schema
+    cast = lambda c, name, like: c.cast(of[like].dataType).alias(name)
+    facts = (
+        touch.select(F.lit("touch").alias("kind"), "a", "b", cast(nothing, "weight", "weight"))
+        .union(inside.select(F.lit("inside"), "owner", "id", nothing))
+        .union(upcoming.select(F.lit("upcoming"), "owner", "key.id", "key.weight"))
+        .union(still.select(F.lit("still"), nothing, nothing, "weight"))
+        .collect()
+    )
+    touching = {(r["a"], r["b"]) for r in facts if r["kind"] == "touch"}
+    taken = {(r["a"], r["b"]) for r in facts if r["kind"] == "inside"}
+    coming = {r["a"]: (r["weight"], r["b"]) for r in facts if r["kind"] == "upcoming"}
+    top = next(r["weight"] for r in facts if r["kind"] == "still")
+    chosen: list = []
+    for r in first:
+        c, mine = r["id"], (r["weight"], r["id"])
+        if any((o, c) in taken for o in chosen):
+            continue
+        if chosen:
+            if any((o, c) in touching or (c, o) in touching for o in chosen):
+                break
+            if any(coming[o] < mine for o in chosen if o in coming) or top is None or not r["weight"] < top:
+                break
+        chosen.append(c)
+    return chosen
+
+
 def lo_split(
-    df, row_id, bits, n_bits, value, threshold=0.4, min_cluster_size=5, max_clusters=50, std_threshold=0.6
+    df, row_id, bits, n_bits, value, threshold=0.4, min_cluster_size=5, max_clusters=50, std_threshold=0.6, batch=16
 ) -> DataFrame:
     """(split_index, id, set, cluster): lead-optimisation test clusters.
 
-    Round by round the centre with the fewest neighbours (itself counted; more than
+    One after another the centre with the fewest neighbours (itself counted; more than
     ``min_cluster_size``, below the current maximum, label spread of at least
     ``std_threshold``; lowest id on ties) gives its neighbours to test and stays in
     train; everything as similar as the threshold to either is taken out.  Neighbour
     statistics are kept as sums and only reduced by what a round removes.
+
+    A round works out what each of the next ``batch`` centres would take out and change, and decides as many of them as
+    come next anyway: those whose regions do not touch, before any vertex changed by an earlier one comes up, and
+    below the largest number of neighbours that no region changes.  The result is that of one centre a round.
     """
     mean = df.agg(F.avg(value)).scalar()
     y = F.col("_y")
@@ -193,26 +239,33 @@ def lo_split(
 
     state = durable(shifted(own, around(own), 1))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("weight") - F.pow(F.col("s1") / F.col("weight"), 2.0)))
-    decided = None
-    for cluster in range(max_clusters):
+    decided, n_clusters = None, 0
+    id_type = state.schema["id"].dataType.simpleString()
+    spark = df.sparkSession
+    while n_clusters < max_clusters:
         top = state.agg(F.max("weight")).scalar()
-        able = state.filter(
-            (F.col("weight") > min_cluster_size) & (F.col("weight") < top) & (spread >= std_threshold)
-        )
-        centre = able.agg(F.min(F.struct("weight", "id"))["id"]).first()[0]
-        if centre is None:
+        wanted = (F.col("weight") > min_cluster_size) & (spread >= std_threshold)
+        able = state.filter(wanted & (F.col("weight") < top))
+        first = able.orderBy("weight", "id").limit(batch).select("weight", "id").collect()
+        if not first:
             break
-        alive = state.select(F.col("id").alias("other"))
-        group = near.filter((F.col("node") == centre) & F.col("strict")).join(alive, "other", "left_semi")
-        core = durable(group.select(F.col("other").alias("id")).union(state.filter(F.col("id") == centre).select("id")))
-        touched = near.join(core.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("other").alias("id"))
-        gone = touched.union(core).distinct().join(alive.withColumnRenamed("other", "id"), "id", "left_semi")
-        inside = core.withColumn("in_core", F.lit(True))
-        gone = durable(gone.join(inside, "id", "left").withColumn("cluster", F.when(F.col("in_core"), cluster)).select("id", "cluster"))
-        mark = gone.withColumn("centre", F.lit(centre))
-        decided = mark if decided is None else decided.union(mark)
-        lost = around(own.join(gone, "id", "left_semi"))
-        state = durable(shifted(state.join(gone, "id", "left_anti"), lost, -1))
+        picks = spark.createDataFrame([(r["id"],) for r in first], f"owner {id_type}")
+        alive = state.select("id")
+        around_pick = near.filter("strict").join(F.broadcast(picks.withColumnRenamed("owner", "node")), "node")
+        core = around_pick.select(F.col("node").alias("owner"), F.col("other").alias("id")).join(alive, "id", "left_semi")
+        core = core.select("owner", "id").union(picks.select("owner", F.col("owner").alias("id")))
+        touched = near.join(core.withColumnRenamed("id", "node"), "node").select("owner", F.col("other").alias("id"), F.lit(False).alias("in_core"))
+        taken = touched.join(alive, "id", "left_semi").select("owner", "id", "in_core").union(core.select("owner", "id", F.lit(True)))
+        gone = stored(taken.groupBy("owner", "id").agg(F.max("in_core").alias("in_core")))
+        weighed = near.filter("strict").join(gone.select("owner", F.col("id").alias("other")), "other").join(own.withColumnRenamed("id", "other"), "other")
+        lost = weighed.groupBy("owner", F.col("node").alias("id")).agg(*[F.sum(c).alias(f"d_{c}") for c in sums])
+        lost = stored(lost.join(alive, "id", "left_semi").join(gone, ["owner", "id"], "left_anti"))
+        chosen = _next_centres(first, state, gone, lost, wanted, sums)[: max_clusters - n_clusters]
+        order = F.broadcast(spark.createDataFrame([(c, n_clusters + k) for k, c in enumerate(chosen)], f"owner {id_type}, _k int"))
+        out = stored(gone.join(order, "owner").select("id", F.when(F.col("in_core"), F.col("_k")).alias("cluster"), F.col("owner").alias("centre")))
+        decided = out if decided is None else decided.union(out)
+        state = stored(shifted(state.join(out, "id", "left_anti"), lost.join(order, "owner", "left_semi").drop("owner"), -1))
+        n_clusters += len(chosen)
     if decided is None:
         return members.select(F.lit(0).alias("split_index"), "id", F.lit("train").alias("set"), F.lit(None).cast("int").alias("cluster"))
     named = members.join(decided.withColumnRenamed("id", "rep"), "rep", "left")

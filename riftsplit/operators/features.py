@@ -11,10 +11,6 @@ from riftsplit.functions.bits import CLUSTER_BITS, shingle_fingerprint
 from riftsplit.functions.text import token_properties
 from riftsplit.plans.order import seeded_key
 
-# Reference rows of a kernel map are shipped to every task as one literal array.
-MAX_REFERENCE_ROWS = 4096
-
-
 def with_fingerprint(df: DataFrame, item: str, q: int = 4, n_bits: int = CLUSTER_BITS, on_invalid="empty") -> DataFrame:
     return df.withColumn("bits", shingle_fingerprint(F.col(item), q, n_bits, on_invalid))
 
@@ -42,21 +38,32 @@ def distance_column(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def drawn_rows(df: DataFrame, row_id: str, vector: str, n_samples: int, seed: int = 0) -> DataFrame:
+    """(draw, vector): ``n_samples`` rows drawn with replacement by hash; draw j takes the row with the least seeded key for j.
+
+    One pass keeps the least 60 bits of the key per draw (whole numbers, combined on the map side in n_samples
+    counters); the second keeps the rows that reach them, so ties are settled by the whole key and id on a handful of rows.
+    """
+    draws = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw")
+    keyed = df.select(row_id, vector, draws).withColumn("_key", seeded_key(seed, F.col("draw"), F.col(row_id)))
+    keyed = keyed.withColumn("_low", F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"))
+    least = keyed.groupBy("draw").agg(F.min("_low").alias("_low"))
+    best = keyed.join(F.broadcast(least), ["draw", "_low"])  # n_samples rows
+    return best.groupBy("draw").agg(F.min_by(vector, F.struct("_key", row_id)).alias(vector))
+
+
 def kernel_map(
     df: DataFrame, row_id: str, vector: str, n_samples: int, metric: str = "euclidean", seed: int = 0
 ) -> DataFrame:
     """Replace features by the distances to ``n_samples`` reference rows.
 
-    Rows are drawn with replacement by hash: draw j takes the row whose seeded key
-    is the smallest for j, one ``min_by`` per draw in a single aggregation.  The
-    drawn rows reach the map as a scalar subquery, so nothing is joined.
+    The drawn rows reach the map as a scalar subquery, so nothing is joined: every task holds n_samples vectors, as
+    every row of the result holds n_samples distances.
     """
-    if not 0 < n_samples <= MAX_REFERENCE_ROWS:
-        raise ValueError(f"n_samples must be in 1..{MAX_REFERENCE_ROWS}")
-    pick = [
-        F.min_by(vector, seeded_key(seed, F.lit(j), F.col(row_id))).alias(f"r{j}") for j in range(n_samples)
-    ]
-    refs = df.agg(*pick).select(F.array(*[f"r{j}" for j in range(n_samples)]).alias("refs"))
+    if n_samples < 1:
+        raise ValueError("n_samples must be at least 1")
+    drawn = drawn_rows(df, row_id, vector, n_samples, seed).withColumnRenamed(vector, "_v")
+    refs = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "_v"))), lambda r: r["_v"]).alias("refs"))
     mapped = df.select(row_id, vector).withColumn("_refs", refs.scalar())
     return mapped.select(
         row_id,

@@ -129,7 +129,7 @@ _PROPS = """lng AS (SELECT splitter, split_index, "set", property, value FROM (S
    WINDOW w AS (PARTITION BY splitter, split_index, property ORDER BY value), g AS (PARTITION BY splitter, split_index, property)),
  ks AS (SELECT splitter, split_index, property, max(abs(ctr / CAST(ntr AS DOUBLE) - cte / CAST(nte AS DOUBLE))) AS ks_statistic,
    sqrt(max(CAST(ntr AS DOUBLE) * nte / (ntr + nte))) AS en, max(ntr) AS ntr, max(nte) AS nte FROM cum GROUP BY ALL),
- cases AS (SELECT DISTINCT least(ntr, nte) AS a, greatest(ntr, nte) AS b, CAST(round(ks_statistic * ntr * nte) AS BIGINT) AS gap FROM ks WHERE greatest(ntr, nte) <= 10000),
+ cases AS (SELECT DISTINCT CAST(least(ntr, nte) AS BIGINT) AS a, CAST(greatest(ntr, nte) AS BIGINT) AS b, CAST(round(ks_statistic * ntr * nte) AS BIGINT) AS gap FROM ks WHERE greatest(ntr, nte) <= 10000),
  paths AS (SELECT a, b, gap, CAST(0 AS BIGINT) AS s, list_concat([CAST(1 AS DOUBLE)], list_transform(range(a), lambda x: CAST(0 AS DOUBLE))) AS p FROM cases
    UNION ALL SELECT a, b, gap, s + 1, list_transform(range(a + 1), lambda x: CASE WHEN x > s + 1 OR s + 1 - x > b OR abs(x * b - (s + 1 - x) * a) >= gap THEN CAST(0 AS DOUBLE)
      ELSE (coalesce(p[x], 0) * x + p[x + 1] * (s + 1 - x)) / CAST(s + 1 AS DOUBLE) END) FROM paths WHERE s < a + b),

@@ -255,6 +255,21 @@ def lo(spark, sf_dir):
     return cut.lo_split(sign_items(spark, sf_dir), "id", "bits", BITS, "label", threshold=0.5)
 
 
+@query("e22_lo_split_isolation", f"WITH {SIGN_PAIRS} SELECT i AS src, j AS dst, false AS leaks FROM pairs WHERE sim >= CAST(0.5 AS DOUBLE)")
+def lo_isolation(spark, sf_dir):
+    """All pairs as similar as the threshold: none joins two test clusters, and a test cluster meets one train item, its centre."""
+    items = sign_items(spark, sf_dir)
+    parts = stored(cut.lo_split(items, "id", "bits", BITS, "label", threshold=0.5))
+    sides = lambda end: parts.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"), F.col("cluster").alias(f"cluster_{end}"))
+    pairs = stored(similarity_edges(items, "id", "bits", 0.5, BITS, inclusive=True).join(sides("src"), "src").join(sides("dst"), "dst"))
+    met = [F.when((F.col(f"set_{a}") == "test") & (F.col(f"set_{b}") == "train"), F.struct(F.col(f"cluster_{a}").alias("c"), F.col(b).alias("centre"))) for a, b in (("src", "dst"), ("dst", "src"))]
+    centres = pairs.select(F.coalesce(*met).alias("m")).filter("m IS NOT NULL").distinct().groupBy("m.c").agg(F.count(F.lit(1)).alias("n"))
+    crowded = centres.filter("n > 1").select(F.col("c").alias("crowded"))
+    two = (F.col("set_src") == "test") & (F.col("set_dst") == "test") & (F.col("cluster_src") != F.col("cluster_dst"))
+    joined = pairs.withColumn("crowded", F.coalesce(*[m["c"] for m in met])).join(crowded.withColumn("many", F.lit(True)), "crowded", "left")
+    return joined.select("src", "dst", (two | F.coalesce("many", F.lit(False))).alias("leaks"))
+
+
 @query("e23_identity_split", group_sql("documents", "doc_id", "md5(text)", 1))
 def identity_split(spark, sf_dir):
     return cs.leakage_bounded_split(table(spark, sf_dir, "documents"), "doc_id", "I", item="text", test_size=0.2)
@@ -383,6 +398,47 @@ def all_splitters(spark, sf_dir):
     return status.join(sizes, "splitter", "left")
 
 
+_EVERY = {
+    "random": {},
+    "scaffold": {"scaffold": "label"},
+    "scaffold_generic": {"scaffold": "half"},
+    "molecular_weight": {"value": "first"},
+    "molecular_weight_reverse": {"value": "first"},
+    "molecular_logp": {"value": "first"},
+    "target_property": {"value": "label"},
+    "stratified": {"label": "label"},
+    "group_shuffle": {"group": "label"},
+    "kmeans": {"features": "embedding"},
+    "scaffold_kmeans": {"scaffold": "text"},
+    "butina": {"bits": "bits", "n_bits": BITS, "cutoff": 0.5},
+    "sphere_exclusion": {"bits": "bits", "n_bits": BITS, "cutoff": 0.5},
+    "dbscan": {"bits": "bits", "n_bits": BITS, "eps": 0.52, "min_points": 8},
+    "embed_cluster": {"features": "embedding"},
+    "max_dissimilarity": {"features": "embedding"},
+    "perimeter": {"features": "embedding"},
+    "leakage_bounded": {"technique": "I", "item": "text"},
+    "cluster_group": {"features": "embedding"},
+    "hi": {"bits": "bits", "n_bits": BITS, **HI},
+    "lo": {"bits": "bits", "n_bits": BITS, "value": "label", "threshold": 0.5},
+}
+
+
+@query(
+    "e30_every_splitter",
+    f"""WITH names AS (SELECT unnest({list(_EVERY)}) AS splitter) SELECT splitter, true AS ok, count(DISTINCT vec_id) AS n, true AS both_sides FROM names, embeddings GROUP BY splitter
+        UNION ALL SELECT 'no_such_splitter', false, NULL, NULL""",
+)
+def every_splitter(spark, sf_dir):
+    """Every registered splitter, and one that does not exist: items with a set in the first split, and whether train and test have some."""
+    half = F.when(F.col("label") % 2 == 0, "even").otherwise("odd")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.get("embedding", 0).alias("first"), half.alias("half"))
+    items = vectors.join(sign_items(spark, sf_dir), "id").withColumn("text", F.array_join("bits", " "))
+    parts, status = run_all_splitters(items, "id", {**_EVERY, "no_such_splitter": {}})
+    has = lambda s: F.count_if(F.col("set") == s) > 0
+    found = parts.filter("split_index = 0").groupBy("splitter").agg(F.countDistinct("id").alias("n"), (has("train") & has("test")).alias("both_sides"))
+    return status.join(found, "splitter", "left").select("splitter", "ok", "n", "both_sides")
+
+
 _EDGES = f"edges AS (SELECT i AS a, j AS b FROM pairs WHERE sim > CAST({HI_THRESHOLD} AS DOUBLE) UNION ALL SELECT j, i FROM pairs WHERE sim > CAST({HI_THRESHOLD} AS DOUBLE))"
 _REACH = f"WITH RECURSIVE {SIGN_PAIRS}, {_EDGES}, reach AS (SELECT id, id AS c FROM bits UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id), comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id)"
 

@@ -268,3 +268,24 @@ def test_identity_split_keeps_the_share_of_rows(spark):
         got = parts.filter(F.col("split_index") == s).collect()
         assert len(got) == len(rows) and abs(sum(r["set"] == "test" for r in got) / len(got) - 0.2) <= 0.05
         assert all(len({r["set"] for r in got if r["item"] == k}) == 1 for k in {r["item"] for r in got})
+
+
+def test_lo_decides_many_centres_a_round(spark, monkeypatch):
+    """Far-apart neighbourhoods and touching ones: a batch gives what one centre a round gives, in fewer rounds."""
+    rng = random.Random(12)
+    items, values = [], {}
+    for block in range(9):
+        for _ in range(rng.randint(5, 12)):
+            items.append((len(items), sorted(block * 8 + b for b in rng.sample(range(8), rng.randint(3, 6)))))
+    items += [(len(items) + k, sorted({8 * k + 7, 8 * k + 8, 8 * k + 9})) for k in range(4)]
+    values = {i: rng.choice([0.0, 1.0, 3.0]) for i, _ in items}
+    df = spark.createDataFrame([(i, b, values[i]) for i, b in items], "id bigint, bits array<int>, y double")
+    wanted = lo(items, values, 0.5, 3, 12, 0.4)
+    rounds = []
+    real = cut._next_centres
+    monkeypatch.setattr(cut, "_next_centres", lambda *a: rounds.append(real(*a)) or rounds[-1])
+    for batch in (1, 6):
+        got = {r["id"]: (r["set"], r["cluster"]) for r in cut.lo_split(df, "id", "bits", 80, "y", 0.5, 3, 12, 0.4, batch=batch).collect()}
+        assert got == wanted
+    n = sum(len(set(r)) for r in rounds) // 2
+    assert n > 3 and len(rounds) < 2 * n and max(len(r) for r in rounds) > 1

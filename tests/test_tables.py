@@ -178,3 +178,23 @@ def test_small_blocks_give_the_same_neighbours(spark):
     assert one == many and len(one) == 60
     with pytest.raises(ValueError):
         sim.nearest(left, right, [], 0)
+
+
+def test_split_config_and_status(spark, tmp_path):
+    rows = [('a "q"', 0, i, "test" if i < 3 else "train") for i in range(10)] + [('a "q"', 1, i, "train") for i in range(10)] + [("b", 0, 1, "discard")]
+    parts = spark.createDataFrame(rows, "splitter string, split_index int, id bigint, `set` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "id bigint, label int")
+    sinks.write_split_config(parts, str(tmp_path / "config"), labels)
+    records = [json.loads(line) for f in (tmp_path / "config").glob("*.txt") for line in f.read_text().splitlines()]
+    got = {r.pop("splitter_name"): r for r in records}
+    a = got['a "q"']
+    assert a["successful_splits"] == 2 and a["train_size_0"] == 7 and a["test_size_0"] == 3 and a["train_size_1"] == 10
+    assert a["test_actives_0"] == 1 and a["train_actives_0"] == 3 and a["test_actives_percentage_0"] == pytest.approx(1 / 3)
+    assert a["test_size_1"] == 0 and a["test_actives_percentage_1"] is None
+    assert got["b"]["train_size_0"] == got["b"]["test_size_0"] == 0
+    sinks.write_split_config(parts.filter("false"), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).isEmpty()
+    status = spark.createDataFrame([('a "q"', True, None), ("c", False, "ValueError: x")], "splitter string, ok boolean, error string")
+    sinks.write_status(status, parts, str(tmp_path / "status"))
+    read = {r["splitter"]: (r["ok"], r["n_splits"]) for r in spark.read.json(str(tmp_path / "status")).collect()}
+    assert read == {'a "q"': (True, 2), "c": (False, 0)}
