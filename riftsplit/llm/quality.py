@@ -4,16 +4,18 @@ Each text is reduced to counts, the counts to rates in parts per million, and th
 every language and source to quantile sketches: log-linear histograms (64 buckets for each
 power of two, so a quantile is off by less than 1/64 of its value), which merge by adding
 counts and do not depend on the order of the rows.  Sketches of the groups are merged to those
-of the languages and of the corpus; a group with fewer than ``LEAST_ROWS`` rows uses the next
-wider level, and a larger one is held to it: its spread is at most the wider level's, and its median
-lies at most the slack of the rule beyond the wider median (a language keeps its own median of word
-lengths), so a source that is full of junk does not widen its own fence.  A text is rejected when a rate lies beyond the fence of its group:
+of the languages and of the corpus.  A group of n rows is held to the next wider level and then drawn towards
+it with the weight of ``PRIOR_ROWS`` rows, so a verdict has no step in the size of the table: held means that
+its spreads are at most the wider level's, and its median lies at most the slack of the rule beyond the wider median
+(a language keeps its own median of word lengths), so a source that is full of junk does not widen its own
+fence.  A text is rejected when a rate lies beyond the fence of its group:
 median + REACH * (upper quartile - median), but at least the slack of the rule beyond the
 median (likewise downwards for the least word length).  Fewer than 3 repeated lines or 30 repeated
 words count as none.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
-sources form groups of their own; equal rows get equal results and all rows stay in the report.
+sources form groups of their own; equal rows get equal results and all rows stay in the report; an empty table
+gives an empty report.  Columns that share a name with a result are replaced by it; all others are passed through.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
 MILLION = 1_000_000
-LEAST_ROWS = 400
+PRIOR_ROWS = 50  # rows that the wider level counts for beside those of a group
 REACH = 6
 FINE = 64  # buckets for each power of two
 
@@ -160,25 +162,40 @@ def _quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return seen.groupBy(*by, "rule").agg(F.max("_n").alias("n"), at(25), at(50), at(75))
 
 
+def _shape(n: Column, q25: Column, q50: Column, q75: Column) -> Column:
+    """Quartiles as a median and the spreads below and above it; all are whole and not negative."""
+    return F.struct(n.alias("n"), q50.alias("mid"), (q50 - q25).alias("down"), (q75 - q50).alias("up"))
+
+
 def _held(own: Column, wide: Column, rule: Rule, level: int) -> Column:
-    """A group's quartiles held to those of the next wider level on the side that is judged.
+    """A group's shape held to that of the next wider level on the side that is judged.
 
-    The spread is at most the wider one, and the median lies at most the slack beyond the wider median, so the fence lies
+    The spreads are at most the wider ones, and the median lies at most the slack beyond the wider median, so the fence lies
     at most the slack beyond the wider fence, whatever the group holds.
     """
-    mid = own["q50"]
+    mid = own["mid"]
     if rule.by_language and level == 1:
         pass
     elif rule.upper:
-        mid = F.least(mid, wide["q50"] + rule.slack)
+        mid = F.least(mid, wide["mid"] + rule.slack)
     else:
-        mid = F.greatest(mid, wide["q50"] - rule.slack)
-    low = mid - F.least(own["q50"] - own["q25"], wide["q50"] - wide["q25"])
-    high = mid + F.least(own["q75"] - own["q50"], wide["q75"] - wide["q50"])
-    return F.struct(own["n"].alias("n"), low.alias("q25"), mid.alias("q50"), high.alias("q75"))
+        mid = F.greatest(mid, wide["mid"] - rule.slack)
+    spread = lambda c: F.least(own[c], wide[c]).alias(c)
+    return F.struct(own["n"].alias("n"), mid.alias("mid"), spread("down"), spread("up"))
+
+
+def _drawn(own: Column, wide: Column, prior_rows: int) -> Column:
+    """Mean of a group's shape and the wider one, weighed by the group's rows and ``prior_rows``."""
+    n = own["n"].cast("decimal(19,0)")
+
+    def mean(c: str) -> Column:
+        top = n * own[c].cast("decimal(18,0)") + F.lit(prior_rows).cast("decimal(9,0)") * wide[c].cast("decimal(18,0)")
+        return F.call_function("div", top, n + F.lit(prior_rows)).cast("bigint").alias(c)
 
+    return F.struct(own["n"].alias("n"), mean("mid"), mean("down"), mean("up"))
 
-def adaptive_fences(counts: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES, least_rows: int = LEAST_ROWS) -> DataFrame:
+
+def adaptive_fences(counts: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row per group of ``by`` with the fence of each rule; wider levels drop columns of ``by`` from the right."""
     sketches = durable(rate_sketches(counts, by, rules))
     values = ["n", "q25", "q50", "q75"]
@@ -188,32 +205,50 @@ def adaptive_fences(counts: DataFrame, by: list[str], rules: tuple[Rule, ...] =
         wide = _quartiles(merge_sketches(sketches, by[:level]), by[:level])
         wide = wide.select(*[F.col(c).alias(f"_{c}") for c in keys], *[F.col(c).alias(f"{c}_{level}") for c in values])
         found = found.join(wide, _null_safe({k: f"_{k}" for k in keys})).drop(*[f"_{c}" for c in keys])
-    chosen = found.withColumn("_level", F.struct(*[F.col(f"{c}_0").alias(c) for c in values]))
+    shape = lambda level: _shape(*[F.col(f"{c}_{level}") for c in values])
+    chosen = found.withColumn("_level", shape(0))
     for level in range(1, len(by) + 1):
-        own = F.struct(*[F.col(f"{c}_{level}").alias(c) for c in values])
-        held = F.coalesce(*[F.when(F.col("rule") == r.name, _held(own, F.col("_level"), r, level)) for r in rules])
-        chosen = chosen.withColumn("_level", F.when(own["n"] < least_rows, F.col("_level")).otherwise(held))
-    mid = F.col("_level.q50")
+        chosen = chosen.withColumn("_own", shape(level))
+        chosen = chosen.withColumn("_own", F.coalesce(*[F.when(F.col("rule") == r.name, _held(F.col("_own"), F.col("_level"), r, level)) for r in rules]))
+        chosen = chosen.withColumn("_level", _drawn(F.col("_own"), F.col("_level"), prior_rows))
+    mid = F.col("_level.mid")
     fences = []
     for r in rules:
-        up = mid + F.greatest(REACH * (F.col("_level.q75") - mid), F.lit(r.slack))
-        down = mid - F.greatest(REACH * (mid - F.col("_level.q25")), F.lit(r.slack))
+        up = mid + F.greatest(REACH * F.col("_level.up"), F.lit(r.slack))
+        down = mid - F.greatest(REACH * F.col("_level.down"), F.lit(r.slack))
         fences.append(F.max(F.when(F.col("rule") == r.name, up if r.upper else down)).alias(f"fence_{r.name}"))
     return chosen.groupBy(*by).agg(*fences)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def judge(
-    df: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES, least_rows: int = LEAST_ROWS
+    df: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES, prior_rows: int = PRIOR_ROWS
 ) -> DataFrame:
     """The rows without the text, with counts, ``base_failed``, ``failed`` (names of the rules broken) and ``kept``."""
-    by = list(by)
-    counts = durable(text_counts(df, text))
-    fences = adaptive_fences(counts, by, rules, least_rows)
-    fences = fences.withColumnsRenamed({k: f"_by_{k}" for k in by})
-    joined = counts.join(fences, _null_safe({k: f"_by_{k}" for k in by}), "left").drop(*[f"_by_{k}" for k in by])
+    named = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    fence_names = [f"fence_{r.name}" for r in rules]
+    results = {*COUNTS, *fence_names, "base_failed", "failed", "kept"}
+    extras = [c for c in df.columns if c != text and c.lower() not in results]
+    # the caller's columns travel in one struct, so no name of theirs meets one of ours
+    row = F.struct(F.lit(0).alias("_"), *[named(c).alias(f"c{i}") for i, c in enumerate(extras)]).alias("_row")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(row, named(text).alias("_text"), *[named(c).alias(k) for k, c in zip(keys, by, strict=True)])
+    counts = durable(text_counts(rows, "_text"))
+    fences = adaptive_fences(counts, keys, rules, prior_rows)
+    fences = fences.withColumnsRenamed({k: f"_by{k}" for k in keys})
+    joined = counts.join(fences, _null_safe({k: f"_by{k}" for k in keys}), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     beyond = [
         F.when(r.rate() > F.col(f"fence_{r.name}") if r.upper else r.rate() < F.col(f"fence_{r.name}"), F.lit(r.name)) for r in rules
     ]
     out = joined.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*beyond)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return out.select(
+        *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(extras)],
+        *COUNTS,
+        *fence_names,
+        "base_failed",
+        "failed",
+        (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"),
+    )

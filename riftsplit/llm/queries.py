@@ -106,12 +106,24 @@ def _level_sql(name: str, keys: list[str]) -> str:
 
 def _quality_sql() -> str:
     rates = " UNION ALL ".join(
-        f"SELECT doc_id, lang, source, '{r.name}' AS rule, {str(r.upper).upper()} AS up, {r.slack} AS slack, "
+        f"SELECT doc_id, lang, source, '{r.name}' AS rule, "
         f"CASE WHEN {r.base} > 0 THEN {r.top} * {quality.MILLION} // {r.base} ELSE 0 END AS rate FROM counts"
         for r in quality.RULES
     )
-    few = quality.LEAST_ROWS
-    pick = ", ".join(f"CASE WHEN g.n >= {few} THEN g.q{q} WHEN l.n >= {few} THEN l.q{q} ELSE a.q{q} END AS q{q}" for q in (25, 50, 75))
+    rules = ", ".join(f"('{r.name}', {str(r.upper).upper()}, {r.slack}, {str(r.by_language).upper()})" for r in quality.RULES)
+
+    def drawn(name: str, own: str, wide: str, rest: str, own_mid: str, kept: str) -> str:
+        """A level held to the wider one and drawn towards it."""
+        held = f"""CASE WHEN {own_mid} THEN {own}.q50 WHEN up_side THEN least({own}.q50, {wide}.mid + slack) ELSE greatest({own}.q50, {wide}.mid - slack) END"""
+        mean = lambda x, c: f"CAST((CAST({own}.n AS HUGEINT) * ({x}) + {quality.PRIOR_ROWS} * {wide}.{c}) // ({own}.n + {quality.PRIOR_ROWS}) AS BIGINT) AS {c}"
+        down, up = f"least({own}.q50 - {own}.q25, {wide}.down)", f"least({own}.q75 - {own}.q50, {wide}.up)"
+        return f"{name} AS (SELECT {kept}, up_side, slack, by_language, {mean(held, 'mid')}, {mean(down, 'down')}, {mean(up, 'up')} FROM {own} JOIN {wide} ON {rest})"
+
+    steps = ",\n  ".join([
+        "l0 AS (SELECT a.rule, up_side, slack, by_language, q50 AS mid, q50 - q25 AS down, q75 - q50 AS up FROM a JOIN rules USING (rule))",
+        drawn("l1", "l", "l0", "l.rule = l0.rule", "by_language", "lang, l.rule"),
+        drawn("l2", "g", "l1", "g.rule = l1.rule AND g.lang IS NOT DISTINCT FROM l1.lang", "false", "g.lang, source, g.rule"),
+    ])
     return f"""WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
   grams AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
@@ -126,10 +138,10 @@ def _quality_sql() -> str:
   raw AS ({rates}),
   rates AS (SELECT *, {_bucket_sql("rate")} AS bucket FROM raw),
   {_level_sql("g", ["lang", "source"])}, {_level_sql("l", ["lang"])}, {_level_sql("a", [])},
-  fences AS (SELECT g.lang, g.source, g.rule, {pick} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule
-    JOIN a ON g.rule = a.rule),
-  broken AS (SELECT r.doc_id, bool_or(CASE WHEN up THEN rate > q50 + greatest({quality.REACH} * (q75 - q50), slack)
-      ELSE rate < q50 - greatest({quality.REACH} * (q50 - q25), slack) END) AS bad FROM rates r JOIN fences f
+  rules AS (SELECT * FROM (VALUES {rules}) t(rule, up_side, slack, by_language)),
+  {steps},
+  broken AS (SELECT r.doc_id, bool_or(CASE WHEN up_side THEN rate > mid + greatest({quality.REACH} * up, f.slack)
+      ELSE rate < mid - greatest({quality.REACH} * down, f.slack) END) AS bad FROM rates r JOIN l2 f
     ON r.rule = f.rule AND r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source GROUP BY r.doc_id),
   base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
   SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

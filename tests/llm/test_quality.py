@@ -1,9 +1,11 @@
+import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from riftsplit.llm import quality
+from riftsplit.llm import quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GOOD = " ".join(f"word{i}" for i in range(60))
@@ -97,3 +99,45 @@ def test_languages_keep_their_word_lengths(spark):
 
 def test_empty_table(docs):
     assert quality.judge(docs([])).count() == 0
+    assert quality.judge(docs([]).withColumn("n_words", F.lit("x"))).count() == 0
+
+
+def test_groups_of_ten_to_ten_thousand_rows_equal_the_twin(spark):
+    """Sources and languages of all sizes, dirty and clean, by the SQL twin in another engine."""
+    rng = random.Random(6)
+    rows = []
+    for lang, source, n, junk, length in [("en", "big", 6000, 0.02, 5), ("en", "mid", 900, 0.5, 5), ("en", "few", 90, 0.2, 5), ("xx", "mid", 150, 0.1, 14), ("xx", "one", 10, 0.4, 14), (None, None, 12, 0.3, 6)]:
+        for _ in range(n):
+            bad = rng.random() < junk
+            words = ["".join(rng.choices("abcdefgh", k=max(1, round(rng.gauss(length, 2))))) + rng.choice(["$$", "&", ""] if bad else ["", "", ""]) for _ in range(rng.choice([52, 60]))]
+            rows.append((len(rows), " ".join(words), lang, source))
+    rows += [(len(rows), None, "en", "few"), (len(rows) + 1, "", None, "big"), (len(rows) + 2, "a b", "zz", "big")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    wanted = {r[0]: r[6:] for r in con.execute(queries.SQL["op7_quality_rules"]).fetchall()}
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(df).collect()}
+    assert got == wanted
+    assert 0 < sum(not k for b, k in got.values() if not b) < len(rows) / 2
+
+
+def test_small_groups_follow_the_wider_level_without_a_step(spark):
+    """A fence moves little when a group grows by one row, at every size."""
+    def fence(n):
+        rows = [(i, 5_000_000, "en", "s0") for i in range(2000)] + [(5000 + i, 12_000_000, "xx", "s1") for i in range(n)]
+        df = spark.createDataFrame([(i, 100, v // 10_000, lang, source) for i, v, lang, source in rows], "id bigint, n_words bigint, word_chars bigint, lang string, source string")
+        counts = df.withColumns({c: F.lit(0).cast("bigint") for c in ("n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")})
+        return quality.adaptive_fences(counts, ["lang", "source"]).filter("lang = 'xx'").first()["fence_long_words"]
+
+    at = {n: fence(n) for n in (1, 49, 50, 51, 399, 400)}
+    assert at[1] < at[49] < at[50] < at[51] < at[399] <= at[400]
+    assert at[50] - at[49] < 200_000 and at[51] - at[50] < 200_000 and at[400] - at[399] < 50_000
+
+
+def test_clashing_names_are_replaced_or_passed_through(spark):
+    rows = [(1, GOOD, "en", "s0", "mine", "a", "b", "c", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, N_WORDS string, _by_lang string, _level string, `odd.name` string, kept int")
+    got = quality.judge(df).first().asDict()
+    assert got["n_words"] == 60 and got["kept"] is True and "N_WORDS" not in got
+    assert got["_by_lang"] == "a" and got["_level"] == "b" and got["odd.name"] == "c" and got["lang"] == "en"
