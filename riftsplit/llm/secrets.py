@@ -7,7 +7,7 @@ and removing the one that leaves, and reports the stretches whose Shannon entrop
 at or above the class's threshold.  Strings on the allow list are not reported by the
 entropy scan; base spans always stay.
 
-Defined results: a null or empty text has no spans; equal rows get equal results; rows
+Defined results: a null or empty text has no spans; an empty table gives an empty result; equal rows get equal results; rows
 are never dropped, and columns other than the text are passed through unread, so names
 that clash with the results only matter for the result columns, which are replaced.
 """
@@ -48,12 +48,17 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASSES = (
     EntropyClass("entropy_hex", HEX_DIGITS, 20, 3.0, ("[0-9].*[0-9].*[0-9]", "[A-F].*[A-F]")),
     EntropyClass("entropy_base64", BASE64, 20, 3.7, ("[0-9].*[0-9]", "[a-z].*[a-z]", "[A-Z].*[A-Z]")),
+    # one case and digits: words with a number at an end also reach this entropy, so digits must lie among the letters
+    EntropyClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.3, ("(?:[0-9]+[a-z]+){3}",)),
+    EntropyClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.3, ("(?:[0-9]+[A-Z]+){2}",)),
 )
 
-# Whole strings that look random but are not secrets: identifiers, alphabets, placeholders.
+# Whole strings that look random but are not secrets: identifiers, alphabets, placeholders.  A placeholder that is a
+# folder of a path says nothing of the string beside it.
+PLACEHOLDER = "(?i:example|placeholder|dummy|changeme|your[-_]?key)"
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r".*(?i:example|placeholder|dummy|changeme|your[-_]?key).*",
+    rf".*[^/]{PLACEHOLDER}.*|.*{PLACEHOLDER}[^/].*|{PLACEHOLDER}",
     r".*(?i:abcdefghij|0123456789|1234567890|qwertyuiop).*",
     r"(.)\1*",
     r"(?:sha\d+|md5)[-=].*",

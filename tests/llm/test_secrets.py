@@ -84,3 +84,22 @@ def test_running_sum_and_cut_across_blocks(spark):
     got = df.select(cut(F.lit(text), spans).alias("c")).first()["c"]
     assert got == [text[i * 3 : i * 3 + 2] for i in range(n)]
     assert hashlib.sha256("".join(got).encode()).hexdigest()
+
+
+def test_one_case_strings_and_keys_in_paths(docs):
+    lower, seed = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "JBSWY3DPEHPK3PXPGE2DKNZQ4XTQ7WRA"
+    key = "q7Rz2LpX9vKt4MbW8sNdY3hGf6JcT1aUe5Z"
+    texts = [
+        (1, f"key-{lower} end"),
+        (2, f"seed {seed}."),
+        (3, f"GET /example/{key} now"),
+        (4, f"example{key}"),
+        (5, "internationalization20240101identifier and establishment1234567890abc"),
+        (6, "/usr/share/documentation/example/readme_2024_first_chapter"),
+        (7, "INTERNATIONALIZATION2024 SESSIONIDENTIFIERS99"),
+    ]
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan_secrets(docs(texts)).collect()}
+    assert any(lower in s["hit"] for s in got[1]) and any(seed in s["hit"] for s in got[2]) and any(key in s["hit"] for s in got[3])
+    assert got[4] == got[5] == got[6] == got[7] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs(texts)).collect()}
+    assert lower not in clean[1] and seed not in clean[2] and key not in clean[3] and clean[6] == texts[5][1]
