@@ -119,3 +119,12 @@ def test_exact_ks_equals_enumeration(spark):
     assert both["p"] == pytest.approx(both["q"], rel=0.05)
     beyond = far.select(stats.kolmogorov_two_sided(F.col("d"), F.lit(10_001), F.col("n2")).alias("p"), stats.kolmogorov_asymptotic(F.col("d"), F.lit(10_001), F.col("n2")).alias("q")).first()
     assert beyond["p"] == beyond["q"]
+
+
+def test_ranks_of_values_that_change_when_computed_again(spark):
+    again = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    drawn = spark.range(60).select((F.col("id") % 2).alias("g"), "id", again("id").alias("v"))
+    rows = metrics.average_ranks(drawn, ["g"], "v", "r").collect()
+    for g in (0, 1):
+        ordered = sorted((r for r in rows if r["g"] == g), key=lambda r: -r["v"])
+        assert [r["r"] for r in ordered] == list(range(1, 31))
