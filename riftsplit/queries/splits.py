@@ -9,7 +9,7 @@ from riftsplit.operators import cut_split as cut
 from riftsplit.operators import graph
 from riftsplit.operators import splitters as sp
 from riftsplit.operators.registry import run_all_splitters, run_splitter
-from riftsplit.operators.similarity import similarity_edges
+from riftsplit.operators.similarity import similarity_edges, similarity_forest
 from riftsplit.plans.durable import stored
 from riftsplit.queries.base import (
     BITS,
@@ -445,7 +445,7 @@ _REACH = f"WITH RECURSIVE {SIGN_PAIRS}, {_EDGES}, reach AS (SELECT id, id AS c F
 
 def _components(spark, sf_dir):
     items = sign_items(spark, sf_dir)
-    return graph.connected_components(items, similarity_edges(items, "id", "bits", HI_THRESHOLD, BITS))
+    return graph.connected_components(items, similarity_forest(items, "id", "bits", HI_THRESHOLD, BITS))
 
 
 @query("e32_connected_components", f"{_REACH} SELECT id, component FROM comp")

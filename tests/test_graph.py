@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import brute_edges, components, leaders, random_sets, tanimoto
 from pyspark.sql import functions as F
 
-from riftsplit.operators import graph
+from riftsplit.operators import graph, similarity
 from riftsplit.operators.cluster_split import butina_clusters, dbscan_clusters, sphere_exclusion_clusters
 from riftsplit.operators.similarity import best_in_other_set, collapse_copies, compared_pairs, similarity_edges
 
@@ -192,3 +194,39 @@ def test_components_take_few_rounds(spark, monkeypatch, links):
     got = graph.connected_components(spark.range(401), edges)
     assert got.filter("component <> 0").isEmpty()
     assert len(rounds) <= 14
+
+
+@pytest.mark.parametrize(("n_bits", "threshold", "inclusive", "plan"), [(16, 0.4, False, "lists"), (16, 0.5, True, "grid"), (70, 0.2, False, "grid"), (70, 0.2, True, "lists"), (200, 0.3, True, "grid")])
+def test_plans_of_the_range_join_agree_with_brute_force(spark, n_bits, threshold, inclusive, plan):
+    items = random_sets(90, n_bits, 5, low=0, high=n_bits // 2, copies=6)
+    got = similarity_edges(frame(spark, items), "id", "bits", threshold, n_bits, inclusive=inclusive, rows_per_block=25, plan=plan).collect()
+    assert {(r["src"], r["dst"]): r["sim"] for r in got} == brute_edges(items, threshold, inclusive)
+    assert len(got) == len({(r["src"], r["dst"]) for r in got})
+
+
+def test_common_bits_are_compared_by_blocks_and_rare_ones_by_lists(spark):
+    words = lambda items, n_bits: similarity._ranked_words(frame(spark, items), "id", "bits", n_bits)
+    assert similarity._grid_is_less(words(random_sets(200, 64, 1, low=20, high=40), 64), 0.45, 1)
+    assert not similarity._grid_is_less(words(random_sets(200, 2048, 1, low=5, high=9), 2048), 0.6, 32)
+
+
+def test_tiles_meet_each_pair_once(monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    items = random_sets(60, 70, 5, low=1, high=30, copies=3)
+    words = similarity.packed_words(pa.array([b for _, b in items], pa.list_(pa.int32())), 70)
+    lists = pa.ListArray.from_arrays(pa.array(range(0, 121, 2), pa.int32()), pa.array(words.ravel().view(np.int64)))
+    whole = pa.table({"id": pa.array(range(60)), "words": lists})
+    least, wanted = similarity.least_shared(70, 0.25, True), brute_edges(items, 0.25, True)
+    for cut in (60, 23):
+        a, b = similarity.GridBlock(whole.slice(0, cut)), similarity.GridBlock(whole.slice(0 if cut == 60 else cut))
+        found = [tuple(sorted((int(x), int(y)))) for i, j, _ in similarity.grid_pairs(a, b, cut == 60, least) for x, y in zip(a.ids[i], b.ids[j], strict=True)]
+        assert sorted(found) == sorted(p for p in wanted if cut == 60 or p[0] < cut <= p[1])
+
+
+def test_forest_has_the_components_of_the_edges(spark):
+    items = random_sets(120, 24, 3, low=0, high=9, copies=4)
+    df = frame(spark, items)
+    links = similarity.similarity_forest(df, "id", "bits", 0.55, 24, rows_per_block=25)
+    got = {r["id"]: r["component"] for r in graph.connected_components(df, links).collect()}
+    assert got == components([i for i, _ in items], brute_edges(items, 0.55))
+    assert links.count() < 120 * 6
