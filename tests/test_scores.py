@@ -204,3 +204,12 @@ def test_constant_columns_give_null_not_an_error(spark):
     parts = parts_of(spark, [(0, "train"), (1, "test")])
     values = spark.createDataFrame([(0, 1.0), (1, 1.0)], "id bigint, value double")
     assert all(r["density"] is None for r in audit.density_histogram(parts, values).collect())
+
+
+def test_stored_pairs_are_not_built_in_memory(spark):
+    pairs = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (0, 2, 0.25), (2, 0, 0.25), (1, 2, 1.0), (2, 1, 1.0)], "i bigint, j bigint, distance double")
+    sets = {0: ("test", "train", "train"), 1: ("train", "test", "test")}
+    parts = spark.createDataFrame([("r", s, i, v) for s, row in sets.items() for i, v in enumerate(row)], "splitter string, split_index int, id bigint, `set` string")
+    best = audit.best_similarities_stored(parts, pairs)
+    assert {(r["split_index"], r["id"]): r["similarity"] for r in best.collect()} == {(0, 0): 0.75, (1, 1): 0.5, (1, 2): 0.75}
+    assert "leftHint=(strategy=merge)" in best._jdf.queryExecution().optimizedPlan().toString()
