@@ -230,3 +230,26 @@ def test_forest_has_the_components_of_the_edges(spark):
     got = {r["id"]: r["component"] for r in graph.connected_components(df, links).collect()}
     assert got == components([i for i, _ in items], brute_edges(items, 0.55))
     assert links.count() < 120 * 6
+
+
+def test_similarity_between_clusters_sums_the_links(spark):
+    items = random_sets(130, 64, 8, low=4, high=30, copies=9)
+    of = {i: i % 11 for i, _ in items}
+    wanted = Counter()
+    for (i, j), sim in brute_edges(items, 0.25).items():
+        if of[i] != of[j]:
+            wanted[min(of[i], of[j]), max(of[i], of[j])] += sim
+    clusters = spark.createDataFrame(list(of.items()), "id bigint, cluster bigint")
+    got = similarity.similarity_between(frame(spark, items), "id", "bits", clusters, 0.25, 64, rows_per_block=16).collect()
+    assert {(r["src"], r["dst"]): pytest.approx(r["sim"]) for r in got} == dict(wanted)
+
+
+def test_minhash_edges_are_found_without_candidate_rows(spark):
+    items = random_sets(150, 64, 6, low=10, high=40, copies=30)
+    got = similarity.approx_similarity_edges(frame(spark, items), "id", "bits", 0.5, 64, rows_per_block=40)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString().split("FlatMapGroups")[0]
+    rows = got.collect()
+    assert len(rows) == len({(r["src"], r["dst"]) for r in rows})
+    wanted = brute_edges(items, 0.5)
+    found = {(r["src"], r["dst"]): r["sim"] for r in rows}
+    assert all(found[p] == pytest.approx(wanted[p]) for p in found) and len(found) >= 0.99 * len(wanted)
