@@ -151,6 +151,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dist")).filter("chunk = 1").count() == 4
 
 
+@pytest.mark.parametrize("chunk,sources,targets", [(7, 21, 11), (30, 8, 64)])
+def test_matrix_chunks_are_written_without_a_shuffle_of_pairs(spark, tmp_path, chunk, sources, targets):
+    df = spark.createDataFrame([(3 * i, [float(i % 9), float(i)]) for i in range(50)], "id bigint, v array<double>")
+    sinks.write_matrix_chunks(df, "id", "v", str(tmp_path / "m"), chunk, "euclidean", None, sources, targets)
+    pairs = sim.mirrored(sim.distance_matrix(df, "id", "v")).select(F.col("i").alias("source"), F.col("j").alias("target"), "distance")
+    sinks.write_distance_chunks(pairs, sinks.chunked(df.select(F.col("id").alias("source")), "source", chunk), str(tmp_path / "w"))
+    got, want = ({(r["source"], r["target"], r["chunk"]): r["distance"] for r in spark.read.parquet(str(tmp_path / f)).collect()} for f in "mw")
+    assert len(got) == 50 * 49 and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in got)
+
+
 def test_fingerprints(spark):
     df = spark.createDataFrame([(0, "abcdabcd"), (1, "abc"), (2, None), (3, "é☃𝄞x")], "id bigint, t string")
     got = {r["id"]: r["b"] for r in df.select("id", shingle_fingerprint(F.col("t"), 4, 1 << 15).alias("b")).collect()}
