@@ -81,6 +81,20 @@ def test_stored_distances(spark, pairs):
         sim.nearest_stored(block, 0)
 
 
+def test_block_of_stored_distances_is_computed_without_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(sim, "ROWS_PER_BLOCK", 5)
+    monkeypatch.setattr(sim, "ROWS_PER_REDUCED_BLOCK", 7)
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(40)], "id bigint, vec array<double>")
+    train, test = df.filter("id % 4 <> 0"), df.filter("id % 4 = 0")
+    want = sim.block_of(sim.distance_matrix(df, "id", "vec"), train, test)
+    cells = lambda d: sorted((r["test_id"], r["train_id"], round(r["distance"], 9)) for r in d.collect())
+    assert cells(sim.block_between(train, test)) == cells(want)
+    near = sim.block_between(train, test, k=3)
+    assert near.count() < want.count() and cells(sim.nearest_stored(near, 3)) == cells(sim.nearest_stored(want, 3))  # equal distances: lower id
+    best = lambda d: {r["id"]: round(r["similarity"], 9) for r in sim.best_stored(d).collect()}
+    assert best(sim.block_between(train, test, k=1)) == best(want)
+
+
 def test_distance_source_checks(spark, pairs):
     assert items.read_distances(spark, pairs, 4).filter("abs(similarity + distance - 1) > 1e-12").count() == 0
     with pytest.raises(ValueError):
