@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from riftsplit.operators.clean import require_columns
+from riftsplit.plans.blocks import matrix_profile
 
 SEPARATORS = {".csv": ",", ".txt": "\t", ".tsv": "\t"}
 DISTANCE_TOLERANCE = 1e-6
@@ -58,6 +59,15 @@ def distance_profile(pairs: DataFrame, condensed: bool = True) -> DataFrame:
     return out.select("n_items", "n_pairs", "lo", "hi", (F.col("n_pairs") == wanted).alias("is_complete"))
 
 
+def matrix_distance_profile(df: DataFrame, row_id: str, vector: str, metric: str = "euclidean", n_bits: int | None = None) -> DataFrame:
+    """``distance_profile`` of the distance matrix of a set: every pair is computed and counted in its block, none becomes a row."""
+    blocks = matrix_profile(df, row_id, vector, metric, n_bits)
+    stats = blocks.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = stats.withColumn("n_items", df.agg(F.countDistinct(row_id).alias("n")).scalar())
+    n = F.col("n_items")
+    return out.select("n_items", "n_pairs", "lo", "hi", (F.col("n_pairs") == n * (n - 1) / 2).alias("is_complete"))
+
+
 def read_distances(spark: SparkSession, source: str | DataFrame, n_items: int) -> DataFrame:
     """Pair table with similarity = 1 - distance, checked for completeness and range."""
     pairs = spark.read.parquet(source) if isinstance(source, str) else source

@@ -95,6 +95,15 @@ def test_block_of_stored_distances_is_computed_without_the_rest(spark, monkeypat
     assert best(sim.block_between(train, test, k=1)) == best(want)
 
 
+def test_profile_of_a_matrix_without_its_rows(spark):
+    df = spark.createDataFrame([(i, [float(i * i % 11), float(i)]) for i in range(30)], "id bigint, vec array<double>")
+    rows = lambda d: [tuple(round(v, 9) for v in r) for r in d.collect()]
+    for part in (df, df.filter("id < 2")):
+        assert rows(items.matrix_distance_profile(part, "id", "vec")) == rows(items.distance_profile(sim.distance_matrix(part, "id", "vec")))
+    alone = items.matrix_distance_profile(df.filter("id < 1"), "id", "vec").first()
+    assert (alone["n_items"], alone["n_pairs"], alone["lo"], alone["is_complete"]) == (1, 0, None, True)
+
+
 def test_distance_source_checks(spark, pairs):
     assert items.read_distances(spark, pairs, 4).filter("abs(similarity + distance - 1) > 1e-12").count() == 0
     with pytest.raises(ValueError):
