@@ -3,13 +3,16 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riftsplit.functions import bits
 from riftsplit.functions.bits import shingle_fingerprint
-from riftsplit.operators import clean, features
+from riftsplit.operators import clean, features, train
 from riftsplit.operators import similarity as sim
 from riftsplit.operators.splitters import random_split
+from riftsplit.plans.durable import spread
 from riftsplit.sources import items, runs, sinks
 
 
@@ -151,6 +154,32 @@ def test_run_files(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in both.collect()} == {(1, 2), (3, None)}
 
 
+def test_tasks_group_a_bounded_number_of_rows(spark):
+    df = spark.range(3000, numPartitions=1).select((F.col("id") % 1000).alias("item"), "id", F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("task"))
+    placed = spread(df, "item", rows_per_task=300)
+    held = placed.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("id").alias("n"), F.countDistinct("item").alias("k")).collect()
+    assert placed.rdd.getNumPartitions() == 10 and sum(r["n"] for r in held) == 3000 and sum(r["k"] for r in held) == 1000  # no item in two tasks
+    assert max(r["n"] for r in held) < 600
+    plan = sinks.prediction_table(placed.groupBy("item", "task").agg(F.max("id").alias("score")), "item", tasks=["t0", "t1"])
+    assert plan.count() == 1000
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1  # that of the placement serves both groupings
+
+
+def test_scores_are_decided_without_scoring_again(spark):
+    df = spark.createDataFrame([(0.2,), (0.5,), (0.9,), (None,)], "soft double")
+    assert [r["h"] for r in df.select(train.decided("soft").alias("h")).collect()] == [0.0, 1.0, 1.0, None]
+
+
+def test_training_rows_lie_in_as_few_partitions_as_they_need(spark):
+    df = spark.range(4000).repartition(13)
+    one, four = train.placed_for_training(df, 64), train.placed_for_training(df, 64, bytes_per_partition=1000 * 64 * 8)
+    assert one.rdd.getNumPartitions() == 1 and [r["id"] for r in one.collect()] == list(range(4000))
+    assert four.rdd.getNumPartitions() == 4 and four.count() == 4000
+    again = train.placed_for_training(spark.range(3999, -1, -1, numPartitions=3), 64, bytes_per_partition=1000 * 64 * 8)
+    assert four.collect() == again.collect()  # whatever the layout of the input
+
+
 def test_sinks(spark, tmp_path):
     parts = random_split(spark.range(40), "id", 2).withColumn("splitter", F.lit("random"))
     path = str(tmp_path / "parts")
@@ -184,6 +213,22 @@ def test_matrix_chunks_are_written_without_a_shuffle_of_pairs(spark, tmp_path, c
     assert len(got) == 50 * 49 and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in got)
 
 
+def test_fingerprint_of_long_texts_is_made_by_pieces(monkeypatch):
+    texts = ["abcdefghij" * 7 + "xyz", "", "abc", "na" * 40, "q" * 9]
+    for q in (1, 4):
+        for chars in (1, 5, 16, 1000):
+            pieces = [p for batch in bits.slice_pieces(texts, q, chars) for p in batch]
+            assert max(len(t) for _, t in pieces) <= chars + q - 1
+            assert all(sum(len(t) for _, t in batch) <= chars + q - 1 for batch in bits.slice_pieces(texts, q, chars))
+            for row, text in enumerate(texts):
+                grams = [p[i : i + q] for r, p in pieces if r == row for i in range(len(p) - q + 1)]
+                assert sorted(grams) == sorted(text[i : i + q] for i in range(len(text) - q + 1))
+    monkeypatch.setattr(bits, "SLICE_CHARS", 1 << 20)
+    want = [b.tolist() for b in bits.fingerprints(pd.Series(texts), 4, 1024)]
+    monkeypatch.setattr(bits, "SLICE_CHARS", 10)
+    assert [b.tolist() for b in bits.fingerprints(pd.Series(texts), 4, 1024)] == want
+
+
 def test_fingerprints(spark):
     df = spark.createDataFrame([(0, "abcdabcd"), (1, "abc"), (2, None), (3, "é☃𝄞x")], "id bigint, t string")
     got = {r["id"]: r["b"] for r in df.select("id", shingle_fingerprint(F.col("t"), 4, 1 << 15).alias("b")).collect()}
