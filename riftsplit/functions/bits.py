@@ -13,7 +13,44 @@ CLUSTER_BITS = 1024
 AUDIT_BITS = 2048
 # Multiplier of the rolling q-gram hash.
 HASH_BASE = 31
-SLICE_ROWS = 128  # texts hashed at a time
+SLICE_ROWS = 128  # texts hashed at a time, at most
+SLICE_CHARS = 1 << 18  # characters of a slice; a longer text is hashed piece by piece
+
+
+def slice_pieces(texts: list[str], q: int, chars: int):
+    """Lists of (row, piece) of at most ``SLICE_ROWS`` pieces and ``chars`` characters; pieces of one text overlap by q - 1, so no gram is lost."""
+    batch, size = [], 0
+    for row, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - q + 1), chars):
+            piece = text[start : start + chars + q - 1]
+            if batch and (len(batch) == SLICE_ROWS or size + len(piece) > chars + q - 1):
+                yield batch
+                batch, size = [], 0
+            batch.append((row, piece))
+            size += len(piece)
+    if batch:
+        yield batch
+
+
+def fingerprints(items: pd.Series, q: int, n_bits: int) -> pd.Series:
+    """Sorted bits of every text; the texts of a slice lie one after the other in one array of code points."""
+    powers = [HASH_BASE ** (q - 1 - j) for j in range(q)]
+    out = [None] * len(items)
+    for batch in slice_pieces([t or "" for t in items], q, SLICE_CHARS):
+        codes = np.frombuffer("".join(t for _, t in batch).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(batch)), [len(t) for _, t in batch])
+        n = max(0, len(codes) - q + 1)
+        hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
+        inside = row[:n] == row[q - 1 : q - 1 + n]  # no gram spans two texts
+        seen = np.zeros(len(batch) * n_bits, dtype=bool)
+        seen[row[:n][inside] * n_bits + hashed[inside]] = True
+        found = np.flatnonzero(seen)
+        at = np.searchsorted(found, np.arange(len(batch) + 1) * n_bits)
+        bits = (found % n_bits).astype(np.int32)
+        for (i, _), lo, hi in zip(batch, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            # a copy, so that no result keeps its whole slice; a text in several pieces has the bits of all of them
+            out[i] = bits[lo:hi].copy() if out[i] is None else np.union1d(out[i], bits[lo:hi])
+    return pd.Series(out, dtype=object)
 
 
 def shingle_fingerprint(item: Column, q: int = 4, n_bits: int = CLUSTER_BITS, on_invalid: str = "empty") -> Column:
@@ -25,26 +62,10 @@ def shingle_fingerprint(item: Column, q: int = 4, n_bits: int = CLUSTER_BITS, on
     """
     if on_invalid not in ("empty", "raise"):
         raise ValueError("on_invalid must be 'empty' or 'raise'")
-    powers = [HASH_BASE ** (q - 1 - j) for j in range(q)]
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def fingerprint(items: pd.Series) -> pd.Series:
-        # the texts of a slice lie one after the other in one array of code points
-        out = []
-        for start in range(0, len(items), SLICE_ROWS):
-            texts = [t or "" for t in items.iloc[start : start + SLICE_ROWS]]
-            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            n = max(0, len(codes) - q + 1)
-            hashed = sum(w * codes[j : j + n] for j, w in enumerate(powers)) % n_bits
-            inside = row[:n] == row[q - 1 : q - 1 + n]  # no gram spans two texts
-            seen = np.zeros(len(texts) * n_bits, dtype=bool)
-            seen[row[:n][inside] * n_bits + hashed[inside]] = True
-            found = np.flatnonzero(seen)
-            at = np.searchsorted(found, np.arange(len(texts) + 1) * n_bits)
-            bits = (found % n_bits).astype(np.int32)
-            out += [bits[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pd.Series(out, dtype=object)
+        return fingerprints(items, q, n_bits)
 
     if on_invalid == "raise":
         item = F.when(item.isNull(), F.raise_error("item without a fingerprint").cast("string")).otherwise(item)
