@@ -70,3 +70,19 @@ def test_growth_and_mending_on_random_graphs():
             for s in (side, mended):
                 assert not near[np.ix_(s == 0, s == 2)].any() and w[s == 0].sum() >= 4 and w[s == 2].sum() >= 4
             assert w[mended == 1].sum() <= cut == w[side == 1].sum()
+
+
+def test_parts_searched_together(spark):
+    edges, weights = grid(30, 6), {i: 1 + i % 2 for i in range(180)}
+    for searched in (sep.SEARCHED, 60):
+        reached, found = sep.joint_parts(*graph(spark, edges, weights), [60, 60, 60], searched, 4)
+        side = {r["id"]: r["side"] for r in found.collect()}
+        assert reached == 1 and set(side) == set(weights)
+        assert all(sum(w for i, w in weights.items() if side[i] == p) >= 60 for p in range(3))
+        assert not [e for e in edges if side[e[0]] != side[e[1]] and 3 not in (side[e[0]], side[e[1]])]
+
+
+def test_parts_of_a_complete_graph_are_not_reached():
+    near = ~np.eye(12, dtype=bool)
+    reached, side = sep.search_parts(np.packbits(near, axis=1), np.ones(12), np.array([2.0, 2.0]), 0, 50)
+    assert reached == 0 and (side == 0).sum() * (side == 1).sum() == 0

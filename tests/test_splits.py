@@ -181,6 +181,14 @@ def test_hi_k_fold(spark):
     assert folds.filter("set='test'").groupBy("id").count().filter("count > 1").count() == 0
 
 
+def test_hi_k_fold_where_cutting_parts_off_fails(spark, monkeypatch):
+    monkeypatch.setattr(cut, "_cut_off", lambda *_: None)
+    items = band(120)
+    sets = {r["id"]: r["set"] for r in cut.hi_k_fold(frame(spark, items), "id", "bits", 130, 0.4, k=3, fold_min_frac=0.25).collect()}
+    assert len(sets) == 120 and cross_edges(items, 0.4, sets) == []
+    assert all(list(sets.values()).count(f"part_{i}") >= 30 for i in range(3))
+
+
 @pytest.mark.parametrize("seed,copies", [(0, 0), (1, 12), (2, 30)])
 def test_lo_equals_the_loop(spark, seed, copies):
     items = random_sets(110, 14, seed, 2, 6, copies)
