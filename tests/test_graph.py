@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riftsplit.operators import graph, similarity
 from riftsplit.operators.cluster_split import butina_clusters, dbscan_clusters, sphere_exclusion_clusters
-from riftsplit.operators.similarity import best_in_other_set, collapse_copies, compared_pairs, similarity_edges
+from riftsplit.operators.similarity import best_in_other_set, collapse_copies, compared_pairs, nearest_sets, similarity_edges, with_words
 
 
 def frame(spark, items):
@@ -253,3 +253,19 @@ def test_minhash_edges_are_found_without_candidate_rows(spark):
     wanted = brute_edges(items, 0.5)
     found = {(r["src"], r["dst"]): r["sim"] for r in rows}
     assert all(found[p] == pytest.approx(wanted[p]) for p in found) and len(found) >= 0.99 * len(wanted)
+
+
+@pytest.mark.parametrize("n_bits,m", [(12, 1), (12, 4), (200, 3)])
+def test_nearest_sets_equal_brute_force(spark, n_bits, m):
+    """Ties go to the lower id, over block borders too; empty and null sets are similar to nothing."""
+    rng = random.Random(n_bits + m)
+    draw = lambda start, n: [(start + 3 * i, sorted(rng.sample(range(n_bits), rng.randint(1, 8)))) for i in range(n)]
+    left, right = [*draw(0, 60), (900, []), (901, None)], [*draw(1, 90), (902, []), (1000, None)]
+    rows = lambda d: with_words(spark.createDataFrame(d, "id bigint, bits array<int>"), n_bits)
+    got = {}
+    for r in nearest_sets(rows(left), rows(right), [], m, n_bits, 16).collect():
+        got.setdefault(r["lid"], set()).add((r["rid"], r["similarity"]))
+    for i, a in left:
+        a = set(a or [])
+        sims = [(-len(a & set(b or [])) / max(1, len(a | set(b or []))), j) for j, b in right]
+        assert got[i] == {(j, -s) for s, j in sorted(sims)[:m]}
