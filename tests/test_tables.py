@@ -3,6 +3,7 @@
 import json
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from riftsplit.operators import clean, features, train
 from riftsplit.operators import similarity as sim
 from riftsplit.operators.splitters import random_split
 from riftsplit.plans.durable import spread
+from riftsplit.queries import QUERIES
 from riftsplit.sources import items, runs, sinks
 
 
@@ -98,6 +100,28 @@ def test_block_of_stored_distances_is_computed_without_the_rest(spark, monkeypat
     assert best(sim.block_between(train, test, k=1)) == best(want)
 
 
+@pytest.mark.parametrize("metric,block", [("euclidean", None), ("cityblock", 16), ("cosine", 7), ("jaccard", 16)])
+def test_matrix_rounded_in_the_tasks(spark, metric, block):
+    vec = lambda i: [i % 5, 5 + i % 3, 8 + i % 7] if metric == "jaccard" else [float(i % 5) + 1e-4 * i, float(i % 3) - 1.0, 1.0]
+    df = spark.createDataFrame([(3 * i, vec(i)) for i in range(60)], f"id bigint, vec array<{'int' if metric == 'jaccard' else 'double'}>")
+    got = [tuple(r) for r in sim.distance_matrix(df, "id", "vec", metric, 15, block, digits=3).collect()]
+    whole = {(r["i"], r["j"]): r["distance"] for r in sim.distance_matrix(df, "id", "vec", metric, 15).collect()}
+    assert len(got) == len(whole) == 60 * 59 // 2 and all(i < j for i, j, _ in got)
+    assert all(abs(d - whole[i, j]) < 0.000501 and d == round(d, 3) for i, j, d in got)
+    odd = spark.createDataFrame([(0, [0.0]), (1, [float("nan")]), (2, [1e15])], "id bigint, vec array<double>")  # no order to pack
+    assert {(r["i"], r["j"]): r["distance"] for r in sim.distance_matrix(odd, "id", "vec", "cityblock", digits=3).collect()}[0, 2] == 1e15
+
+
+def test_matrix_query_takes_few_bytes_a_pair(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((2000, 64))
+    x = (0.45 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    QUERIES["d2_distance_matrix_euclidean"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n == 2000 * 1999 // 2 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * n
+
+
 def test_profile_of_a_matrix_without_its_rows(spark):
     df = spark.createDataFrame([(i, [float(i * i % 11), float(i)]) for i in range(30)], "id bigint, vec array<double>")
     rows = lambda d: [tuple(round(v, 9) for v in r) for r in d.collect()]
