@@ -1,5 +1,6 @@
 """Rules at their edges: values beyond 2^53, scores on bin edges, empty sets, failing splitters."""
 
+import threading
 from decimal import Decimal
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from riftsplit.functions.bits import shingle_fingerprint
 from riftsplit.operators import metrics as mt
 from riftsplit.operators.cluster_split import _fill, butina_clusters
-from riftsplit.operators.registry import register_splitter, run_all_splitters
+from riftsplit.operators.registry import SPLITTERS, register_splitter, run_all_splitters
 from riftsplit.operators.splitters import sorted_split
 
 
@@ -87,3 +88,21 @@ def test_hit_rate_per_group(spark):
     got = mt.hit_rate(pred, labels, "item", "score", "y", top_k=4, by=["g"]).collect()
     assert {r["g"] for r in got} == {"a", "b", None}
     assert all((r["hit_rate"], r["tp_count"], r["fp_count"], r["total_molecules"]) == (0.5, 2, 2, 10) for r in got)
+
+
+def test_splitters_run_at_the_same_time(spark):
+    """Each of two splitters waits until the other has begun."""
+    both = threading.Barrier(2, timeout=30)
+
+    def waits(df, row_id):
+        both.wait()
+        return df.select(F.lit(0).alias("split_index"), F.col(row_id).alias("id"), F.lit("train").alias("set"))
+
+    register_splitter("waits_a", waits)
+    register_splitter("waits_b", waits)
+    try:
+        parts, status = run_all_splitters(spark.range(5), "id", {"waits_b": {}, "no_such": {}, "waits_a": {}})
+        assert [(r["splitter"], r["ok"]) for r in status.collect()] == [("waits_b", True), ("no_such", False), ("waits_a", True)]
+        assert parts.groupBy("splitter").count().count() == 2
+    finally:
+        del SPLITTERS["waits_a"], SPLITTERS["waits_b"]
