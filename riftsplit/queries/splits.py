@@ -8,6 +8,7 @@ from riftsplit.operators import cluster_split as cs
 from riftsplit.operators import cut_split as cut
 from riftsplit.operators import graph
 from riftsplit.operators import splitters as sp
+from riftsplit.operators.packed_links import coarsen_sets
 from riftsplit.operators.registry import run_all_splitters, run_splitter
 from riftsplit.operators.similarity import similarity_between, similarity_edges, similarity_forest
 from riftsplit.plans.durable import stored
@@ -474,9 +475,7 @@ _STRONG = _LEADERS.replace(">= CAST(0.5 AS", "> CAST(0.5 AS").format(order="n DE
         SELECT cluster AS id, count(*) AS weight, (SELECT count(*) FROM ends WHERE ends.a = of.cluster OR ends.b = of.cluster) AS n_edges FROM of GROUP BY cluster""",
 )
 def coarsened(spark, sf_dir):
-    items = sign_items(spark, sf_dir)
-    edges = similarity_edges(items, "id", "bits", 0.45, BITS)
-    _, vertices, condensed = graph.coarsen(items.select("id", F.lit(1).alias("weight")), edges, 0.5)
+    _, vertices, condensed = coarsen_sets(sign_items(spark, sf_dir), "id", "bits", 0.45, 0.5, BITS)
     around = graph.both_ways(condensed).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n_edges"))
     return vertices.join(around, "id", "left").select("id", "weight", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
