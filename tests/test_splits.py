@@ -297,3 +297,11 @@ def test_lo_decides_many_centres_a_round(spark, monkeypatch):
         assert got == wanted
     n = sum(len(set(r)) for r in rounds) // 2
     assert n > 3 and len(rounds) < 2 * n and max(len(r) for r in rounds) > 1
+
+
+def test_lo_writes_no_edges_beside_their_directions(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cut, "stored", lambda df: (written.append(df.columns), cut.durable(df))[1])
+    items = frame(spark, [(i, [i, i + 1]) for i in range(6)]).withColumn("y", F.col("id") * 1.0)
+    cut.lo_split(items, "id", "bits", 130, "y")
+    assert written and not [c for c in written if "src" in c]
